@@ -51,6 +51,11 @@ def front_matter(text: Column) -> Column:
     return F.regexp_extract(text, FRONT_MATTER, 1)
 
 
+def body(text: Column) -> Column:
+    """The text after the front matter."""
+    return F.regexp_replace(text, FRONT_MATTER, "")
+
+
 def front_matter_items(text: Column) -> Column:
     """Array of (key, value, nested): top-level keys, nested lines kept raw under their key."""
     blocks = F.split(front_matter(text), r"\n(?=[A-Za-z0-9_-]+:)")

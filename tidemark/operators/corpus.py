@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import markup
 from tidemark.operators.joins import hot_key_join
+from tidemark.session import materialise
 
 
 def _rows(docs: DataFrame, array: Column, names: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -52,10 +53,11 @@ def href_uses(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     )
 
 
-def emoji_uses(docs: DataFrame, key: str = "path") -> DataFrame:
-    """Rows (path, emoji, uses) of the ``:name:`` shortcodes."""
+def emoji_uses(docs: DataFrame, key: str = "path", front_matter: bool = False) -> DataFrame:
+    """Rows (path, emoji, uses) of the ``:name:`` shortcodes in the body, on request in the front matter too."""
+    text = F.col("text") if front_matter else markup.body(F.col("text"))
     return (
-        docs.select(F.col(key), F.explode(markup.emoji(F.col("text"))).alias("emoji"))
+        docs.select(F.col(key), F.explode(markup.emoji(text)).alias("emoji"))
         .groupBy(key, "emoji")
         .agg(F.count(F.lit(1)).alias("uses"))
     )
@@ -127,9 +129,11 @@ def resolve_citations(docs: DataFrame, entries: DataFrame, key: str = "path") ->
     whose front matter names a bibliography are looked at. Both sides are unique per (document, key),
     so no key can be hot.
     """
-    with_bib = docs.where(markup.front_matter_value(F.col("text"), "bibliography").isNotNull())
-    cited = citation_uses(with_bib, key)
-    listed = entries.select(key, "key").distinct().join(with_bib.select(key), key, "left_semi")
+    has_bib = markup.front_matter_value(F.col("text"), "bibliography").isNotNull()
+    # The texts are read once; what follows works on the keys found.
+    found = materialise(docs.where(has_bib).select(key, markup.citations(F.col("text")).alias("keys")), "citations")
+    cited = found.select(key, F.explode("keys").alias("key")).groupBy(key, "key").agg(F.count(F.lit(1)).alias("uses"))
+    listed = entries.select(key, "key").distinct().join(found.select(key), key, "left_semi")
     both = cited.join(listed.withColumn("_listed", F.lit(True)), [key, "key"], "full")
     status = (
         F.when(F.col("uses").isNull(), "uncited").when(F.col("_listed"), "resolved").otherwise("dangling")
@@ -138,8 +142,11 @@ def resolve_citations(docs: DataFrame, entries: DataFrame, key: str = "path") ->
 
 
 def resolve_icons(uses: DataFrame, icons: DataFrame, spread: Sequence[str] = ("path", "pos")) -> DataFrame:
-    """Icon uses with their code point, null when the dictionary lacks the icon."""
-    return hot_key_join(uses, icons, ["icon"], "left", spread)
+    """Icon uses with their code point, null when the dictionary lacks the icon.
+
+    The uses are written once, since finding hot icons takes a pass of its own.
+    """
+    return hot_key_join(materialise(uses, "uses"), icons, ["icon"], "left", spread)
 
 
 def broken_links(
@@ -147,8 +154,8 @@ def broken_links(
 ) -> DataFrame:
     """Uses whose target is not among the known ones, compared without scheme, host, query and fragment.
 
-    ``known`` has a column ``target``.
+    ``known`` has a column ``target``. The uses are written once, as in ``resolve_icons``.
     """
     have = known.select(markup.link_path(F.col("target")).alias("_path")).distinct()
-    asked = uses.withColumn("_path", markup.link_path(F.col("target")))
+    asked = materialise(uses.withColumn("_path", markup.link_path(F.col("target"))), "links")
     return hot_key_join(asked, have, ["_path"], "left_anti", spread).drop("_path")

@@ -35,33 +35,34 @@ def with_calendar(df: DataFrame, day: str = "day") -> DataFrame:
     return df.withColumns(calendar(F.col(day)))
 
 
-def _bounds(df: DataFrame, start, end) -> tuple[Column, Column]:
-    """Period limits: given dates, or else the first and last day seen, as scalar subqueries."""
-    seen = df.agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
-    lo = F.lit(start).cast("date") if start is not None else seen.select("lo").scalar()
-    hi = F.lit(end).cast("date") if end is not None else seen.select("hi").scalar()
-    return lo, hi
+def day_limits(df: DataFrame, ts: str) -> tuple[Column, Column]:
+    """First and last day of a table as scalar subqueries: one narrow pass, shared by both."""
+    seen = df.agg(F.to_date(F.min(ts)).alias("lo"), F.to_date(F.max(ts)).alias("hi"))
+    return seen.select("lo").scalar(), seen.select("hi").scalar()
 
 
-def fill_days(daily: DataFrame, start=None, end=None, zero: Sequence[str] = ()) -> DataFrame:
+def _day(value) -> Column:
+    return value if isinstance(value, Column) else F.lit(value).cast("date")
+
+
+def fill_days(daily: DataFrame, start, end, zero: Sequence[str] = ()) -> DataFrame:
     """Add the missing days of every site, so that each has all days from ``start`` to ``end``.
 
-    ``daily`` holds at most one row per (site, day). Each row generates itself and the gap behind it,
+    The limits are dates, or columns as from ``day_limits``. Rows outside them are dropped. ``daily`` holds at most one row per (site, day). Each row generates itself and the gap behind it,
     so only the rows that exist are shuffled, by site, and the far larger calendar never is. Added
     rows are null but for the columns in ``zero``, which become 0. A site contributes at most one
     row per day, which bounds the window. The explicit partition count keeps small inputs from being
     merged into a few tasks before they expand.
     """
-    spark = daily.sparkSession
-    lo, hi = _bounds(daily, start, end)
+    lo, hi = _day(start), _day(end)
     values = [c for c in daily.columns if c not in KEYS]
+    inside = daily.where((F.col("day") >= lo) & (F.col("day") <= hi))
     order = Window.partitionBy("site").orderBy("day")
     spans = (
-        daily.repartition(shuffle_partitions(spark), "site")
+        inside.repartition(shuffle_partitions(daily.sparkSession), "site")
         .withColumn("_next", F.lead("day").over(order))
-        .withColumn("_first", F.row_number().over(order) == 1)
-        .withColumn("_from", F.when(F.col("_first"), F.least(lo, F.col("day"))).otherwise(F.col("day")))
-        .withColumn("_to", F.coalesce(F.date_sub("_next", 1), F.greatest(hi, F.col("day"))))
+        .withColumn("_from", F.when(F.row_number().over(order) == 1, lo).otherwise(F.col("day")))
+        .withColumn("_to", F.coalesce(F.date_sub("_next", 1), hi))
     )
     filled = spans.select(
         "site", F.col("day").alias("_seen"), *values, F.explode(F.sequence("_from", "_to")).alias("day")
@@ -73,30 +74,22 @@ def fill_days(daily: DataFrame, start=None, end=None, zero: Sequence[str] = ())
     return filled.select("site", "day", *out)
 
 
-def daily_outcome(sites: DataFrame, events: DataFrame, ts: str, start=None, end=None) -> DataFrame:
+def daily_outcome(sites: DataFrame, events: DataFrame, ts: str, start, end) -> DataFrame:
     """1 for each day and site with an event, 0 for every other day of the period.
 
     ``sites`` has one column ``site`` (repeats allowed); ``events`` has ``site`` and the timestamp
     ``ts``. Sites without any event are kept. Events at other sites or outside the period are not.
+    The limits are dates, or columns as from ``day_limits``.
     """
-    days = events.select("site", F.to_date(ts).alias("day"))
-    lo, hi = _bounds(days, start, end)
-    marks = days.where((F.col("day") >= lo) & (F.col("day") <= hi)).select(
-        "site", "day", F.lit(1).alias("y"), F.lit(0).alias("_listed")
-    )
+    lo, hi = _day(start), _day(end)
+    days = events.select("site", F.to_date(ts).alias("day")).where((F.col("day") >= lo) & (F.col("day") <= hi))
+    marks = days.select("site", "day", F.lit(1).alias("y"), F.lit(0).alias("_listed"))
+    # Every site is listed on the first day of the period: its first row then tells whether it counts.
     listed = sites.select("site", lo.alias("day"), F.lit(0).alias("y"), F.lit(1).alias("_listed"))
     daily = marks.unionByName(listed).groupBy("site", "day").agg(F.max("y").alias("y"), F.max("_listed").alias("_listed"))
-    # The listing sits on the first day of the period, so the first row of a site tells whether it is listed.
     first = F.first("_listed").over(Window.partitionBy("site").orderBy("day"))
     daily = daily.repartition(shuffle_partitions(daily.sparkSession), "site").withColumn("_listed", first)
-    daily = daily.where("_listed = 1").drop("_listed")
-    span = daily.withColumn("_next", F.lead("day").over(Window.partitionBy("site").orderBy("day")))
-    return span.select(
-        "site",
-        F.col("day").alias("_seen"),
-        "y",
-        F.explode(F.sequence("day", F.coalesce(F.date_sub("_next", 1), hi))).alias("day"),
-    ).select("site", "day", F.when(F.col("day") == F.col("_seen"), F.col("y")).otherwise(0).alias("y"))
+    return fill_days(daily.where("_listed = 1").drop("_listed"), lo, hi, zero=["y"])
 
 
 def modelling_table(outcome: DataFrame, *features: DataFrame) -> DataFrame:

@@ -91,48 +91,71 @@ def log_loss(df: DataFrame, truth: str, p: str, by: Sequence[str] = ()) -> DataF
     return known.groupBy(*by).agg(F.avg(_loss(F.col(truth), F.col(p))).alias("mn_log_loss"))
 
 
-def roc_auc(df: DataFrame, truth: str, score: str, by: Sequence[str] = (), buckets: int = 128) -> DataFrame:
-    """Area under the ROC curve, ties counting one half (truth is 0 or 1).
+def _score_ranges(df: DataFrame, truth: str, score: str, by: list[str], cut: float, buckets: int) -> DataFrame:
+    """Per group and score range: positives, negatives, their pair count, the four cells and the loss.
 
-    Scores are first counted per distinct value, which absorbs any hot score before the shuffle, and
-    then summed inside score ranges. Range limits are approximate quantiles: they only balance the
-    work, the result is exact for any limits. Each range yields its own pair count, its positives and
-    its negatives, and the ranges are chained in a table of at most ``buckets`` rows per group.
+    Scores are first counted per distinct value, which absorbs any hot score before the shuffle; all
+    metrics follow from that table. Only the pair count needs an order, and that is kept inside score
+    ranges whose limits are approximate quantiles: they balance the work, any limits give the same
+    result. The limits read the same counted table, so its shuffle is shared.
     """
-    by = list(by)
-    known = df.where(F.col(truth).isNotNull() & F.col(score).isNotNull()).select(
-        *by, F.col(truth).alias("_t"), F.col(score).cast("double").alias("_s")
+    known = df.where(F.col(truth).isNotNull() & F.col(score).isNotNull())
+    counted = known.groupBy(*by, F.col(score).cast("double").alias("_s")).agg(
+        F.count_if(F.col(truth) == 1).alias("_pos"), F.count_if(F.col(truth) != 1).alias("_neg")
     )
     steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    limits = known.agg(F.array_distinct(F.percentile_approx("_s", steps, 1000)).alias("l")).scalar()
-    per_score = known.groupBy(*by, "_s").agg(
-        F.count_if(F.col("_t") == 1).alias("_pos"), F.count_if(F.col("_t") != 1).alias("_neg")
-    )
-    bucketed = per_score.withColumn("_l", limits).withColumn("_b", F.size(F.filter("_l", lambda c: c <= F.col("_s"))))
+    seen = F.when(F.col("_pos") + F.col("_neg") > 0, F.col("_s"))
+    limits = counted.agg(F.array_distinct(F.percentile_approx(seen, steps, 1000)).alias("l")).scalar()
+    ranged = counted.withColumn("_l", limits).withColumn("_b", F.size(F.filter("_l", lambda c: c <= F.col("_s"))))
     lower = Window.partitionBy(*by, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     pairs = F.col("_pos") * (F.coalesce(F.sum("_neg").over(lower), F.lit(0)) + F.lit(0.5) * F.col("_neg"))
-    ranges = (
-        bucketed.drop("_l")
+    flagged = F.col("_s") >= cut
+    loss = F.col("_pos") * _loss(F.lit(1), F.col("_s")) + F.col("_neg") * _loss(F.lit(0), F.col("_s"))
+    return (
+        ranged.drop("_l")
         .withColumn("_u", pairs)
         .groupBy(*by, "_b")
-        .agg(F.sum("_u").alias("_u"), F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n"))
+        .agg(
+            F.sum("_u").alias("_u"),
+            F.sum("_pos").alias("_p"),
+            F.sum("_neg").alias("_n"),
+            F.sum(F.when(flagged, F.col("_pos")).otherwise(0)).alias("tp"),
+            F.sum(F.when(flagged, F.col("_neg")).otherwise(0)).alias("fp"),
+            F.sum(F.when(flagged, 0).otherwise(F.col("_pos"))).alias("fn"),
+            F.sum(F.when(flagged, 0).otherwise(F.col("_neg"))).alias("tn"),
+            F.sum(loss).alias("_loss"),
+        )
     )
+
+
+def _chained(ranges: DataFrame, by: list[str]) -> DataFrame:
+    """Add to each range the pairs of its positives with the negatives of all lower ranges."""
     earlier = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    chained = ranges.withColumn("_u", F.col("_u") + F.col("_p") * F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    return chained.groupBy(*by).agg(
-        F.try_divide(F.sum("_u"), F.sum("_p").cast("double") * F.sum("_n")).alias("roc_auc")
-    )
+    return ranges.withColumn("_u", F.col("_u") + F.col("_p") * F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+
 
+def _auc() -> Column:
+    return F.try_divide(F.sum("_u"), F.sum("_p").cast("double") * F.sum("_n"))
 
-def metrics_long(df: DataFrame, truth: str, p: str, by: Sequence[str], cut: float = 0.5) -> DataFrame:
-    """The six metrics of every group as rows (by..., metric, value); truth is 0 or 1."""
+
+def roc_auc(df: DataFrame, truth: str, score: str, by: Sequence[str] = (), buckets: int = 128) -> DataFrame:
+    """Area under the ROC curve, ties counting one half (truth is 0 or 1)."""
     by = list(by)
-    known = df.where(F.col(truth).isNotNull() & F.col(p).isNotNull())
-    flags = (F.col(p) >= cut).cast("int")
-    simple = known.groupBy(*by).agg(
-        *_counts(F.col(truth), flags, 1), F.avg(_loss(F.col(truth), F.col(p))).alias("mn_log_loss")
+    return _chained(_score_ranges(df, truth, score, by, 0.5, buckets), by).groupBy(*by).agg(_auc().alias("roc_auc"))
+
+
+def metrics_long(
+    df: DataFrame, truth: str, p: str, by: Sequence[str], cut: float = 0.5, buckets: int = 128
+) -> DataFrame:
+    """The six metrics of every group as rows (by..., metric, value), in one pass; truth is 0 or 1."""
+    by = list(by)
+    ranges = _chained(_score_ranges(df, truth, p, by, cut, buckets), by)
+    total = ranges.groupBy(*by).agg(
+        *[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")],
+        F.try_divide(F.sum("_loss"), F.sum("_p") + F.sum("_n")).alias("mn_log_loss"),
+        _auc().alias("roc_auc"),
     )
-    wide = count_metrics(simple, [*by, "mn_log_loss"]).join(roc_auc(known, truth, p, by), by)
+    wide = count_metrics(total, [*by, "mn_log_loss", "roc_auc"])
     return wide.unpivot(by, list(HIGHER_IS_BETTER), "metric", "value")
 
 

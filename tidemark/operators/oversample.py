@@ -9,6 +9,7 @@ from tidemark.functions.hashing import hash_int, hash_unit
 from tidemark.operators.joins import hot_key_join
 from tidemark.operators.neighbours import nearest_neighbours
 from tidemark.operators.scan import at_or_below_cut, hash_cuts
+from tidemark.session import materialise
 
 
 def smote(
@@ -25,14 +26,14 @@ def smote(
         F.col(label).alias("_label"), F.col(key).alias("_id"), F.col(vector).cast("array<double>").alias("_x")
     )
     rows = rows.withColumn("_h", hash_int(F.col("_id"), seed))
-    sizes = rows.groupBy("_label").agg(F.count(F.lit(1)).alias("_n"))
-    goal = sizes.agg(F.max("_n")).scalar()
-    plan = sizes.select(
-        "_label",
-        F.floor((goal - F.col("_n")) / F.col("_n")).alias("_each"),
-        F.pmod(goal - F.col("_n"), F.col("_n")).alias("k"),
-    )
-    cuts = hash_cuts(rows, "_label", "_h", "_id", plan)
+
+    def shares(sizes: DataFrame) -> DataFrame:
+        goal = sizes.agg(F.max("n")).scalar()
+        missing = goal - F.col("n")
+        return sizes.select("_label", F.floor(missing / F.col("n")).alias("_each"), F.pmod(missing, "n").alias("k"))
+
+    plan = shares(rows.groupBy("_label").agg(F.count(F.lit(1)).alias("n")))
+    cuts = hash_cuts(rows, "_label", "_h", "_id", shares)
     # One row per class on both small sides.
     todo = (
         rows.join(plan.drop("k"), "_label")
@@ -53,6 +54,7 @@ def smote(
         .withColumn("nb_id", F.element_at("_near", pick.cast("int")))
         .drop("_near", "_copies")
     )
+    picked = materialise(picked, "picked")
     others = rows.select(F.col("_label"), F.col("_id").alias("nb_id"), F.col("_x").alias("_nb"))
     both = hot_key_join(picked, others, ["_label", "nb_id"], "inner", spread=["id", "copy"])
     u = hash_unit(F.col("id"), F.col("copy"), seed, "u")

@@ -21,8 +21,8 @@ def stratified_split(
     themselves stay where they are. The table of cuts has one row per outcome value.
     """
     hashed = df.withColumn("_h", hash_int(F.col(key), seed))
-    wanted = df.groupBy(stratum).agg(F.round(F.count(F.lit(1)) * F.lit(fraction)).cast("bigint").alias("k"))
-    cuts = hash_cuts(hashed, stratum, "_h", key, wanted)
+    size = F.round(F.col("n") * F.lit(fraction)).cast("bigint").alias("k")
+    cuts = hash_cuts(hashed, stratum, "_h", key, lambda sizes: sizes.select(stratum, size))
     side = F.when(at_or_below_cut(F.col("_h"), F.col(key)), "train").otherwise("test")
     return hashed.join(cuts, stratum, "left").withColumn(out, side).drop("_h", "cut_h", "cut_key")
 

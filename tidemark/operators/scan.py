@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,20 +32,21 @@ def hash_rank(df: DataFrame, group: Sequence[str], h: str, key: str, rank: str =
 
 
 def hash_cuts(
-    df: DataFrame, group: str, h: str, key: str, wanted: DataFrame, bits: int = 16
+    df: DataFrame, group: str, h: str, key: str, wanted: Callable[[DataFrame], DataFrame], bits: int = 16
 ) -> DataFrame:
     """Per group the (hash, key) of the ``k``-th smallest row: columns group, cut_h, cut_key.
 
-    ``wanted`` has columns group and ``k``, one row per group. A histogram over 2^bits hash buckets
-    finds the bucket that holds the cut, and only that bucket is sorted. Rows are never shuffled as a
-    whole. Groups with k < 1 get no cut.
+    ``wanted`` turns the group sizes (group, n) into rows (group, k). A histogram over 2^bits hash
+    buckets gives the sizes and the bucket that holds the cut, and only that bucket is sorted. Rows
+    are never shuffled as a whole. Groups with k < 1 get no cut.
     """
     narrow = df.select(group, h, key, hash_bucket(F.col(h), bits).alias("_b"))
     hist = narrow.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = hist.groupBy(group).agg(F.sum("_n").alias("n"))
     upto = Window.partitionBy(group).orderBy("_b")
     edge = (
         hist.withColumn("_cum", F.sum("_n").over(upto))
-        .join(wanted.select(group, F.col("k").alias("_k")), group)
+        .join(wanted(sizes).select(group, F.col("k").alias("_k")), group)
         .where("_k >= 1 AND _cum >= _k AND _cum - _n < _k")
         .select(group, "_b", (F.col("_k") - F.col("_cum") + F.col("_n")).alias("_need"))
     )

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.risk import logistic, majority, rule_risk, wave_factor, wave_incidence, POSITIVE
+from tidemark.functions.risk import POSITIVE, logistic, majority, rule_risk, wave_factor, wave_incidence
 from tidemark.operators.daily import (
     daily_max,
     daily_outcome,
+    day_limits,
     fill_days,
     lead_forecast,
     modelling_table,
@@ -98,10 +99,9 @@ def daily_temperature_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _event_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    seen = events.agg(F.to_date(F.min("ts")).alias("lo"), F.to_date(F.max("ts")).alias("hi"))
     incidents = events.where("event_type = 'purchase'").select(F.col("user_id").alias("site"), "ts")
     sites = events.select(F.col("user_id").alias("site"))
-    return daily_outcome(sites, incidents, "ts", seen.select("lo").scalar(), seen.select("hi").scalar())
+    return daily_outcome(sites, incidents, "ts", *day_limits(events, "ts"))
 
 
 @query("WITH" + EVENT_SPINE_SQL + ' SELECT site, "day", y FROM outcome')
@@ -158,7 +158,8 @@ def modelling_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = with_calendar(fill_days(_site_days(spark, sf_dir), zero=["y"]))
+    limits = day_limits(table(spark, sf_dir, "lineitem"), "l_shipdate")
+    days = with_calendar(fill_days(_site_days(spark, sf_dir), *limits, zero=["y"]))
     return days.withColumn("risk", rule_risk(F.col("month"), F.col("t_air"), F.col("hstp"))).withColumn(
         "truth", F.when(F.col("y") == 1, POSITIVE).otherwise("pas_de_noyade")
     )

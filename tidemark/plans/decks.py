@@ -282,7 +282,7 @@ def broken_page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 e AS (SELECT path, unnest(regexp_extract_all(text, ':([a-z0-9+-][a-z0-9_+-]*):', 1)) AS emoji FROM decks)
 SELECT path, emoji, count(*) AS uses FROM e GROUP BY 1, 2""")
 def emoji_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.emoji_uses(decks(spark, sf_dir))
+    return corpus.emoji_uses(decks(spark, sf_dir), front_matter=True)
 
 
 STRUCTURE_SQL = r""",
