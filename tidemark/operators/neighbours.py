@@ -20,13 +20,16 @@ RESULT = "g string, id bigint, rank int, nb_id bigint, dist double"
 
 
 def _nearest(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k nearest candidates of each query by (distance, id), itself left out."""
-    q, c = np.stack(queries["vec"]).astype(float), np.stack(candidates["vec"]).astype(float)
+    """The k nearest candidates of each query by (distance, id), itself left out. Either may be empty."""
+    if not len(candidates):
+        queries = queries.iloc[:0]
+    if len(queries):
+        q, c = np.stack(queries["vec"]).astype(float), np.stack(candidates["vec"]).astype(float)
+        c_sq = (c * c).sum(1)
+        slack = 1e-9 * (c_sq.max() + (q * q).sum(1).max() + 1.0)
     qid, cid = queries["id"].to_numpy(), candidates["id"].to_numpy()
-    c_sq = (c * c).sum(1)
-    slack = 1e-9 * (c_sq.max() + (q * q).sum(1).max() + 1.0)
     parts = []
-    for start in range(0, len(q), CHUNK):
+    for start in range(0, len(queries), CHUNK):
         qs, ids = q[start : start + CHUNK], qid[start : start + CHUNK]
         # Fast products preselect, with slack for their rounding; differences decide.
         approx = c_sq[None, :] - 2.0 * (qs @ c.T) + (qs * qs).sum(1)[:, None]
@@ -40,10 +43,12 @@ def _nearest(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.Data
         first = np.searchsorted(row, row, side="left")
         rank = np.arange(len(row)) - first + 1
         top = rank <= k
-        parts.append(
-            pd.DataFrame({"id": ids[row[top]], "rank": rank[top], "nb_id": cid[col[top]], "dist": dist[top]})
-        )
-    return pd.concat(parts) if parts else pd.DataFrame({"id": [], "rank": [], "nb_id": [], "dist": []})
+        parts.append((ids[row[top]], rank[top], cid[col[top]], dist[top]))
+    empty = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    columns = [np.concatenate(c) for c in zip(empty, *parts)]
+    found = pd.DataFrame(dict(zip(("id", "rank", "nb_id", "dist"), columns)))
+    found.insert(0, "g", np.full(len(found), queries["g"].iloc[0] if len(queries) else None, dtype=object))
+    return found
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
@@ -66,6 +71,13 @@ def _pivots(points: DataFrame, sizes: dict[str, int], block: int, seed: int) ->
     return {g: np.array(v, dtype=float) for g, v in found.items()}
 
 
+def _keyed(part: pd.DataFrame, **keys) -> pd.DataFrame:
+    """Points with the two blocks they are to meet in."""
+    return part[["g", "id", "vec"]].reset_index(drop=True).assign(
+        **{k: np.asarray(v) if isinstance(v, pd.Series) else v for k, v in keys.items()}
+    )
+
+
 def _distances(vecs: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.stack([np.sqrt(((vecs - p) ** 2).sum(1)) for p in pivots], axis=1)
 
@@ -108,7 +120,7 @@ def _blocked(points: DataFrame, sizes: dict[str, int], k: int, block: int, seed:
     cells = cells.join(counts, ["g", "cell"]).withColumn("block", cut).drop("_m")
 
     def own(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _nearest(pdf, pdf, k).assign(g=pdf["g"].iloc[0])[["g", "id", "rank", "nb_id", "dist"]]
+        return _nearest(pdf, pdf, k)
 
     first = cells.groupBy("g", "cell", "block").applyInPandas(own, RESULT)
     if sum(blocks.values()) == len(sizes):
@@ -143,23 +155,17 @@ def _blocked(points: DataFrame, sizes: dict[str, int], k: int, block: int, seed:
                     for b in range(blocks[g, j]):
                         other = hit if j != i else hit[hit["block"] != b]
                         if len(other):
-                            yield pd.DataFrame(
-                                {"g": g, "id": other["id"], "vec": other["vec"], "qc": i, "qb": other["block"], "cc": j, "cb": b}
-                            )
+                            yield _keyed(other, qc=i, qb=other["block"], cc=j, cb=b)
 
     def as_candidates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for (g, j), part in pdf.groupby(["g", "cell"]):
                 for i in seeking[g, j]:
                     for b in range(blocks[g, i]):
-                        yield pd.DataFrame(
-                            {"g": g, "id": part["id"], "vec": part["vec"], "qc": i, "qb": b, "cc": j, "cb": part["block"]}
-                        )
+                        yield _keyed(part, qc=i, qb=b, cc=j, cb=part["block"])
 
     def compare(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(candidates):
-            return pd.DataFrame({"g": [], "id": [], "rank": [], "nb_id": [], "dist": []})
-        return _nearest(queries, candidates, k).assign(g=queries["g"].iloc[0])[["g", "id", "rank", "nb_id", "dist"]]
+        return _nearest(queries, candidates, k)
 
     schema = "g string, id bigint, vec array<double>, qc int, qb int, cc int, cb int"
     keys = ["g", "qc", "qb", "cc", "cb"]

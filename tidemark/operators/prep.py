@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import hash_int
@@ -61,10 +61,16 @@ def dummies(df: DataFrame, column: str, of: Sequence[str]) -> DataFrame:
     return df.withColumns(added).drop(column)
 
 
+def _corr(a: str, b: str) -> Column:
+    """Pearson correlation over rows that have both values; null for a constant column."""
+    x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair of columns, in one pass: rows (a, b, r)."""
     pairs = list(combinations(columns, 2))
-    one = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    one = df.agg(*[_corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     rows = [
         F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)
     ]
