@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tidemark.operators.joins import hot_key_join
+from tidemark.operators.joins import broadcast_levels, hot_key_join
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
@@ -36,3 +36,10 @@ def test_hot_keys_are_spread(spark):
 def test_other_kinds_are_refused(spark):
     with pytest.raises(ValueError):
         hot_key_join(spark.range(1), spark.range(1), ["id"], "full", ["id"])
+
+
+def test_broadcast_of_levels_is_checked(spark):
+    few = spark.range(5)
+    assert spark.range(9).join(broadcast_levels(few, few, most=5), "id").count() == 5
+    with pytest.raises(Exception, match="more than 4 levels"):
+        spark.range(9).join(broadcast_levels(few, few, most=4), "id").count()

@@ -69,10 +69,11 @@ def _structure(docs: DataFrame, key: str) -> DataFrame:
     All other text is dropped before the shuffle that the windows need. A document is one input row,
     so its structural lines never exceed what one task has already read.
     """
-    text = F.col("text")
-    skipped = F.size(F.split(F.regexp_extract(text, markup.FRONT_MATTER, 0), "\n")) - 1
-    lines = docs.select(key, skipped.alias("_skip"), F.posexplode(F.split(text, "\n")).alias("_p", "line"))
-    lines = lines.where((F.col("_p") >= F.col("_skip")) & F.col("line").rlike(markup.STRUCTURAL))
+    # Front matter becomes blank lines, so line numbers stay; the generator keeps nothing of the text.
+    front = F.regexp_extract("text", markup.FRONT_MATTER, 0)
+    blank = F.repeat(F.lit("\n"), F.size(F.split(front, "\n")) - 1)
+    all_lines = F.split(F.concat(blank, markup.body(F.col("text"))), "\n")
+    lines = docs.select(key, F.posexplode(all_lines).alias("_p", "line")).where(F.col("line").rlike(markup.STRUCTURAL))
     kind = (
         F.when(F.col("line").rlike(markup.CODE_FENCE_BARE), "code")
         .when(F.col("line").rlike(markup.CODE_FENCE), "code_info")

@@ -8,6 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+MAX_LEVELS = 1000
+
+
+def broadcast_levels(df: DataFrame, levels: DataFrame, most: int = MAX_LEVELS) -> DataFrame:
+    """Broadcast ``df``, which has at most one row per row of ``levels``, after checking that number.
+
+    For statistics per class: joining rows to them by class would otherwise put a whole class into
+    one task. A column with more than ``most`` levels is no class and fails the job.
+    """
+    n = levels.agg(F.count(F.lit(1))).scalar()
+    error = F.raise_error(F.lit(f"more than {most} levels to broadcast")).cast("boolean")
+    return F.broadcast(df.where(F.when(n <= most, F.lit(True)).otherwise(error)))
+
+
 def hot_key_join(
     left: DataFrame,
     right: DataFrame,

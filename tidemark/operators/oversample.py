@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import hash_int, hash_unit
-from tidemark.operators.joins import hot_key_join
+from tidemark.operators.joins import broadcast_levels, hot_key_join
 from tidemark.operators.neighbours import nearest_neighbours
 from tidemark.operators.scan import at_or_below_cut, hash_cuts
 from tidemark.session import materialise
@@ -32,9 +32,9 @@ def smote(
         missing = goal - F.col("n")
         return sizes.select("_label", F.floor(missing / F.col("n")).alias("_each"), F.pmod(missing, "n").alias("k"))
 
-    plan = shares(rows.groupBy("_label").agg(F.count(F.lit(1)).alias("n")))
+    sizes = rows.groupBy("_label").agg(F.count(F.lit(1)).alias("n"))
+    plan = broadcast_levels(shares(sizes), sizes)
     cuts = hash_cuts(rows, "_label", "_h", "_id", shares)
-    # One row per class on both small sides.
     todo = (
         rows.join(plan.drop("k"), "_label")
         .join(cuts, "_label", "left")
@@ -42,7 +42,8 @@ def smote(
         .where("_copies > 0")
         .select(F.col("_label").cast("string").alias("g"), "_label", F.col("_id").alias("id"), "_x", "_copies")
     )
-    minority = rows.join(plan.where("_each > 0 OR k > 0").select("_label"), "_label", "left_semi")
+    short = plan.where("_each > 0 OR k > 0").select("_label")
+    minority = rows.join(F.broadcast(short), "_label", "left_semi")
     near = nearest_neighbours(minority, "_label", "_id", "_x", k, block, seed)
     lists = near.groupBy("g", "id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "nb_id"))), lambda s: s["nb_id"]).alias("_near")

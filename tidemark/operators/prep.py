@@ -17,8 +17,8 @@ def stratified_split(
 ) -> DataFrame:
     """Mark rows ``train`` or ``test``: in every stratum exactly round(fraction * n) go to train.
 
-    The rows with the smallest (md5 of the key, key) are taken. Only the cut is searched, the rows
-    themselves stay where they are. The table of cuts has one row per outcome value.
+    The rows with the smallest (md5 of the key, key) are taken. Only the cut is searched, in narrow
+    passes over key and stratum; the rows themselves are not shuffled. Write out a costly ``df`` first.
     """
     hashed = df.withColumn("_h", hash_int(F.col(key), seed))
     size = F.round(F.col("n") * F.lit(fraction)).cast("bigint").alias("k")

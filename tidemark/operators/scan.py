@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import HASH_BITS
+from tidemark.operators.joins import broadcast_levels
 
 
 def hash_bucket(h: Column, bits: int) -> Column:
@@ -38,7 +39,8 @@ def hash_cuts(
 
     ``wanted`` turns the group sizes (group, n) into rows (group, k). A histogram over 2^bits hash
     buckets gives the sizes and the bucket that holds the cut, and only that bucket is sorted. Rows
-    are never shuffled as a whole. Groups with k < 1 get no cut.
+    are never shuffled as a whole. Groups with k < 1 get no cut. There is at most one cut per group,
+    and the result is marked for broadcast, so that joining it does not shuffle by group either.
     """
     narrow = df.select(group, h, key, hash_bucket(F.col(h), bits).alias("_b"))
     hist = narrow.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_n"))
@@ -51,12 +53,13 @@ def hash_cuts(
         .select(group, "_b", (F.col("_k") - F.col("_cum") + F.col("_n")).alias("_need"))
     )
     inside = Window.partitionBy(group).orderBy(h, key)
-    return (
-        narrow.join(edge, [group, "_b"])
+    cuts = (
+        narrow.join(broadcast_levels(edge, sizes), [group, "_b"])
         .withColumn("_r", F.row_number().over(inside))
         .where("_r = _need")
         .select(group, F.col(h).alias("cut_h"), F.col(key).alias("cut_key"))
     )
+    return broadcast_levels(cuts, sizes)
 
 
 def at_or_below_cut(h: Column, key: Column) -> Column:

@@ -27,14 +27,14 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.length(F.regexp_replace("text", r"[^0-9]", "")) / F.greatest(F.length("text"), F.lit(1))).alias("digits"),
     )
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y"))
-    return stratified_split(labels.join(docs, "doc_id"), "doc_id", "y")
+    return stratified_split(materialise(labels.join(docs, "doc_id"), "documents"), "doc_id", "y")
 
 
 DOCUMENTS = Recipe("doc_id", ["log_chars", "words", "lines", "digits"], ["lang"])
 
 
 def _prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str]]:
-    rows = materialise(_documents(spark, sf_dir), "documents")
+    rows = _documents(spark, sf_dir)
     parts = [rows.where(F.col("split") == s).drop("split") for s in ("train", "test")]
     return DOCUMENTS.apply(*parts, "documents")
 
@@ -91,7 +91,7 @@ def daily_risk_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole chain on site-days: table, split, preparation, fit, daily scores, class table of the test rows."""
     days = event_model_table(spark, sf_dir).where("t_air IS NOT NULL AND hstp IS NOT NULL")
     days = days.withColumn("row_id", F.col("site") * 100000 + F.datediff("day", F.lit("1970-01-01").cast("date")))
-    days = materialise(stratified_split(days, "row_id", "y"), "days")
+    days = stratified_split(materialise(days, "days"), "row_id", "y")
     recipe = Recipe("row_id", ["cos4", "hstp", "t_air", "mday", "wday"])
     parts = [days.where(F.col("split") == s).drop("split") for s in ("train", "test")]
     train, test, features = recipe.apply(*parts, "daily")

@@ -11,6 +11,7 @@ from tidemark.operators.prep import correlations, dummies, levels, stratified_sp
 from tidemark.plans.evaluation import LABELLED_SQL
 from tidemark.plans.registry import query
 from tidemark.plans.tables import labelled, table
+from tidemark.session import materialise
 
 SPLIT_SQL = LABELLED_SQL + """,
 hashed AS (SELECT *, CAST('0x' || substr(md5(doc_id || '|42'), 1, 8) AS BIGINT) AS h FROM labelled),
@@ -22,14 +23,14 @@ split AS (
 
 @query("WITH" + SPLIT_SQL + " SELECT doc_id, y, split FROM split")
 def train_test_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stratified_split(labelled(spark, sf_dir), "doc_id", "y").select("doc_id", "y", "split")
+    return stratified_split(materialise(labelled(spark, sf_dir), "labelled"), "doc_id", "y").select("doc_id", "y", "split")
 
 
 @query("WITH" + SPLIT_SQL + """,
 s AS (SELECT avg(n_chars) AS m, stddev_samp(n_chars) AS d, avg(p) AS pm, stddev_samp(p) AS pd FROM split WHERE split = 'train')
 SELECT doc_id, split, round((n_chars - m) / d, 8) AS n_chars, round((p - pm) / pd, 8) AS p FROM split, s""")
 def centred_and_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stratified_split(labelled(spark, sf_dir), "doc_id", "y").select("doc_id", "split", "n_chars", "p")
+    rows = stratified_split(materialise(labelled(spark, sf_dir), "labelled"), "doc_id", "y").select("doc_id", "split", "n_chars", "p")
     scaled = zscore(rows, ["n_chars", "p"], rows.where("split = 'train'"))
     return scaled.withColumns({c: F.round(c, 8) for c in ("n_chars", "p")})
 
