@@ -41,15 +41,19 @@ class Recipe:
         """Prepared train rows, prepared other rows and the feature names.
 
         Dummy coding, correlation filter, centring and scaling, then over-sampling of the train rows.
-        Both results are written once, as every configuration reads them.
+        Intermediate results are written once, as every configuration reads them.
         """
-        numeric = uncorrelated(train, list(self.numeric), self.cutoff)
-        features = list(numeric)
         both = (
             train.withColumn("_train", F.lit(True))
             .unionByName(other.withColumn("_train", F.lit(False)))
-            .select(self.key, "y", "_train", *numeric, *self.nominal)
+            .select(self.key, "y", "_train", *self.numeric, *self.nominal)
         )
+        # Three statistics are fitted on the train rows, so what leads to them is computed once.
+        both = materialise(both, f"{name}-columns")
+        train = both.where("_train")
+        numeric = uncorrelated(train, list(self.numeric), self.cutoff)
+        features = list(numeric)
+        both = both.select(self.key, "y", "_train", *numeric, *self.nominal)
         for column in self.nominal:
             known = self.levels.get(column) or levels(train, column)
             both = dummies(both, column, known)

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.hashing import hash_int
+from tidemark.functions.hashing import hash_int, hash_unit
 from tidemark.operators.joins import hot_key_join
 from tidemark.session import materialise
 
 MAX_GROUPS = 1000
-MAX_PIVOTS = 256
+MAX_PIVOTS = 2048
 CHUNK = 256
+# The functions below travel to the executors by value: this package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+POINT = "g string, id bigint, vec array<double>, ask boolean"
 RESULT = "g string, id bigint, rank int, nb_id bigint, dist double"
 
 
@@ -57,33 +63,31 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return found.drop("rank").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _pivots(points: DataFrame, sizes: dict[str, int], block: int, seed: int) -> dict[str, np.ndarray]:
-    """Per group up to MAX_PIVOTS points, chosen by md5: one for each block of expected rows."""
-    wanted = {g: min(MAX_PIVOTS, -(-n // block)) for g, n in sizes.items()}
-    order = Window.partitionBy("g").orderBy(hash_int(F.col("id"), seed, "pivot"), "id")
-    rows = (
-        points.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= max(wanted.values())).collect()
-    )
-    found = {g: [] for g in wanted}
-    for row in sorted(rows, key=lambda r: r["_r"]):
-        if len(found[row["g"]]) < wanted[row["g"]]:
-            found[row["g"]].append(row["vec"])
-    return {g: np.array(v, dtype=float) for g, v in found.items()}
+def _distances(vecs: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    sq = (vecs * vecs).sum(1)[:, None] - 2.0 * (vecs @ pivots.T) + (pivots * pivots).sum(1)[None, :]
+    return np.sqrt(np.maximum(sq, 0.0))
 
 
-def _keyed(part: pd.DataFrame, **keys) -> pd.DataFrame:
-    """Points with the two blocks they are to meet in."""
-    return part[["g", "id", "vec"]].reset_index(drop=True).assign(
-        **{k: np.asarray(v) if isinstance(v, pd.Series) else v for k, v in keys.items()}
-    )
+def _pivots(points: DataFrame, groups: list[str], total: int, block: int, seed: int) -> dict[str, np.ndarray]:
+    """Reference points per group, about one per block of rows and MAX_PIVOTS in all, chosen by md5.
 
+    Any points will do, also equal ones; a group without one gets the origin.
+    """
+    share = min(MAX_PIVOTS, -(-total // block)) / total
+    rows = points.where(hash_unit(F.col("id"), seed, "pivot") < share).select("g", "vec").collect()
+    found = {g: [r.vec for r in rows if r.g == g] for g in groups}
+    size = len(rows[0].vec) if rows else len(points.select("vec").first().vec)
+    return {g: np.array(v or [[0.0] * size], dtype=float) for g, v in found.items()}
 
-def _distances(vecs: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.stack([np.sqrt(((vecs - p) ** 2).sum(1)) for p in pivots], axis=1)
+
+def _keyed(part: pd.DataFrame, **keys) -> pd.DataFrame:
+    """Points with the two blocks they are to meet in."""
+    plain = part[["g", "id", "vec"]].reset_index(drop=True)
+    return plain.assign(**{k: np.asarray(v) if isinstance(v, pd.Series) else v for k, v in keys.items()})
 
 
 def _distinct_enough(points: DataFrame, k: int) -> DataFrame:
-    """At most k + 1 rows, those with the smallest ids, of each set of equal vectors.
+    """At most k + 1 rows, those with the smallest ids, of each set of equal vectors, numbered ``_r``.
 
     Rows beyond have k nearer or equal rows with smaller ids, so nobody's answer contains them. The
     rank filter runs before the shuffle, so a large set of copies never meets in one task.
@@ -93,66 +97,69 @@ def _distinct_enough(points: DataFrame, k: int) -> DataFrame:
 
 
 def _blocked(points: DataFrame, sizes: dict[str, int], k: int, block: int, seed: int) -> DataFrame:
-    """Neighbours among ``points`` (g, id, vec), no value repeated more than k + 1 times.
+    """Neighbours of the rows of ``points`` (g, id, vec, ask) that ask, no value repeated more than k + 1 times.
 
-    Points go to the cell of their nearest pivot, and cells are cut into blocks of about ``block``
-    rows. Searching the own block gives a first k-th distance; by the triangle inequality only cells
-    within that distance of a point can improve on it. A task compares one block of queries with one
-    block of candidates.
+    Groups that all fit a block are searched directly. Else, points go to the cell of their nearest
+    pivot, and cells are cut into blocks of about ``block`` rows. Searching the own block gives a
+    first k-th distance; by the triangle inequality only cells within that distance of a point can
+    improve on it. A task compares one block of queries with one block of candidates. The driver
+    holds three numbers per cell.
     """
-    pivots = _pivots(points, sizes, block, seed)
+
+    def own(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _nearest(pdf[pdf["ask"]], pdf, k)
+
+    if max(sizes.values()) <= block:
+        return points.groupBy("g").applyInPandas(own, RESULT)
+    pivots = _pivots(points, list(sizes), sum(sizes.values()), block, seed)
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for g, part in pdf.groupby("g"):
-                d = _distances(np.stack(part["vec"]).astype(float), pivots[g])
-                yield part.assign(cell=d.argmin(1), radius=d.min(1))[["g", "id", "vec", "cell", "radius"]]
+                for start in range(0, len(part), CHUNK):
+                    some = part.iloc[start : start + CHUNK]
+                    d = _distances(np.stack(some["vec"]).astype(float), pivots[g])
+                    yield some.assign(cell=d.argmin(1), radius=d.min(1))
 
-    schema = "g string, id bigint, vec array<double>, cell int, radius double"
-    cells = materialise(points.mapInPandas(assign, schema), "cells")
+    cells = materialise(points.mapInPandas(assign, f"{POINT}, cell int, radius double"), "cells")
     shape = cells.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("radius").alias("r"))
-    known = shape.collect()
-    blocks = {(s.g, s.cell): -(-s.n // block) for s in known}
-    radius = {(s.g, s.cell): s.r for s in known}
-    # At most MAX_GROUPS * MAX_PIVOTS rows.
+    blocks = {g: np.zeros(len(v), dtype=int) for g, v in pivots.items()}
+    radius = {g: np.zeros(len(v)) for g, v in pivots.items()}
+    for row in shape.collect():
+        blocks[row.g][row.cell] = -(-row.n // block)
+        radius[row.g][row.cell] = row.r
+    # At most one row per pivot, and one for each group without any.
     counts = F.broadcast(shape.select("g", "cell", F.ceil(F.col("n") / block).alias("_m")))
     cut = F.pmod(hash_int(F.col("id"), seed, "block"), F.col("_m")).cast("int")
-    cells = cells.join(counts, ["g", "cell"]).withColumn("block", cut).drop("_m")
-
-    def own(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _nearest(pdf, pdf, k)
-
-    first = cells.groupBy("g", "cell", "block").applyInPandas(own, RESULT)
-    if sum(blocks.values()) == len(sizes):
-        return first
-    first = materialise(first, "own")
-    reach = first.groupBy("g", "id").agg(
-        F.when(F.count(F.lit(1)) >= k, F.max("dist")).otherwise(F.lit(float("inf"))).alias("reach")
-    )
-    points = cells.join(reach, ["g", "id"], "left").fillna(float("inf"), ["reach"])
-    widest = {
-        (r.g, r.cell): r.w for r in points.groupBy("g", "cell").agg(F.max("reach").alias("w")).collect()
-    }
-    near = {}
-    for g, p in pivots.items():
-        between = _distances(p, p)
-        mine = [c for c in range(len(p)) if (g, c) in blocks]
-        for i in mine:
-            limit = widest[g, i] + radius[g, i] + 1e-9
-            near[g, i] = [j for j in mine if between[i, j] - radius[g, j] <= limit]
-
-    seeking: dict[tuple, list] = {key: [] for key in blocks}
-    for (g, i), js in near.items():
-        for j in js:
-            seeking[g, j].append(i)
+    cells = cells.join(counts, ["g", "cell"]).withColumn("block", cut).drop("_m", "radius")
+
+    first = materialise(cells.groupBy("g", "cell", "block").applyInPandas(own, RESULT), "own")
+    reach = first.groupBy("g", "id").agg(F.when(F.count(F.lit(1)) >= k, F.max("dist")).alias("reach"))
+    asking = cells.where("ask").join(reach, ["g", "id"], "left").fillna(float("inf"), ["reach"])
+    # The farthest any query of a cell has to look, from the pivot of the cell; below 0 without queries.
+    widest = {g: np.full(len(v), -np.inf) for g, v in pivots.items()}
+    for row in asking.groupBy("g", "cell").agg(F.max("reach").alias("w")).collect():
+        widest[row.g][row.cell] = row.w + radius[row.g][row.cell]
+    slack = {g: 1e-6 * (1.0 + np.abs(v).max() * v.shape[1] + radius[g].max()) for g, v in pivots.items()}
+
+    def sought_from(g: str, cell: int) -> np.ndarray:
+        """Cells that may hold neighbours for some query of this cell."""
+        between = _distances(pivots[g][cell : cell + 1], pivots[g])[0]
+        return np.flatnonzero((blocks[g] > 0) & (between - radius[g] <= widest[g][cell] + slack[g]))
+
+    def seekers_of(g: str, cell: int) -> np.ndarray:
+        """Cells with a query that may have neighbours in this cell."""
+        between = _distances(pivots[g][cell : cell + 1], pivots[g])[0]
+        return np.flatnonzero((blocks[g] > 0) & (between - radius[g][cell] <= widest[g] + slack[g]))
 
     def as_queries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for (g, i), part in pdf.groupby(["g", "cell"]):
-                d = _distances(np.stack(part["vec"]).astype(float), pivots[g])
-                for j in near[g, i]:
-                    hit = part[(d[:, j] - radius[g, j] <= part["reach"] + 1e-9).to_numpy()]
-                    for b in range(blocks[g, j]):
+                near = sought_from(g, i)
+                d = _distances(np.stack(part["vec"]).astype(float), pivots[g][near])
+                for n, j in enumerate(near):
+                    hit = part[d[:, n] - radius[g][j] <= part["reach"].to_numpy() + slack[g]]
+                    for b in range(blocks[g][j]):
                         other = hit if j != i else hit[hit["block"] != b]
                         if len(other):
                             yield _keyed(other, qc=i, qb=other["block"], cc=j, cb=b)
@@ -160,8 +167,8 @@ def _blocked(points: DataFrame, sizes: dict[str, int], k: int, block: int, seed:
     def as_candidates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for (g, j), part in pdf.groupby(["g", "cell"]):
-                for i in seeking[g, j]:
-                    for b in range(blocks[g, i]):
+                for i in seekers_of(g, j):
+                    for b in range(blocks[g][i]):
                         yield _keyed(part, qc=i, qb=b, cc=j, cb=part["block"])
 
     def compare(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
@@ -169,32 +176,42 @@ def _blocked(points: DataFrame, sizes: dict[str, int], k: int, block: int, seed:
 
     schema = "g string, id bigint, vec array<double>, qc int, qb int, cc int, cb int"
     keys = ["g", "qc", "qb", "cc", "cb"]
-    asked = points.select("g", "id", "vec", "cell", "block", "reach").mapInPandas(as_queries, schema).groupBy(*keys)
+    asked = asking.select("g", "id", "vec", "cell", "block", "reach").mapInPandas(as_queries, schema).groupBy(*keys)
     given = cells.select("g", "id", "vec", "cell", "block").mapInPandas(as_candidates, schema).groupBy(*keys)
     return _top(first.unionByName(asked.cogroup(given).applyInPandas(compare, RESULT)), k)
 
 
 def nearest_neighbours(
-    df: DataFrame, group: str, key: str, vector: str, k: int = 5, block: int = 4096, seed: int = 42
+    df: DataFrame,
+    group: str,
+    key: str,
+    vector: str,
+    k: int = 5,
+    block: int = 4096,
+    seed: int = 42,
+    asking: str | None = None,
 ) -> DataFrame:
     """The k nearest other rows of the same group: rows (g, id, rank, nb_id, dist).
 
     Exact: ordered by Euclidean distance, then id. Rows without a vector take no part. ``g`` is the
-    group as a string. Rows of a group with fewer than k others get fewer neighbours.
+    group as a string. Rows of a group with fewer than k others get fewer neighbours. ``asking``
+    names a boolean column of the rows that need an answer; by default all do.
     """
     points = df.where(F.col(vector).isNotNull()).select(
-        F.col(group).cast("string").alias("g"), F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vec")
+        F.col(group).cast("string").alias("g"),
+        F.col(key).alias("id"),
+        F.col(vector).cast("array<double>").alias("vec"),
+        (F.col(asking) if asking else F.lit(True)).alias("ask"),
     )
     kept = materialise(_distinct_enough(points, k), "distinct")
     rows = kept.groupBy("g").agg(F.count(F.lit(1)).alias("n")).limit(MAX_GROUPS + 1).collect()
     if len(rows) > MAX_GROUPS:
         raise ValueError(f"more than {MAX_GROUPS} groups")
-    sizes = {r.g: r.n for r in rows}
-    if not sizes:
+    if not rows:
         return df.sparkSession.createDataFrame([], RESULT)
-    found = _blocked(kept.drop("_r"), sizes, k, block, seed)
+    found = _blocked(kept.drop("_r"), {r.g: r.n for r in rows}, k, block, seed)
     # Every other copy has k equal rows with smaller ids: the first k of its set.
-    rest = points.join(kept.select("g", "id"), ["g", "id"], "left_anti")
+    rest = points.where("ask").join(kept.select("g", "id"), ["g", "id"], "left_anti")
     firsts = kept.where(F.col("_r") <= k).select("g", "vec", F.col("_r").alias("rank"), F.col("id").alias("nb_id"))
     copies = hot_key_join(rest, firsts, ["g", "vec"], "inner", spread=["id"])
     return found.unionByName(copies.select("g", "id", "rank", "nb_id", F.lit(0.0).alias("dist")))

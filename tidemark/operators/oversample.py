@@ -35,25 +35,26 @@ def smote(
     sizes = rows.groupBy("_label").agg(F.count(F.lit(1)).alias("n"))
     plan = broadcast_levels(shares(sizes), sizes)
     cuts = hash_cuts(rows, "_label", "_h", "_id", shares)
-    todo = (
-        rows.join(plan.drop("k"), "_label")
-        .join(cuts, "_label", "left")
-        .withColumn("_copies", F.col("_each") + at_or_below_cut(F.col("_h"), F.col("_id")).cast("int"))
-        .where("_copies > 0")
-        .select(F.col("_label").cast("string").alias("g"), "_label", F.col("_id").alias("id"), "_x", "_copies")
-    )
-    short = plan.where("_each > 0 OR k > 0").select("_label")
-    minority = rows.join(F.broadcast(short), "_label", "left_semi")
-    near = nearest_neighbours(minority, "_label", "_id", "_x", k, block, seed)
+    extra = at_or_below_cut(F.col("_h"), F.col("_id")).cast("int")
+    classes = rows.join(plan, "_label").where("_each > 0 OR k > 0").join(cuts, "_label", "left")
+    minority = classes.select(
+        F.col("_label").cast("string").alias("g"),
+        "_label",
+        F.col("_id").alias("id"),
+        "_x",
+        (F.col("_each") + extra).cast("int").alias("_copies"),
+    ).withColumn("_ask", F.col("_copies") > 0)
+    near = nearest_neighbours(minority, "g", "id", "_x", k, block, seed, asking="_ask")
     lists = near.groupBy("g", "id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "nb_id"))), lambda s: s["nb_id"]).alias("_near")
     )
     pick = F.pmod(hash_int(F.col("id"), F.col("copy"), seed, "k"), F.size("_near")) + 1
     picked = (
-        todo.join(lists, ["g", "id"])
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+        minority.where("_ask")
+        .join(lists, ["g", "id"])
+        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
         .withColumn("nb_id", F.element_at("_near", pick.cast("int")))
-        .drop("_near", "_copies")
+        .drop("g", "_near", "_copies", "_ask")
     )
     picked = materialise(picked, "picked")
     others = rows.select(F.col("_label"), F.col("_id").alias("nb_id"), F.col("_x").alias("_nb"))
