@@ -38,13 +38,21 @@ def test_neighbours_match_all_pairs(spark, block, copies):
 
 
 def test_small_groups_and_missing_vectors(spark):
-    rows = [("a", 1, [0.0]), ("a", 2, [1.0]), ("a", 3, None), ("lone", 4, [2.0])]
+    rows = [("a", 1, [0.0]), ("a", 2, [1.0]), ("a", 3, None), ("lone", 4, [2.0]), (None, 5, [0.0])]
     df = spark.createDataFrame(rows, "g string, id long, x array<double>")
     got = {(r.id, r["rank"], r.nb_id, r.dist) for r in nearest_neighbours(df, "g", "id", "x", 5).collect()}
     assert got == {(1, 1, 2, 1.0), (2, 1, 1, 1.0)}
     assert nearest_neighbours(df.where("false"), "g", "id", "x").count() == 0
 
 
+@pytest.mark.parametrize("block", [4096, 20])
+def test_only_asking_rows_are_answered(spark, block):
+    rows = clustered(120, ["a", "b"], 2, 6)
+    df = spark.createDataFrame(rows, "g string, id long, x array<double>").withColumn("q", F.col("id") % 17 == 0)
+    found = nearest_neighbours(df, "g", "id", "x", 3, block=block, asking="q").collect()
+    assert {(r.g, r.id, r["rank"], r.nb_id) for r in found} == {t for t in brute(rows, 3) if t[1] % 17 == 0}
+
+
 @pytest.mark.parametrize("block", [4096, 10])
 def test_smote_balances_on_segments_to_neighbours(spark, block):
     rows = [(i, "major", [float(i), 0.0]) for i in range(100)]

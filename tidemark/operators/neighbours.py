@@ -193,11 +193,12 @@ def nearest_neighbours(
 ) -> DataFrame:
     """The k nearest other rows of the same group: rows (g, id, rank, nb_id, dist).
 
-    Exact: ordered by Euclidean distance, then id. Rows without a vector take no part. ``g`` is the
-    group as a string. Rows of a group with fewer than k others get fewer neighbours. ``asking``
-    names a boolean column of the rows that need an answer; by default all do.
+    Exact: ordered by Euclidean distance, then id. Rows without a vector or a group take no part.
+    ``g`` is the group as a string; keys are integers and unique. Rows of a group with fewer than k
+    others get fewer neighbours. ``asking`` names a boolean column of the rows that need an answer;
+    by default all do.
     """
-    points = df.where(F.col(vector).isNotNull()).select(
+    points = df.where(F.col(vector).isNotNull() & F.col(group).isNotNull()).select(
         F.col(group).cast("string").alias("g"),
         F.col(key).alias("id"),
         F.col(vector).cast("array<double>").alias("vec"),

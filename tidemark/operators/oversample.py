@@ -21,8 +21,9 @@ def smote(
     the parent to one of its k nearest neighbours of the same class: x + u * (neighbour - x). Every
     parent gets the same number of copies, and the remainder goes to the rows with the smallest md5.
     The neighbour and u come from md5 of (key, copy, seed). Rows without a neighbour get no copies.
+    Keys are integers and unique.
     """
-    rows = df.where(F.col(vector).isNotNull()).select(
+    rows = df.where(F.col(vector).isNotNull() & F.col(label).isNotNull()).select(
         F.col(label).alias("_label"), F.col(key).alias("_id"), F.col(vector).cast("array<double>").alias("_x")
     )
     rows = rows.withColumn("_h", hash_int(F.col("_id"), seed))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import hash_int
@@ -61,20 +61,22 @@ def dummies(df: DataFrame, column: str, of: Sequence[str]) -> DataFrame:
     return df.withColumns(added).drop(column)
 
 
-def _corr(a: str, b: str) -> Column:
-    """Pearson correlation over rows that have both values; null for a constant column."""
-    x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-
-
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair of columns, in one pass: rows (a, b, r)."""
-    pairs = list(combinations(columns, 2))
-    one = df.agg(*[_corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    rows = [
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)
+    """Pearson correlation of every pair of columns, in one pass: rows (a, b, r).
+
+    Over the rows that have both values; null or 0 for a constant column, where ``corr`` would fail in
+    ANSI mode. Each row is unfolded into its pairs, which meet again in partial aggregates: one small
+    aggregate per pair stays compiled for any number of columns, one wide aggregate does not.
+    """
+    names = list(combinations(columns, 2))
+    pairs = [
+        F.struct(F.lit(i).alias("i"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+        for i, (a, b) in enumerate(names, start=1)
     ]
-    return one.select(F.inline(F.array(*rows)))
+    r = F.signum(F.covar_pop("x", "y")) * F.sqrt(F.regr_r2("x", "y"))
+    found = df.select(F.inline(F.array(*pairs))).groupBy("i").agg(r.alias("r"))
+    first, second = (F.array(*[F.lit(n[side]) for n in names]) for side in (0, 1))
+    return found.select(F.element_at(first, F.col("i")).alias("a"), F.element_at(second, F.col("i")).alias("b"), "r")
 
 
 def uncorrelated(df: DataFrame, columns: Sequence[str], cutoff: float = 0.9) -> list[str]:

@@ -46,8 +46,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder, never used before."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """A new path below the shared folder, in one folder per application so that it is easy to drop later."""
+    return os.path.join(shared_dir(spark), f"tidemark-{spark.sparkContext.applicationId}", f"{name}-{uuid.uuid4().hex}")
 
 
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:

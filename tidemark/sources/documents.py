@@ -45,7 +45,7 @@ def read_documents(spark: SparkSession, root: str, patterns: Sequence[str] = DOC
     files = (
         spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", listing).text(root, wholetext=True)
     )
-    base = "^[a-z0-9]+:/*" + re.escape(root.split("://")[-1].strip("/")) + "/"
+    base = "^[a-z0-9]+:/*(?:.*?/)?" + re.escape(root.split("://")[-1].strip("/")) + "/"
     path = F.regexp_replace(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")), base, "")
     return files.select(path.alias("path"), F.col("value").alias("text")).where(selected(F.col("path"), patterns))
 
