@@ -16,7 +16,7 @@ COMMON = {"labelCol": "y", "featuresCol": "features"}
 
 def logistic_regression(params: Mapping[str, float] = {}) -> LogisticRegression:
     """Plain logistic regression: nothing to tune."""
-    return LogisticRegression(regParam=0.0, maxIter=50, **COMMON)
+    return LogisticRegression(regParam=0.0, maxIter=50, tol=1e-7, **COMMON)
 
 
 def random_forest(params: Mapping[str, float], seed: int = 42) -> RandomForestClassifier:

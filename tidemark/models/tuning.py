@@ -86,29 +86,30 @@ def tune(
 ) -> DataFrame:
     """Validation metrics of every configuration: rows (model, config_id, fold, metric, value).
 
-    Each fold is prepared once and written; its configurations are then fitted by ``parallel``
-    concurrent jobs. Over-sampled rows never reach a validation part. What returns to the driver are
-    six numbers per fit.
+    Each fold is prepared once and written; its configurations are then fitted. ``parallel`` folds or
+    fits run as concurrent jobs. Over-sampled rows never reach a validation part. What returns to the
+    driver are six numbers per fit.
     """
     spark = train.sparkSession
     work = [(family, config) for family, n in sizes.items() for config in grid(spark, family, n, seed)]
     folded = materialise(fold_of(train, recipe.key, folds, seed), "folded")
 
+    def prepare(fold: int):
+        inside, outside = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
+        return recipe.apply(inside.drop("fold"), outside.drop("fold"), f"fold{fold}")
+
     def one(prepared, fold: int, family: str, config: dict) -> list[tuple]:
         fit_rows, valid, features = prepared
-        model = fit(fit_rows, family, features, config)
-        rows = metrics_long(score(model, valid.dropna()).withColumn("_m", F.lit(family)), "y", "p", ["_m"]).collect()
+        scored = score(fit(fit_rows, family, features, config), valid.dropna())
+        rows = metrics_long(scored.withColumn("model", F.lit(family)), "y", "p", ["model"]).collect()
         return [(family, int(config["config_id"]), fold, r["metric"], r["value"]) for r in rows]
 
-    out: list[tuple] = []
     with ThreadPoolExecutor(parallel) as pool:
-        for f in range(folds):
-            parts = recipe.apply(
-                folded.where(F.col("fold") != f).drop("fold"), folded.where(F.col("fold") == f).drop("fold"), f"fold{f}"
-            )
-            jobs = [pool.submit(one, parts, f, family, config) for family, config in work]
-            for job in jobs:
-                out += job.result()
+        prepared = list(pool.map(prepare, range(folds)))
+        jobs = [
+            pool.submit(one, prepared[f], f, family, config) for f in range(folds) for family, config in work
+        ]
+        out = [row for job in jobs for row in job.result()]
     return spark.createDataFrame(out, "model string, config_id int, fold int, metric string, value double")
 
 

@@ -9,10 +9,11 @@ from tidemark.functions.risk import FIFTHS
 from tidemark.models.classifiers import fit, majority_vote, score
 from tidemark.models.tuning import Recipe, mean_scores, tune
 from tidemark.operators.evaluate import best_config, class_table, metrics_long
-from tidemark.operators.prep import stratified_split
+from tidemark.operators.prep import dummies, levels, stratified_split
 from tidemark.plans.daily_risk import event_model_table
+from tidemark.plans.evaluation import LABELLED_SQL
 from tidemark.plans.registry import query
-from tidemark.plans.tables import table
+from tidemark.plans.tables import labelled, table
 from tidemark.session import materialise
 
 
@@ -50,6 +51,29 @@ def logistic_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _test_metrics(spark, sf_dir, "logistic_regression", {})
 
 
+@query("WITH" + LABELLED_SQL + """,
+terms AS (
+  SELECT unnest(['intercept', 'p', 'lang_en', 'lang_es', 'lang_fr']) AS term, y,
+         unnest([1.0, p, CAST(lang = 'en' AS INT), CAST(lang = 'es' AS INT), CAST(lang = 'fr' AS INT)]) AS x
+  FROM labelled)
+SELECT term, round(avg(x * y), 4) AS moment FROM terms GROUP BY term""")
+def logistic_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean of each predictor times the fitted probability.
+
+    At the optimum of a logistic regression these equal the means of predictor times outcome, which
+    plain SQL can compute: the check that the fit has converged on all rows.
+    """
+    rows = labelled(spark, sf_dir)
+    rows = materialise(dummies(rows, "lang", levels(rows, "lang")), "terms")
+    features = [c for c in rows.columns if c == "p" or c.startswith("lang_")]
+    scored = score(fit(rows, "logistic_regression", features), rows, "fitted")
+    terms = ["intercept", *features]
+    means = scored.withColumn("intercept", F.lit(1.0)).agg(
+        *[F.round(F.avg(F.col(t) * F.col("fitted")), 4).alias(t) for t in terms]
+    )
+    return means.unpivot([], terms, "term", "moment")
+
+
 @query()
 def random_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _test_metrics(spark, sf_dir, "random_forest", {"trees": 30, "mtry": 2, "min_n": 5})
