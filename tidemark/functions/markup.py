@@ -120,13 +120,15 @@ def citations(text: Column) -> Column:
 
 
 def _link_structs(text: Column, kind: str, pattern: str, label: int | None, target: int) -> Column:
-    targets = F.regexp_extract_all(text, F.lit(pattern), F.lit(target))
-    labels = (
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(label)) if label else F.transform(targets, lambda t: F.lit(""))
-    )
-    return F.zip_with(
-        labels, targets, lambda a, t: F.struct(F.lit(kind).alias("kind"), a.alias("label"), t.alias("target"))
-    )
+    """The text is searched once; label and target are taken from the short matches."""
+
+    def parts(match: Column) -> Column:
+        name = F.regexp_extract(match, pattern, label) if label else F.lit("")
+        return F.struct(
+            F.lit(kind).alias("kind"), name.alias("label"), F.regexp_extract(match, pattern, target).alias("target")
+        )
+
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), parts)
 
 
 def links(text: Column) -> Column:

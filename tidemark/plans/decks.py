@@ -127,7 +127,7 @@ def document_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("WITH" + BIBS_SQL + r""",
-entries AS (SELECT path, unnest(string_split_regex(text, '(?:^|\n)[ \t]*@')) AS e FROM bibs),
+entries AS (SELECT path, unnest(string_split(regexp_replace(text, '(^|\n)[ \t]*@(\w+[ \t]*\{)', '\1' || chr(1) || '\2', 'g'), chr(1))) AS e FROM bibs),
 headed AS (
   SELECT path, lower(regexp_extract(e, '^(\w+)[ \t]*\{', 1)) AS kind, regexp_extract(e, '^\w+[ \t]*\{[ \t\n]*([^,\s{}]+)[ \t]*,', 1) AS "key", e
   FROM entries)

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.documents import read_texts
 
-ENTRY_START = r"(?m)^(?=[ \t]*@)"
+ENTRY_START = r"(?m)^(?=[ \t]*@\w+[ \t]*\{)"
 ENTRY_HEAD = r"^[ \t]*@(\w+)[ \t]*\{[ \t\n]*([^,\s{}]+)[ \t]*,"
 # A braced value may hold braces up to three deep; possessive runs keep long values off the regex stack.
 _INNER = r"(?:[^{}]++|\{[^{}]*+\})*+"
 _BRACED = r"\{(?:[^{}]++|\{" + _INNER + r"\})*+\}"
-FIELD = r"([\w-]+)\s*=\s*(" + _BRACED + r'|"[^"]*+"|[\w.+-]+)'
+FIELD = r"[\w-]+\s*=\s*(?:" + _BRACED + r'|"[^"]*+"|[\w.+-]+)'
 # Not entries, but instructions to the formatter.
 SKIPPED_KINDS = ("comment", "string", "preamble")
 
@@ -24,19 +24,21 @@ def parse_bibliography(files: DataFrame) -> DataFrame:
 
     The first of repeated field names counts. Outer braces or quotes of a value are removed.
     """
+    # Long texts are searched once per step; everything else works on the short matches.
     entry = files.select("path", F.explode(F.split("text", ENTRY_START)).alias("entry"))
-    headed = entry.select(
+    headed = entry.select("path", "entry", F.regexp_extract("entry", ENTRY_HEAD, 0).alias("head")).where("head <> ''")
+    found = headed.select(
         "path",
-        F.lower(F.regexp_extract("entry", ENTRY_HEAD, 1)).alias("kind"),
-        F.regexp_extract("entry", ENTRY_HEAD, 2).alias("key"),
-        F.regexp_replace("entry", ENTRY_HEAD, "").alias("body"),
-    ).where((F.col("key") != "") & ~F.col("kind").isin(*SKIPPED_KINDS))
-    names = F.transform(F.regexp_extract_all("body", F.lit(FIELD), F.lit(1)), F.lower)
+        F.lower(F.regexp_extract("head", ENTRY_HEAD, 1)).alias("kind"),
+        F.regexp_extract("head", ENTRY_HEAD, 2).alias("key"),
+        F.regexp_extract_all(F.substr("entry", F.length("head") + 1), F.lit(FIELD), F.lit(0)).alias("found"),
+    ).where(~F.col("kind").isin(*SKIPPED_KINDS))
+    names = F.transform("found", lambda m: F.lower(F.regexp_extract(m, r"^[\w-]+", 0)))
     values = F.transform(
-        F.regexp_extract_all("body", F.lit(FIELD), F.lit(2)),
+        F.transform("found", lambda m: F.regexp_replace(m, r"^[\w-]+\s*=\s*", "")),
         lambda v: F.when(v.rlike(r'^[{"]'), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v),
     )
-    fields = headed.select("path", "kind", "key", names.alias("n"), values.alias("v"))
+    fields = found.select("path", "kind", "key", names.alias("n"), values.alias("v"))
     pairs = F.zip_with("n", "v", lambda n, v: F.struct(n.alias("n"), v.alias("v")))
     firsts = F.filter(pairs, lambda p, i: F.array_position("n", p["n"]) == i + 1)
     return fields.select("path", "kind", "key", F.map_from_entries(firsts).alias("fields"))
