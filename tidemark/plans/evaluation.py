@@ -147,8 +147,8 @@ def best_configurations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("WITH" + CONFIG_SCORES_SQL + """
-SELECT metric, truth, sum("value") FILTER (WHERE prediction = 'noyade') AS noyade,
-       sum("value") FILTER (WHERE prediction = 'pas_de_noyade') AS pas_de_noyade
+SELECT metric, truth, CAST(sum("value") FILTER (WHERE prediction = 'noyade') AS BIGINT) AS noyade,
+       CAST(sum("value") FILTER (WHERE prediction = 'pas_de_noyade') AS BIGINT) AS pas_de_noyade
 FROM cells GROUP BY metric, truth""")
 def confusion_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusion_wide(_best_cells(spark, sf_dir))
