@@ -51,7 +51,7 @@ def test_daily_outcome_matches_brute_force(spark):
     events = [(rnd.choice(sites[1:] + ["elsewhere"]), stamp(rnd.choice(days), rnd.randrange(24))) for _ in range(40)]
     events += [("s1", stamp(days[0] - dt.timedelta(1))), ("s1", stamp(days[-1] + dt.timedelta(1))), ("elsewhere", stamp(days[0]))]
     got = daily_outcome(
-        spark.createDataFrame([(s,) for s in sites for _ in range(3)], "site string"),
+        spark.createDataFrame([(s,) for s in [*sites, None] for _ in range(3)], "site string"),
         spark.createDataFrame(events, "site string, ts timestamp_ntz"),
         "ts",
         days[0],

@@ -15,7 +15,7 @@ from tidemark.operators.design import latin_hypercube
 from tidemark.operators.evaluate import metrics_long
 from tidemark.operators.oversample import smote
 from tidemark.operators.prep import dummies, levels, uncorrelated, zscore
-from tidemark.session import materialise
+from tidemark.session import fresh_path, materialise
 
 # Our grid limits per family.
 RANGES = {
@@ -86,31 +86,40 @@ def tune(
 ) -> DataFrame:
     """Validation metrics of every configuration: rows (model, config_id, fold, metric, value).
 
-    Each fold is prepared once and written; its configurations are then fitted. ``parallel`` folds or
-    fits run as concurrent jobs. Over-sampled rows never reach a validation part. What returns to the
-    driver are six numbers per fit.
+    Each fold is prepared once and written; its configurations are then fitted and their validation
+    scores written. ``parallel`` folds or fits run as concurrent jobs. One grouped pass over all the
+    scores gives the metrics. Over-sampled rows never reach a validation part.
     """
     spark = train.sparkSession
     work = [(family, config) for family, n in sizes.items() for config in grid(spark, family, n, seed)]
     folded = materialise(fold_of(train, recipe.key, folds, seed), "folded")
+    path = fresh_path(spark, "scores")
 
     def prepare(fold: int):
         inside, outside = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
         return recipe.apply(inside.drop("fold"), outside.drop("fold"), f"fold{fold}")
 
-    def one(prepared, fold: int, family: str, config: dict) -> list[tuple]:
+    def one(prepared, fold: int, family: str, config: dict) -> str:
         fit_rows, valid, features = prepared
         scored = score(fit(fit_rows, family, features, config), valid.dropna())
-        rows = metrics_long(scored.withColumn("model", F.lit(family)), "y", "p", ["model"]).collect()
-        return [(family, int(config["config_id"]), fold, r["metric"], r["value"]) for r in rows]
+        part = f"{path}/{family}-{config['config_id']}-{fold}"
+        scored.select(
+            F.lit(family).alias("model"),
+            F.lit(config["config_id"]).cast("int").alias("config_id"),
+            F.lit(fold).alias("fold"),
+            F.col("y").cast("int").alias("y"),
+            "p",
+        ).write.parquet(part)
+        return part
 
     with ThreadPoolExecutor(parallel) as pool:
         prepared = list(pool.map(prepare, range(folds)))
         jobs = [
             pool.submit(one, prepared[f], f, family, config) for f in range(folds) for family, config in work
         ]
-        out = [row for job in jobs for row in job.result()]
-    return spark.createDataFrame(out, "model string, config_id int, fold int, metric string, value double")
+        parts = [job.result() for job in jobs]
+    schema = "model string, config_id int, fold int, y int, p double"
+    return metrics_long(spark.read.schema(schema).parquet(*parts), "y", "p", ["model", "config_id", "fold"])
 
 
 def mean_scores(scores: DataFrame) -> DataFrame:

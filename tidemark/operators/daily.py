@@ -45,24 +45,17 @@ def _day(value) -> Column:
     return value if isinstance(value, Column) else F.lit(value).cast("date")
 
 
-def fill_days(daily: DataFrame, start, end, zero: Sequence[str] = ()) -> DataFrame:
-    """Add the missing days of every site, so that each has all days from ``start`` to ``end``.
-
-    The limits are dates, or columns as from ``day_limits``. Rows outside them are dropped. ``daily`` holds at most one row per (site, day). Each row generates itself and the gap behind it,
-    so only the rows that exist are shuffled, by site, and the far larger calendar never is. Added
-    rows are null but for the columns in ``zero``, which become 0. A site contributes at most one
-    row per day, which bounds the window. The explicit partition count keeps small inputs from being
-    merged into a few tasks before they expand.
-    """
-    lo, hi = _day(start), _day(end)
-    values = [c for c in daily.columns if c not in KEYS]
-    inside = daily.where((F.col("day") >= lo) & (F.col("day") <= hi))
+def _filled(daily: DataFrame, lo: Column, hi: Column, zero: Sequence[str], listed: str | None = None) -> DataFrame:
+    """The rows of ``daily`` and the missing days; sites whose first row has ``listed`` = 0 are left out."""
+    values = [c for c in daily.columns if c not in KEYS and c != listed]
     order = Window.partitionBy("site").orderBy("day")
     spans = (
-        inside.repartition(shuffle_partitions(daily.sparkSession), "site")
+        daily.repartition(shuffle_partitions(daily.sparkSession), "site")
+        .withColumn("_keep", F.first(listed).over(order) == 1 if listed else F.lit(True))
         .withColumn("_next", F.lead("day").over(order))
         .withColumn("_from", F.when(F.row_number().over(order) == 1, lo).otherwise(F.col("day")))
         .withColumn("_to", F.coalesce(F.date_sub("_next", 1), hi))
+        .where("_keep")
     )
     filled = spans.select(
         "site", F.col("day").alias("_seen"), *values, F.explode(F.sequence("_from", "_to")).alias("day")
@@ -74,22 +67,36 @@ def fill_days(daily: DataFrame, start, end, zero: Sequence[str] = ()) -> DataFra
     return filled.select("site", "day", *out)
 
 
+def fill_days(daily: DataFrame, start, end, zero: Sequence[str] = ()) -> DataFrame:
+    """Add the missing days of every site, so that each has all days from ``start`` to ``end``.
+
+    The limits are dates, or columns as from ``day_limits``. Rows outside them are dropped. ``daily``
+    holds at most one row per (site, day). Each row generates itself and the gap behind it, so only
+    the rows that exist are shuffled, by site, and the far larger calendar never is. Added rows are
+    null but for the columns in ``zero``, which become 0. A site contributes at most one row per day,
+    which bounds the window. The explicit partition count keeps small inputs from being merged into a
+    few tasks before they expand.
+    """
+    lo, hi = _day(start), _day(end)
+    return _filled(daily.where((F.col("day") >= lo) & (F.col("day") <= hi)), lo, hi, zero)
+
+
 def daily_outcome(sites: DataFrame, events: DataFrame, ts: str, start, end) -> DataFrame:
     """1 for each day and site with an event, 0 for every other day of the period.
 
     ``sites`` has one column ``site`` (repeats allowed); ``events`` has ``site`` and the timestamp
     ``ts``. Sites without any event are kept. Events at other sites or outside the period are not.
-    The limits are dates, or columns as from ``day_limits``.
+    The limits are dates, or columns as from ``day_limits``. Missing days are added as in
+    ``fill_days``.
     """
     lo, hi = _day(start), _day(end)
     days = events.select("site", F.to_date(ts).alias("day")).where((F.col("day") >= lo) & (F.col("day") <= hi))
     marks = days.select("site", "day", F.lit(1).alias("y"), F.lit(0).alias("_listed"))
     # Every site is listed on the first day of the period: its first row then tells whether it counts.
     listed = sites.select("site", lo.alias("day"), F.lit(0).alias("y"), F.lit(1).alias("_listed"))
-    daily = marks.unionByName(listed).groupBy("site", "day").agg(F.max("y").alias("y"), F.max("_listed").alias("_listed"))
-    first = F.first("_listed").over(Window.partitionBy("site").orderBy("day"))
-    daily = daily.repartition(shuffle_partitions(daily.sparkSession), "site").withColumn("_listed", first)
-    return fill_days(daily.where("_listed = 1").drop("_listed"), lo, hi, zero=["y"])
+    both = marks.unionByName(listed).where(F.col("site").isNotNull())
+    daily = both.groupBy("site", "day").agg(F.max("y").alias("y"), F.max("_listed").alias("_listed"))
+    return _filled(daily, lo, hi, ["y"], "_listed")
 
 
 def modelling_table(outcome: DataFrame, *features: DataFrame) -> DataFrame:
