@@ -37,6 +37,14 @@ def test_neighbours_match_all_pairs(spark, block, copies):
     assert got == brute(rows, 4)
 
 
+def test_neighbours_far_from_the_origin(spark):
+    rows = [("a", i, [1e6 + x, -2e6 + y]) for _, i, (x, y) in clustered(90, ["a"], 2, 1)]
+    df = spark.createDataFrame(rows, "g string, id long, x array<double>")
+    for block in (4096, 15):
+        got = {(r.g, r.id, r["rank"], r.nb_id) for r in nearest_neighbours(df, "g", "id", "x", 3, block=block).collect()}
+        assert got == brute(rows, 3)
+
+
 def test_small_groups_and_missing_vectors(spark):
     rows = [("a", 1, [0.0]), ("a", 2, [1.0]), ("a", 3, None), ("lone", 4, [2.0]), (None, 5, [0.0])]
     df = spark.createDataFrame(rows, "g string, id long, x array<double>")

@@ -31,14 +31,16 @@ def _nearest(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.Data
         queries = queries.iloc[:0]
     if len(queries):
         q, c = np.stack(queries["vec"]).astype(float), np.stack(candidates["vec"]).astype(float)
-        c_sq = (c * c).sum(1)
-        slack = 1e-9 * (c_sq.max() + (q * q).sum(1).max() + 1.0)
+        middle = c.mean(0)
+        c_mid, c_sq = c - middle, ((c - middle) ** 2).sum(1)
+        slack = 1e-11 * (c_sq.max() + ((q - middle) ** 2).sum(1).max())
     qid, cid = queries["id"].to_numpy(), candidates["id"].to_numpy()
     parts = []
     for start in range(0, len(queries), CHUNK):
         qs, ids = q[start : start + CHUNK], qid[start : start + CHUNK]
         # Fast products preselect, with slack for their rounding; differences decide.
-        approx = c_sq[None, :] - 2.0 * (qs @ c.T) + (qs * qs).sum(1)[:, None]
+        q_mid = qs - middle
+        approx = c_sq[None, :] - 2.0 * (q_mid @ c_mid.T) + (q_mid * q_mid).sum(1)[:, None]
         approx[ids[:, None] == cid[None, :]] = np.inf
         kth = min(k, approx.shape[1]) - 1
         limit = np.partition(approx, kth, axis=1)[:, kth : kth + 1]
