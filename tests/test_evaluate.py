@@ -98,9 +98,9 @@ def brute_auc(rows):
     return sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
 
 
-@pytest.mark.parametrize("buckets", [2, 7, 128])
+@pytest.mark.parametrize("buckets", [2, 7, 50, 128, None])
 def test_auc_matches_all_pairs_with_a_hot_score(spark, buckets):
-    rnd = random.Random(buckets)
+    rnd = random.Random(buckets or 0)
     rows = [("a", int(rnd.random() < 0.3), 0.25 if rnd.random() < 0.4 else round(rnd.random(), 2)) for _ in range(300)]
     rows += [("b", int(rnd.random() < 0.5), rnd.random() * 1e-3) for _ in range(80)]
     df = spark.createDataFrame(rows, "g string, y int, p double")

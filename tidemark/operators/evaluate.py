@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.risk import NEGATIVE, POSITIVE, risk_class
+from tidemark.session import shuffle_partitions
 
 LOG_LOSS_EPS = 1e-15
+MAX_RANGES = 4096
 HIGHER_IS_BETTER = {
     "accuracy": True,
     "roc_auc": True,
@@ -91,7 +94,18 @@ def log_loss(df: DataFrame, truth: str, p: str, by: Sequence[str] = ()) -> DataF
     return known.groupBy(*by).agg(F.avg(_loss(F.col(truth), F.col(p))).alias("mn_log_loss"))
 
 
-def _score_ranges(df: DataFrame, truth: str, score: str, by: list[str], cut: float, buckets: int) -> DataFrame:
+def _ranges(spark: SparkSession) -> int:
+    """Number of score ranges: a few per shuffle partition, so that every core has some."""
+    return min(MAX_RANGES, max(128, 4 * shuffle_partitions(spark)))
+
+
+def _range_of(limits: Column, width: int, score: Column) -> Column:
+    """How many sorted limits are at or below the score: whole blocks of ``width`` first, then one block."""
+    whole = F.size(F.filter(limits["last"], lambda c: c <= score)) * width
+    return whole + F.size(F.filter(F.slice(limits["all"], whole + 1, F.lit(width)), lambda c: c <= score))
+
+
+def _score_ranges(df: DataFrame, truth: str, score: str, by: list[str], cut: float, buckets: int | None) -> DataFrame:
     """Per group and score range: positives, negatives, their pair count, the four cells and the loss.
 
     Scores are first counted per distinct value, which absorbs any hot score before the shuffle; all
@@ -103,10 +117,14 @@ def _score_ranges(df: DataFrame, truth: str, score: str, by: list[str], cut: flo
     counted = known.groupBy(*by, F.col(score).cast("double").alias("_s")).agg(
         F.count_if(F.col(truth) == 1).alias("_pos"), F.count_if(F.col(truth) != 1).alias("_neg")
     )
+    buckets = buckets or _ranges(df.sparkSession)
+    width = math.isqrt(buckets)
     steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     seen = F.when(F.col("_pos") + F.col("_neg") > 0, F.col("_s"))
-    limits = counted.agg(F.array_distinct(F.percentile_approx(seen, steps, 1000)).alias("l")).scalar()
-    ranged = counted.withColumn("_l", limits).withColumn("_b", F.size(F.filter("_l", lambda c: c <= F.col("_s"))))
+    quantiles = counted.agg(F.array_distinct(F.percentile_approx(seen, steps, 10 * buckets)).alias("all"))
+    last = F.filter("all", lambda _, i: i % width == width - 1)
+    limits = quantiles.select(F.struct("all", last.alias("last")).alias("l")).scalar()
+    ranged = counted.withColumn("_l", limits).withColumn("_b", _range_of(F.col("_l"), width, F.col("_s")))
     lower = Window.partitionBy(*by, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     pairs = F.col("_pos") * (F.coalesce(F.sum("_neg").over(lower), F.lit(0)) + F.lit(0.5) * F.col("_neg"))
     flagged = F.col("_s") >= cut
@@ -138,14 +156,14 @@ def _auc() -> Column:
     return F.try_divide(F.sum("_u"), F.sum("_p").cast("double") * F.sum("_n"))
 
 
-def roc_auc(df: DataFrame, truth: str, score: str, by: Sequence[str] = (), buckets: int = 128) -> DataFrame:
+def roc_auc(df: DataFrame, truth: str, score: str, by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """Area under the ROC curve, ties counting one half (truth is 0 or 1)."""
     by = list(by)
     return _chained(_score_ranges(df, truth, score, by, 0.5, buckets), by).groupBy(*by).agg(_auc().alias("roc_auc"))
 
 
 def metrics_long(
-    df: DataFrame, truth: str, p: str, by: Sequence[str], cut: float = 0.5, buckets: int = 128
+    df: DataFrame, truth: str, p: str, by: Sequence[str], cut: float = 0.5, buckets: int | None = None
 ) -> DataFrame:
     """The six metrics of every group as rows (by..., metric, value), in one pass; truth is 0 or 1."""
     by = list(by)

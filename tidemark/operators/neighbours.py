@@ -213,6 +213,8 @@ def nearest_neighbours(
     if not rows:
         return df.sparkSession.createDataFrame([], RESULT)
     found = _blocked(kept.drop("_r"), {r.g: r.n for r in rows}, k, block, seed)
+    if points.count() == sum(r.n for r in rows):
+        return found
     # Every other copy has k equal rows with smaller ids: the first k of its set.
     rest = points.where("ask").join(kept.select("g", "id"), ["g", "id"], "left_anti")
     firsts = kept.where(F.col("_r") <= k).select("g", "vec", F.col("_r").alias("rank"), F.col("id").alias("nb_id"))

@@ -45,6 +45,8 @@ def smote(
         "_x",
         (F.col("_each") + extra).cast("int").alias("_copies"),
     ).withColumn("_ask", F.col("_copies") > 0)
+    # Finding the cuts takes several passes over the rows; what follows reads their result.
+    minority = materialise(minority, "minority")
     near = nearest_neighbours(minority, "g", "id", "_x", k, block, seed, asking="_ask")
     lists = near.groupBy("g", "id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "nb_id"))), lambda s: s["nb_id"]).alias("_near")
