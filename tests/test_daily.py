@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from tidemark.operators.daily import (
     daily_max,
     daily_outcome,
+    daily_panel,
     day_limits,
     fill_days,
     lead_forecast,
     modelling_table,
     study_period,
+    with_calendar,
 )
 
 D = dt.date(2020, 2, 27)
@@ -88,6 +90,21 @@ def test_day_limits(spark):
     assert tuple(spark.range(1).select(lo, hi).first()) == (D, D + dt.timedelta(3))
 
 
+def test_daily_panel_equals_the_joins(spark):
+    rnd = random.Random(9)
+    day = lambda: D + dt.timedelta(rnd.randrange(-2, 8))
+    sites = spark.createDataFrame([("a",), ("b",), ("c",)], "site string")
+    events = spark.createDataFrame([(rnd.choice("abx"), stamp(day(), 3)) for _ in range(12)], "site string, ts timestamp_ntz")
+    waves = spark.createDataFrame([(rnd.choice("acx"), day(), rnd.random()) for _ in range(30)], "site string, day date, h double")
+    air = spark.createDataFrame([(rnd.choice("ab"), day(), rnd.randrange(40)) for _ in range(30)], "site string, day date, t int")
+    period = (D, D + dt.timedelta(5))
+    got = with_calendar(daily_panel(sites, events, "ts", *period, [waves, air]))
+    daily = [f.groupBy("site", "day").agg(F.max(v).alias(v)) for f, v in ((waves, "h"), (air, "t"))]
+    want = modelling_table(daily_outcome(sites, events, "ts", *period), *daily)
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 18
+
+
 def test_lead_forecast_and_modelling_table(spark):
     days = spark.createDataFrame([("a", D + dt.timedelta(3), 1), ("a", D + dt.timedelta(4), 0)], "site string, day date, y int")
     issues = [("a", D, 20.0), ("a", D, 22.0), ("a", D + dt.timedelta(2), 30.0)]

@@ -81,29 +81,45 @@ def fill_days(daily: DataFrame, start, end, zero: Sequence[str] = ()) -> DataFra
     return _filled(daily.where((F.col("day") >= lo) & (F.col("day") <= hi)), lo, hi, zero)
 
 
-def daily_outcome(sites: DataFrame, events: DataFrame, ts: str, start, end) -> DataFrame:
-    """1 for each day and site with an event, 0 for every other day of the period.
+def daily_panel(
+    sites: DataFrame, events: DataFrame, ts: str, start, end, observations: Sequence[DataFrame] = ()
+) -> DataFrame:
+    """Outcome and daily maxima of all observations, for every day and site of the period.
 
     ``sites`` has one column ``site`` (repeats allowed); ``events`` has ``site`` and the timestamp
-    ``ts``. Sites without any event are kept. Events at other sites or outside the period are not.
-    The limits are dates, or columns as from ``day_limits``. Missing days are added as in
-    ``fill_days``.
+    ``ts``; each observation has ``site``, ``day`` and its own value columns, with any number of rows
+    per day. ``y`` is 1 on days with an event, else 0; values are null on days without any. Sites
+    without events are kept; rows at other sites or outside the period are not. The limits are dates,
+    or columns as from ``day_limits``.
+
+    All sources meet in one aggregate instead of a join each: partial maxima are shuffled once by
+    (site, day) and once by site, where the calendar is then filled in.
     """
     lo, hi = _day(start), _day(end)
-    days = events.select("site", F.to_date(ts).alias("day")).where((F.col("day") >= lo) & (F.col("day") <= hi))
-    marks = days.select("site", "day", F.lit(1).alias("y"), F.lit(0).alias("_listed"))
     # Every site is listed on the first day of the period: its first row then tells whether it counts.
-    listed = sites.select("site", lo.alias("day"), F.lit(0).alias("y"), F.lit(1).alias("_listed"))
-    both = marks.unionByName(listed).where(F.col("site").isNotNull())
-    daily = both.groupBy("site", "day").agg(F.max("y").alias("y"), F.max("_listed").alias("_listed"))
+    rows = sites.select("site", lo.alias("day"), F.lit(0).alias("y"), F.lit(1).alias("_listed"))
+    marks = events.select("site", F.to_date(ts).alias("day"), F.lit(1).alias("y"))
+    for source in (marks, *observations):
+        rows = rows.unionByName(source, allowMissingColumns=True)
+    rows = rows.where(F.col("site").isNotNull() & (F.col("day") >= lo) & (F.col("day") <= hi))
+    values = [c for c in rows.columns if c not in (*KEYS, "y", "_listed")]
+    daily = rows.groupBy("site", "day").agg(
+        *[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("y", "_listed")], *[F.max(c).alias(c) for c in values]
+    )
     return _filled(daily, lo, hi, ["y"], "_listed")
 
 
+def daily_outcome(sites: DataFrame, events: DataFrame, ts: str, start, end) -> DataFrame:
+    """1 for each day and site with an event, 0 for every other day: ``daily_panel`` without observations."""
+    return daily_panel(sites, events, ts, start, end)
+
+
 def modelling_table(outcome: DataFrame, *features: DataFrame) -> DataFrame:
     """Outcome rows with the daily features of the same site and day; days without them keep nulls.
 
     Daily frames come out of ``groupBy(site, day)`` already partitioned by the join keys, so only the
-    outcome is exchanged, once for all joins.
+    outcome is exchanged, once for all joins. To build outcome and features together, without that
+    exchange, use ``daily_panel``.
     """
     out = outcome
     for f in features:

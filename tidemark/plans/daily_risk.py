@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.risk import POSITIVE, logistic, majority, rule_risk, wave_factor, wave_incidence
 from tidemark.operators.daily import (
     daily_max,
     daily_outcome,
+    daily_panel,
     day_limits,
     fill_days,
     lead_forecast,
@@ -97,11 +98,15 @@ def daily_temperature_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily_max(table(spark, sf_dir, "events"), "user_id", "ts", {"t_air": F.col("value")})
 
 
-def _event_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _event_sources(spark: SparkSession, sf_dir: str) -> tuple:
+    """Sites, incidents and period of the events table: purchases are the incidents."""
     events = table(spark, sf_dir, "events")
     incidents = events.where("event_type = 'purchase'").select(F.col("user_id").alias("site"), "ts")
-    sites = events.select(F.col("user_id").alias("site"))
-    return daily_outcome(sites, incidents, "ts", *day_limits(events, "ts"))
+    return events.select(F.col("user_id").alias("site")), incidents, "ts", *day_limits(events, "ts")
+
+
+def _event_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return daily_outcome(*_event_sources(spark, sf_dir))
 
 
 @query("WITH" + EVENT_SPINE_SQL + ' SELECT site, "day", y FROM outcome')
@@ -126,20 +131,21 @@ def lead_time_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lead_forecast(days, _forecasts(spark, sf_dir), "t_air", 3)
 
 
+def _hazard_values() -> dict[str, Column]:
+    return {"cos4": wave_incidence(F.col("value")), "hstp": F.col("value") * F.col("event_id") % 97}
+
+
 def event_model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcome, hazards of non-incident events, and the forecast, per user and day."""
+    """Outcome, hazards of non-incident events, the forecast and the calendar, per user and day."""
     events = table(spark, sf_dir, "events").where("event_type <> 'purchase'")
-    hazards = daily_max(
-        events, "user_id", "ts", {"cos4": wave_incidence(F.col("value")), "hstp": F.col("value") * F.col("event_id") % 97}
-    )
-    days = _event_outcome(spark, sf_dir)
-    due = _forecasts(spark, sf_dir).groupBy("site", F.date_add("issue_day", 3).alias("day")).agg(
-        F.max("t_air").alias("t_air")
+    hazards = events.select(
+        F.col("user_id").alias("site"), F.to_date("ts").alias("day"), *[v.alias(n) for n, v in _hazard_values().items()]
     )
-    return modelling_table(days, hazards, due)
+    due = _forecasts(spark, sf_dir).select("site", F.date_add("issue_day", 3).alias("day"), "t_air")
+    return with_calendar(daily_panel(*_event_sources(spark, sf_dir), [hazards, due]))
 
 
-@query('WITH' + EVENT_SPINE_SQL + """,
+EVENT_TABLE_SQL = 'WITH' + EVENT_SPINE_SQL + """,
 hazards AS (
   SELECT user_id AS site, CAST(ts AS DATE) AS "day", max(pow(cos(radians(278.0 - "value")), 4)) AS cos4,
          max(("value" * event_id) % 97) AS hstp
@@ -151,10 +157,26 @@ SELECT o.site, o."day" AS "day", o.y, round(h.cos4, 9) AS cos4, round(h.hstp, 6)
        CAST(day(o."day") AS INT) AS mday, CAST(month(o."day") AS INT) AS "month", CAST(isodow(o."day") AS INT) AS wday
 FROM outcome o
 LEFT JOIN hazards h ON h.site = o.site AND h."day" = o."day"
-LEFT JOIN due d ON d.site = o.site AND d."day" = o."day" """)
+LEFT JOIN due d ON d.site = o.site AND d."day" = o."day" """
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({"cos4": F.round("cos4", 9), "hstp": F.round("hstp", 6)})
+
+
+@query(EVENT_TABLE_SQL)
 def modelling_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    full = event_model_table(spark, sf_dir)
-    return full.withColumns({"cos4": F.round("cos4", 9), "hstp": F.round("hstp", 6)})
+    """Outcome, hazards and forecast joined by site and day."""
+    events = table(spark, sf_dir, "events").where("event_type <> 'purchase'")
+    hazards = daily_max(events, "user_id", "ts", _hazard_values())
+    days = lead_forecast(_event_outcome(spark, sf_dir), _forecasts(spark, sf_dir), "t_air", 3)
+    return _rounded(modelling_table(days, hazards))
+
+
+@query(EVENT_TABLE_SQL)
+def modelling_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table from one aggregate of all sources."""
+    return _rounded(event_model_table(spark, sf_dir))
 
 
 def _scored_days(spark: SparkSession, sf_dir: str) -> DataFrame:
