@@ -159,10 +159,16 @@ def test_front_matter(talk):
 
 
 def test_no_front_matter(spark):
-    df = spark.createDataFrame([("a", "no\n---\nx: 1\n---\n"), ("b", ""), ("c", "---\nopen: 1\n")], "path string, text string")
+    df = spark.createDataFrame([("a", "no\n---\nx: 1\n---\n"), ("b", ""), ("c", "---\nopen: 1\n"), ("d", "---\n---\nx: 1\n\n---\n")], "path string, text string")
     assert corpus.front_matter(df).count() == 0
 
 
+def test_front_matter_may_end_with_dots(spark):
+    df = spark.createDataFrame([("a", "---\nx: 1\n...\n# Head\n---\n")], "path string, text string")
+    assert [(r.key, r.value) for r in corpus.front_matter(df).collect()] == [("x", "1")]
+    assert [r.line_no for r in corpus.slides(df).collect()] == [4]
+
+
 def test_shortcodes(talk):
     got = [tuple(r)[2:] for r in corpus.icon_uses(talk).orderBy("pos").collect()]
     assert got == [
@@ -231,6 +237,14 @@ def test_slides(talk):
     ]
 
 
+def test_windows_line_ends(spark, talk):
+    crlf = talk.select("path", F.regexp_replace("text", "\n", "\r\n").alias("text"))
+    heads = ["level", "title", "section", "line_no"]
+    assert corpus.slides(crlf).select(heads).collect() == corpus.slides(talk).select(heads).collect()
+    pairs = ["key", "value"]
+    assert corpus.front_matter(crlf).select(pairs).collect() == corpus.front_matter(talk).select(pairs).collect()
+
+
 def walk(text):
     """Line-by-line reading of fences and headings, as a check."""
     out, code, depth = [], False, 0

@@ -23,8 +23,8 @@ ICON_SIZES = (
 )
 DEFAULT_GROUP = "solid"
 
-FRONT_MATTER = r"(?s)\A---[ \t]*\r?\n(.*?)\n---[ \t]*(?:\r?\n|\z)"
-TOP_LEVEL_KEY = r"^([A-Za-z0-9_-]+):[ \t]*([^\n]*)"
+FRONT_MATTER = r"(?s)\A---[ \t]*\r?\n((?:.*?\n)??)(?:---|\.\.\.)[ \t]*(?:\r?\n|\z)"
+TOP_LEVEL_KEY = r"^([A-Za-z0-9_-]+):[ \t]*([^\r\n]*)"
 SHORTCODE = r"\{\{<[ \t]*fa[ \t]+([^>]*+)>\}\}"
 ARGUMENT = r'[\w-]+="[^"]*"|[^ \t\n]+'
 KEYWORD = r"^[\w-]+="
@@ -47,8 +47,8 @@ HEADING_ATTRIBUTES = r"[ \t]*\{[^{}]*\}[ \t]*$"
 
 
 def front_matter(text: Column) -> Column:
-    """The block between the first line ``---`` and the next one; empty without one."""
-    return F.regexp_extract(text, FRONT_MATTER, 1)
+    """The block between the first line ``---`` and the next one (or ``...``); empty without one."""
+    return F.regexp_replace(F.regexp_extract(text, FRONT_MATTER, 1), r"\r?\n\z", "")
 
 
 def body(text: Column) -> Column:
@@ -64,7 +64,7 @@ def front_matter_items(text: Column) -> Column:
         lambda b: F.struct(
             F.regexp_extract(b, TOP_LEVEL_KEY, 1).alias("key"),
             F.regexp_replace(F.trim(F.regexp_extract(b, TOP_LEVEL_KEY, 2)), r'^"(.*)"$', "$1").alias("value"),
-            F.regexp_replace(b, TOP_LEVEL_KEY + r"\n?", "").alias("nested"),
+            F.regexp_replace(b, TOP_LEVEL_KEY + r"\r?\n?", "").alias("nested"),
         ),
     )
 
