@@ -36,6 +36,15 @@ def test_recipe_prepares_train_and_leaves_test_rows_alone(rows):
     assert real == 300
 
 
+def test_recipe_without_oversampling_keeps_the_rows(rows):
+    recipe = Recipe("id", ["a", "noise"], ["kind"], oversample=False, levels={"kind": ["u", "v"]})
+    prepared, held, features = recipe.apply(rows.where("id < 300"), rows.where("id >= 300"), "plain")
+    assert features == ["a", "noise", "kind_v"]
+    assert (prepared.count(), held.count()) == (300, 100)
+    means = prepared.agg(F.avg("a"), F.stddev("a")).first()
+    assert means[0] == pytest.approx(0, abs=1e-9) and means[1] == pytest.approx(1)
+
+
 @pytest.mark.parametrize(
     "family, params",
     [

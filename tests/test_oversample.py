@@ -45,6 +45,15 @@ def test_neighbours_far_from_the_origin(spark):
         assert got == brute(rows, 3)
 
 
+def test_ties_go_to_the_smaller_id_across_blocks(spark):
+    rows = [("a", (7 * i) % 144, [float(i % 12), float(i // 12)]) for i in range(144)]
+    rows = [(g, i, x) for i, (g, _, x) in enumerate(sorted(rows, key=lambda r: r[1]))]
+    df = spark.createDataFrame(rows, "g string, id long, x array<double>")
+    for block in (4096, 18):
+        got = {(r.g, r.id, r["rank"], r.nb_id) for r in nearest_neighbours(df, "g", "id", "x", 5, block=block).collect()}
+        assert got == brute(rows, 5)
+
+
 def test_small_groups_and_missing_vectors(spark):
     rows = [("a", 1, [0.0]), ("a", 2, [1.0]), ("a", 3, None), ("lone", 4, [2.0]), (None, 5, [0.0])]
     df = spark.createDataFrame(rows, "g string, id long, x array<double>")
