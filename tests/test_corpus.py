@@ -225,6 +225,11 @@ def test_emoji(talk):
     assert {r.emoji for r in corpus.emoji_uses(talk, front_matter=True).collect()} == {"anchor", "wave"}
 
 
+def test_times_of_day_are_no_emoji(spark):
+    df = spark.createDataFrame([("a", "at 10:30:45, :+1: :100: :t-rex: :A: a::b")], "path string, text string")
+    assert {r.emoji for r in corpus.emoji_uses(df).collect()} == {"+1", "100", "t-rex"}
+
+
 def test_slides(talk):
     got = [(r.slide_no, r.level, r.title, r.section, r.line_no) for r in corpus.slides(talk).orderBy("slide_no").collect()]
     lines = TALK.split("\n")

@@ -36,6 +36,8 @@ LINK = r"(?<!!)\[((?:[^\[\]]++|\[[^\[\]]*+\])*+)\]\(([^)]*+)\)"
 AUTOLINK = r"<((?:https?://|mailto:)[^ \t\n<>]+)>"
 HREF = r'href="([^"]*)"'
 EMOJI = r":([a-z0-9+-][a-z0-9_+-]*):"
+# Emoji names without a letter. Other such matches are times of day and the like.
+EMOJI_NUMBERS = ("+1", "-1", "100", "1234")
 # Line kinds; the first is a quick test that every structural line passes.
 STRUCTURAL = r"^(?: {0,3}(?:`{3}|:{3})|#)"
 CODE_FENCE = r"^ {0,3}`{3,}[ \t]*[^`]*$"
@@ -145,7 +147,9 @@ def hrefs(html: Column) -> Column:
 
 
 def emoji(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(EMOJI), F.lit(1))
+    """Names between colons."""
+    names = F.regexp_extract_all(text, F.lit(EMOJI), F.lit(1))
+    return F.filter(names, lambda n: n.rlike("[a-z]") | n.isin(*EMOJI_NUMBERS))
 
 
 def link_path(target: Column) -> Column:

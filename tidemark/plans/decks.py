@@ -280,7 +280,8 @@ def broken_page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH" + DECKS_SQL + r""",
 e AS (SELECT path, unnest(regexp_extract_all(text, ':([a-z0-9+-][a-z0-9_+-]*):', 1)) AS emoji FROM decks)
-SELECT path, emoji, count(*) AS uses FROM e GROUP BY 1, 2""")
+SELECT path, emoji, count(*) AS uses FROM e
+WHERE regexp_matches(emoji, '[a-z]') OR emoji IN ('+1', '-1', '100', '1234') GROUP BY 1, 2""")
 def emoji_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.emoji_uses(decks(spark, sf_dir), front_matter=True)
 
