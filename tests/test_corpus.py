@@ -215,6 +215,15 @@ def test_broken_links_compare_paths(spark):
     assert [r[0] for r in roots.select(link_path(F.col("t"))).collect()] == ["/", "/", ""]
 
 
+def test_missing_assets_are_looked_up_from_the_folder_of_the_document(spark):
+    targets = ["img/a.png", "../x/img/a.png#f", "./img/gone.png", "/img/root.png", "https://x.org/a.png", "mailto:a@b", "#top", ""]
+    uses = spark.createDataFrame([("talks/x/index.qmd", i, t) for i, t in enumerate(targets)], "path string, pos int, target string")
+    top = spark.createDataFrame([("index.qmd", 0, "img/root.png"), ("index.qmd", 1, "../../img/root.png")], uses.schema)
+    files = spark.createDataFrame([("talks/x/img/a.png",), ("img/root.png",)], "path string")
+    got = corpus.missing_assets(uses.unionByName(top), files).collect()
+    assert [(r.path, r.target, r.file) for r in got] == [("talks/x/index.qmd", "./img/gone.png", "talks/x/img/gone.png")]
+
+
 def test_href_uses(spark):
     df = spark.createDataFrame([(1, '<a href="/x">x</a><a href="/x">y</a><a class="c" href="/z">')], "id int, html string")
     assert {tuple(r) for r in corpus.href_uses(df, "id").collect()} == {(1, "/x", 2), (1, "/z", 1)}

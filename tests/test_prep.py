@@ -62,7 +62,7 @@ def test_correlation_filter(spark):
     assert r["a", "c"] > 0.99 and abs(r["a", "b"]) < 0.3
     kept = uncorrelated(df, ["a", "b", "c", "d", "flat"])
     assert len(set(kept) & {"a", "c", "d"}) == 1 and {"b", "flat"} <= set(kept)
-    assert uncorrelated(df, ["a", "b"]) == ["a", "b"]
+    assert uncorrelated(df, ["a", "b"]) == ["a", "b"] and uncorrelated(df, ["a"]) == ["a"]
 
 
 @pytest.mark.parametrize("bits", [1, 4, 10])

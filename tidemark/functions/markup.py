@@ -157,3 +157,25 @@ def link_path(target: Column) -> Column:
     bare = F.regexp_replace(target, r"[?#].*$", "")
     path = F.regexp_replace(bare, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*", "")
     return F.regexp_replace(path, r"(?<=.)/$", "")
+
+
+def is_local(target: Column) -> Column:
+    """Whether a target names a file of the collection: no scheme, no bare fragment, not empty."""
+    return (target != "") & ~target.rlike(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:|//|#)")
+
+
+def asset_path(document: Column, target: Column) -> Column:
+    """The path, from the root of the collection, of a local target used in a document.
+
+    A leading slash starts at the root, anything else at the folder of the document. ``.`` and ``..``
+    are resolved, query and fragment dropped.
+    """
+    bare = F.regexp_replace(target, r"[?#].*$", "")
+    full = F.when(bare.startswith("/"), bare).otherwise(F.concat(F.regexp_replace(document, r"[^/]*$", ""), bare))
+    none = F.array().cast("array<string>")
+
+    def step(done: Column, part: Column) -> Column:
+        up = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(part.isin("", "."), done).when(part == "..", up).otherwise(F.concat(done, F.array(part)))
+
+    return F.array_join(F.aggregate(F.split(full, "/"), none, step), "/")

@@ -160,3 +160,16 @@ def broken_links(
     have = known.select(markup.link_path(F.col("target")).alias("_path")).distinct()
     asked = materialise(uses.withColumn("_path", markup.link_path(F.col("target"))), "links")
     return hot_key_join(asked, have, ["_path"], "left_anti", spread).drop("_path")
+
+
+def missing_assets(
+    uses: DataFrame, files: DataFrame, key: str = "path", spread: Sequence[str] = ("path", "pos")
+) -> DataFrame:
+    """Uses of local files, such as images, that the collection does not have, with the path ``file``.
+
+    ``files`` has a column ``path``. The uses are written once, as in ``resolve_icons``.
+    """
+    local = uses.where(markup.is_local(F.col("target")))
+    asked = materialise(local.withColumn("file", markup.asset_path(F.col(key), F.col("target"))), "assets")
+    have = files.select(F.col("path").alias("file")).distinct()
+    return hot_key_join(asked, have, ["file"], "left_anti", spread)

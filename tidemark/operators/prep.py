@@ -85,6 +85,8 @@ def uncorrelated(df: DataFrame, columns: Sequence[str], cutoff: float = 0.9) ->
     Of the worst pair the column with the larger mean |r| to the others goes, on ties the later name.
     The data pass is ``correlations``; the choice is made on its p * p numbers.
     """
+    if len(columns) < 2:
+        return list(columns)
     r = {frozenset((row.a, row.b)): abs(row.r or 0.0) for row in correlations(df, columns).collect()}
     kept = list(columns)
     while len(kept) > 1:

@@ -264,6 +264,23 @@ def broken_deck_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.broken_links(uses, known.select(F.expr(KNOWN_SQL).alias("target")), spread=["path"])
 
 
+@query("WITH" + DECKS_SQL + LINKS_SQL + """,
+have AS (
+  SELECT DISTINCT concat('talks/', source, '/img/', source, '.png') AS f
+  FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)
+SELECT path, target, concat(regexp_replace(path, '[^/]*$', ''), target) AS file, count(*) AS uses
+FROM targets WHERE kind = 'image' AND concat(regexp_replace(path, '[^/]*$', ''), target) NOT IN (SELECT f FROM have)
+GROUP BY ALL""")
+def missing_deck_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of the decks without a file; sources with a toxic document have theirs."""
+    uses = corpus.link_uses(decks(spark, sf_dir)).where("kind = 'image'")
+    uses = uses.groupBy("path", "target").agg(F.count(F.lit(1)).alias("uses"))
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    sources = table(spark, sf_dir, "documents").select("doc_id", "source").join(toxic, "doc_id", "left_semi")
+    files = sources.select(F.concat(F.lit("talks/"), "source", F.lit("/img/"), "source", F.lit(".png")).alias("path"))
+    return corpus.missing_assets(uses, files, spread=["path"]).select("path", "target", "file", "uses")
+
+
 PATH_SQL = "regexp_replace(regexp_replace(regexp_replace({c}, '[?#].*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*', ''), '(.)/$', '\\1')"
 
 
