@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.markup import icon_size, link_path
 from tidemark.operators import corpus
-from tidemark.sources.bibliography import read_bibliography
+from tidemark.sources.bibliography import parse_bibliography, read_bibliography
 from tidemark.sources.cells import read_cells, write_cells
 from tidemark.sources.documents import read_documents, selected
 from tidemark.sources.icons import read_icons
@@ -191,6 +191,24 @@ def test_citations_and_their_resolution(spark, talk):
     assert got == {("t", "lee2020", 2, "resolved"), ("t", "wu2019", 1, "dangling"), ("t", "extra", 0, "uncited")}
 
 
+def test_entries_belong_to_the_documents_that_name_their_file(spark, root):
+    docs = read_documents(spark, root).where("path LIKE 'talks/sea/%'")
+    extra = [
+        ("talks/b.qmd", "---\nbibliography: [x.bib, '../refs.bib']\n---\n"),
+        ("c.qmd", "---\nbibliography:\n  - refs.bib\n  - \"y.bib\"\n---\n"),
+        ("d.qmd", "---\ntitle: none\n---\n"),
+    ]
+    docs = docs.unionByName(spark.createDataFrame(extra, "path string, text string"))
+    entries = parse_bibliography(read_documents(spark, root, ["*.bib"]))
+    assert {r.path for r in entries.collect()} == {"refs.bib"}
+    more = spark.createDataFrame([("y.bib", "k"), ("talks/x.bib", "k2"), ("talks/sea/refs.bib", "k3")], "path string, key string")
+    got = corpus.entries_of_documents(docs, entries.select("path", "key").unionByName(more)).collect()
+    three = ["lee2020", "never", "wu2019"]
+    assert sorted((r.path, r.key) for r in got) == sorted(
+        [("talks/b.qmd", k) for k in [*three, "k2"]] + [("c.qmd", k) for k in [*three, "k"]] + [("talks/sea/index.qmd", "k3")]
+    )
+
+
 def test_links(talk):
     got = [(r.kind, r.label, r.target) for r in corpus.link_uses(talk).orderBy("pos").collect()]
     assert got == [

@@ -77,6 +77,15 @@ def front_matter_value(text: Column, key: str) -> Column:
     return F.try_element_at(hits, F.lit(1))["value"]
 
 
+def bibliography_files(text: Column) -> Column:
+    """File names under the front matter key ``bibliography``: one name, an inline list or a list of lines."""
+    hits = F.filter(front_matter_items(text), lambda e: e["key"] == "bibliography")
+    entry = F.try_element_at(hits, F.lit(1))
+    listed = F.concat_ws("\n", entry["value"], F.regexp_replace(entry["nested"], r"(?m)^[ \t]*-[ \t]*", ""))
+    names = F.transform(F.split(listed, r"[\[\],\r\n]+"), lambda n: F.trim(F.regexp_replace(n, "[\"']", "")))
+    return F.filter(names, lambda n: n != "")
+
+
 def icon_size(size: Column) -> Column:
     """The size if it is an allowed name, or else the empty string."""
     return F.when(size.isin(*ICON_SIZES), size).otherwise("")

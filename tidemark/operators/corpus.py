@@ -122,6 +122,18 @@ def slides(docs: DataFrame, key: str = "path") -> DataFrame:
     return heads.select(key, F.row_number().over(order).alias("slide_no"), "level", "title", section.alias("section"), "line_no")
 
 
+def entries_of_documents(docs: DataFrame, entries: DataFrame) -> DataFrame:
+    """Rows (path, key): the entries of the bibliography files that each document names.
+
+    ``entries`` has (path, key), path being the file as ``read_documents`` would give it. A file that
+    many documents share is a hot key and is spread.
+    """
+    names = docs.select("path", F.explode(markup.bibliography_files(F.col("text"))).alias("name"))
+    used = materialise(names.select("path", markup.asset_path(F.col("path"), F.col("name")).alias("file")), "bibliographies")
+    have = entries.select(F.col("path").alias("file"), "key").distinct()
+    return hot_key_join(used.distinct(), have, ["file"], "inner", ["path"]).select("path", "key").distinct()
+
+
 def resolve_citations(docs: DataFrame, entries: DataFrame, key: str = "path") -> DataFrame:
     """Each cited and each listed key of a document with its state.
 
