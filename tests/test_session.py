@@ -30,3 +30,13 @@ def test_materialise_reads_back_the_same_rows(spark):
     assert back.schema.simpleString() == df.schema.simpleString()
     assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
     assert back._jdf.queryExecution().toString().count("Range") == 0
+
+
+def test_repartitions_use_all_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert session.shuffle_partitions(spark) == max(cores, 4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "77")
+    try:
+        assert session.shuffle_partitions(spark) == 77
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")

@@ -30,7 +30,12 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Partitions for an explicit repartition: the configured number, but never fewer than there are cores."""
+    configured = (
+        spark.conf.get("spark.sql.shuffle.partitions", "200"),
+        spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or "0",
+    )
+    return max(spark.sparkContext.defaultParallelism, *map(int, configured))
 
 
 def shared_dir(spark: SparkSession) -> str:
