@@ -36,6 +36,15 @@ def test_recipe_prepares_train_and_leaves_test_rows_alone(rows):
     assert real == 300
 
 
+def test_train_rows_do_not_depend_on_test_rows(rows):
+    train, test = rows.where("id < 200"), rows.where("id >= 200")
+    wild = test.withColumns({"a": F.col("a") * 1000, "noise": F.lit(5.0), "kind": F.lit("z"), "y": F.lit(1)})
+    one, _, names = RECIPE.apply(train, test, "one")
+    two, _, same = RECIPE.apply(train, wild, "two")
+    assert names == same
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+
+
 def test_recipe_without_oversampling_keeps_the_rows(rows):
     recipe = Recipe("id", ["a", "noise"], ["kind"], oversample=False, levels={"kind": ["u", "v"]})
     prepared, held, features = recipe.apply(rows.where("id < 300"), rows.where("id >= 300"), "plain")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,20 +19,21 @@ NL = "chr(10)"
 
 
 def _text(*lines: str) -> str:
-    """An SQL concat of lines; ``{name}`` inserts an SQL expression of that column."""
+    """An SQL concat of text lines. «...» inserts an SQL expression, and a line that starts with = is one."""
     parts = []
     for line in lines:
         if line.startswith("="):
             parts.append(line[1:])
             continue
-        for i, piece in enumerate(line.replace("«", "\0").replace("»", "\0").split("\0")):
+        # Odd pieces are what stood between the marks.
+        for i, piece in enumerate(re.split("[«»]", line)):
             if piece:
                 parts.append(piece if i % 2 else f"'{piece}'")
         parts.append(NL)
     return f"concat({', '.join(parts)})"
 
 
-# These expressions read the same in Spark SQL and in the checking SQL. «...» marks a column.
+# These expressions read the same in Spark SQL and in the checking SQL.
 ID = "CAST(doc_id AS STRING)"
 DECK_PATH = f"concat('talks/', source, '/', {ID}, CASE WHEN lang = 'de' THEN '.Rmd' WHEN lang = 'es' THEN '.md' ELSE '.qmd' END)"
 SIZE = "CASE WHEN lang = 'en' THEN 'large' WHEN lang = 'fr' THEN 'LARGE' ELSE '2x' END"
