@@ -96,3 +96,13 @@ def test_smote_with_a_third_of_copies(spark):
     new = smote(df, "id", "y", "x")
     assert new.count() == 80
     assert {tuple(r.x) for r in new.where(F.col("id").between(200, 219)).collect()} == {(0.5, 0.5)}
+
+
+def test_few_parents_give_many_copies(spark):
+    df = spark.range(7003).selectExpr("id", "int(id < 3) AS y", "array(double(id), double(id * id)) AS x")
+    new = smote(df, "id", "y", "x")
+    counts = {r.id: (r.n, r.lo, r.hi, r.distinct) for r in new.groupBy("id").agg(
+        F.count("*").alias("n"), F.min("copy").alias("lo"), F.max("copy").alias("hi"), F.countDistinct("copy").alias("distinct")
+    ).collect()}
+    assert sorted(c[0] for c in counts.values()) == [2332, 2332, 2333] and set(counts) == {0, 1, 2}
+    assert all(c == (c[0], 1, c[0], c[0]) for c in counts.values())

@@ -9,7 +9,9 @@ from tidemark.functions.hashing import hash_int, hash_unit
 from tidemark.operators.joins import broadcast_levels, hot_key_join
 from tidemark.operators.neighbours import nearest_neighbours
 from tidemark.operators.scan import at_or_below_cut, hash_cuts
-from tidemark.session import materialise
+from tidemark.session import materialise, shuffle_partitions
+
+COPIES_PER_RUN = 1000
 
 
 def smote(
@@ -52,12 +54,16 @@ def smote(
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "nb_id"))), lambda s: s["nb_id"]).alias("_near")
     )
     pick = F.pmod(hash_int(F.col("id"), F.col("copy"), seed, "k"), F.size("_near")) + 1
+    # Few parents may have to give very many copies, so runs of copies are spread before they unfold.
+    last = F.least(F.col("_from") + (COPIES_PER_RUN - 1), F.col("_copies"))
     picked = (
         minority.where("_ask")
         .join(lists, ["g", "id"])
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+        .withColumn("_from", F.explode(F.sequence(F.lit(1), F.col("_copies"), F.lit(COPIES_PER_RUN))))
+        .repartition(shuffle_partitions(df.sparkSession), "id", "_from")
+        .withColumn("copy", F.explode(F.sequence("_from", last)))
         .withColumn("nb_id", F.element_at("_near", pick.cast("int")))
-        .drop("g", "_near", "_copies", "_ask")
+        .drop("g", "_near", "_copies", "_ask", "_from")
     )
     picked = materialise(picked, "picked")
     others = rows.select(F.col("_label"), F.col("_id").alias("nb_id"), F.col("_x").alias("_nb"))
