@@ -23,9 +23,9 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         "lang",
         F.log1p("n_chars").alias("log_chars"),
-        F.size(F.split("text", r"\s+")).cast("double").alias("words"),
-        F.size(F.split("text", "\n")).cast("double").alias("lines"),
-        (F.length(F.regexp_replace("text", r"[^0-9]", "")) / F.greatest(F.length("text"), F.lit(1))).alias("digits"),
+        F.regexp_count("text", F.lit(r"\S+")).cast("double").alias("words"),
+        F.regexp_count("text", F.lit("\n")).cast("double").alias("lines"),
+        (F.regexp_count("text", F.lit("[0-9]")) / F.greatest(F.length("text"), F.lit(1))).alias("digits"),
     )
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y"))
     return stratified_split(labels.join(docs, "doc_id"), "doc_id", "y")
