@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.risk import POSITIVE, logistic, majority, rule_risk, wave_factor, wave_incidence
+from tidemark.models.classifiers import majority_vote
 from tidemark.operators.daily import (
     daily_max,
     daily_outcome,
@@ -234,20 +235,35 @@ def rule_confusion_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusion_cells(confusion_counts(scored, "truth", "risk", ["month"]), ["month"])
 
 
-@query("WITH" + SITE_DAYS_SQL + """
+MAJORITY_SQL = "WITH" + SITE_DAYS_SQL + """
 SELECT site, "day",
        CASE WHEN (CASE WHEN t_air > 20 OR hstp > 0.5 THEN 1 ELSE 0 END)
                + (CASE WHEN month("day") IN (7, 8) THEN CASE WHEN t_air > 15 OR hstp > 1.0 THEN 1 ELSE 0 END
                        ELSE CASE WHEN t_air > 25 OR hstp > 2.0 THEN 1 ELSE 0 END END)
                + (CASE WHEN t_air > 30 OR hstp > 3.0 THEN 1 ELSE 0 END) >= 2 THEN 1 ELSE 0 END AS decision
-FROM site_days""")
+FROM site_days"""
+# Three rule trees: (temperature, wave) cuts in summer and in other months.
+TREES = (((20.0, 0.5), (20.0, 0.5)), ((15.0, 1.0), (25.0, 2.0)), ((30.0, 3.0), (30.0, 3.0)))
+
+
+def _tree_votes() -> list[Column]:
+    month, t_air, wave = F.col("month"), F.col("t_air"), F.col("hstp")
+    return [rule_risk(month, t_air, wave, summer, other) == POSITIVE for summer, other in TREES]
+
+
+@query(MAJORITY_SQL)
 def majority_of_rule_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The votes of a row's trees side by side: no shuffle after the daily maxima."""
+    observed = with_calendar(_site_days(spark, sf_dir))
+    return observed.select("site", "day", majority(_tree_votes()).alias("decision"))
+
+
+@query(MAJORITY_SQL)
+def majority_of_vote_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from one row per vote, as separately scored models would give."""
     observed = with_calendar(_site_days(spark, sf_dir))
-    trees = (((20.0, 0.5), (20.0, 0.5)), ((15.0, 1.0), (25.0, 2.0)), ((30.0, 3.0), (30.0, 3.0)))
-    votes = [
-        rule_risk(F.col("month"), F.col("t_air"), F.col("hstp"), summer, other) == POSITIVE for summer, other in trees
-    ]
-    return observed.select("site", "day", majority(votes).alias("decision"))
+    votes = F.explode(F.array(*[v.cast("int") for v in _tree_votes()])).alias("vote")
+    return majority_vote(observed.select("site", "day", votes), ["site", "day"])
 
 
 # Fixed coefficients, as a stored model would have.
