@@ -191,6 +191,12 @@ def test_citations_and_their_resolution(spark, talk):
     assert got == {("t", "lee2020", 2, "resolved"), ("t", "wu2019", 1, "dangling"), ("t", "extra", 0, "uncited")}
 
 
+def test_forms_of_citations(spark):
+    text = "[see @a1; -@b.2, p. 3] [@c:d_e.] ![from @f](x.png) ![Fig [@g]](y.png) [@no](z) [m@il.org] [\\@no] @no [x]"
+    df = spark.createDataFrame([("p", text)], "path string, text string")
+    assert {r.key for r in corpus.citation_uses(df).collect()} == {"a1", "b.2", "c:d_e", "f", "g"}
+
+
 def test_entries_belong_to_the_documents_that_name_their_file(spark, root):
     docs = read_documents(spark, root).where("path LIKE 'talks/sea/%'")
     extra = [

@@ -28,8 +28,10 @@ TOP_LEVEL_KEY = r"^([A-Za-z0-9_-]+):[ \t]*([^\r\n]*)"
 SHORTCODE = r"\{\{<[ \t]*fa[ \t]+([^>]*+)>\}\}"
 ARGUMENT = r'[\w-]+="[^"]*"|[^ \t\n]+'
 KEYWORD = r"^[\w-]+="
-CITATION = r"(?<!!)\[@([\w:.-]+)\](?!\()"
-CAPTION_CITATION = r"!\[@([\w:.-]+)\]\("
+# Brackets around at least one @, but no link text; image captions; and the keys inside either.
+CITATION = r"(?<!!)\[([^\[\]@]*+@[^\[\]]*+)\](?!\()"
+CAPTION_CITATION = r"!\[([^\[\]@]*+@[^\[\]]*+)\]\("
+CITATION_KEY = r"(?<![\w\\])@(\w(?:[\w:.-]*\w)?)"
 IMAGE = r"!\[([^\[\]]*+)\]\(([^)]*+)\)"
 # Link text may hold one level of brackets, such as an image; runs are possessive for long texts.
 LINK = r"(?<!!)\[((?:[^\[\]]++|\[[^\[\]]*+\])*+)\]\(([^)]*+)\)"
@@ -123,11 +125,15 @@ def shortcodes(text: Column) -> Column:
 
 
 def citations(text: Column) -> Column:
-    """Cited keys: bracketed keys and those in image captions. Link texts are none."""
-    return F.concat(
+    """Cited keys: those in brackets, several in one too, and those in image captions.
+
+    Link texts are none, nor are mail addresses or an escaped @.
+    """
+    groups = F.concat(
         F.regexp_extract_all(text, F.lit(CITATION), F.lit(1)),
         F.regexp_extract_all(text, F.lit(CAPTION_CITATION), F.lit(1)),
     )
+    return F.flatten(F.transform(groups, lambda g: F.regexp_extract_all(g, F.lit(CITATION_KEY), F.lit(1))))
 
 
 def _link_structs(text: Column, kind: str, pattern: str, label: int | None, target: int) -> Column:
