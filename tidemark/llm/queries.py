@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat
+from tidemark.llm import bpe, chat
+from tidemark.llm import quality as rules
 from tidemark.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -62,3 +63,34 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(loss, 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query()
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule counts of every document, the base verdict and that of the isolation forest."""
+    judged = rules.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *rules.COUNTS, "base_failed", "kept", F.round("anomaly", 6).alias("anomaly"))
+
+
+def vocabulary(spark: SparkSession) -> tuple[dict[bytes, int], str]:
+    import public_tokenizers
+
+    return bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN
+
+
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    """Ids of every text and the bytes they decode to, as counts and digests."""
+    ranks, pattern = vocabulary(docs.sparkSession)
+    coded = bpe.decode(bpe.encode(docs, ranks, pattern), ranks)
+    return coded.select(
+        "doc_id",
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query()
+def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and their decoding."""
+    return bpe_digests(table(spark, sf_dir, "documents"))
