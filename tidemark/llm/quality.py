@@ -27,16 +27,17 @@ from tidemark.llm.buffers import Hashes, Texts, flags, sums
 from tidemark.session import materialise
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
+PRIOR = 40
 TREES, SUBSAMPLE, BINS = 100, 256, 1000
 #: The cut weighs a good row that is rejected as so many bad rows that are caught.
-GOOD_WEIGHT = 4
+GOOD_WEIGHT = 6
 SYMBOLS = flags(b"#*$%&|<>")
 _CAPITAL, _DIGIT = flags(bytes(range(65, 91))), flags(b"0123456789")
 _MARK, _STOP = flags(b"!?"), flags(b".,;:")
 _CONTINUES = flags(bytes(range(128, 192)))
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-MORE = ["n_lines", "n_distinct_words", "n_capitals", "n_digits", "n_marks", "n_stops", "longest_word"]
+MORE = ["n_lines", "n_distinct_words", "n_echoes", "n_capitals", "n_digits", "n_marks", "n_stops", "longest_word"]
 
 
 def _statistics(ids: pa.Array, texts: Texts) -> pa.RecordBatch:
@@ -84,13 +85,15 @@ def _statistics(ids: pa.Array, texts: Texts) -> pa.RecordBatch:
     pair = buffers.mix(words ^ buffers.mix(row.astype(np.uint64) + np.uint64(7)))
     _, seen = np.unique(pair, return_index=True)
     own = np.bincount(row[seen], minlength=texts.rows)
+    echoes = np.zeros(len(words), bool)
+    echoes[1:] = (words[1:] == words[:-1]) & (row[1:] == row[:-1])
     longest = np.zeros(texts.rows, np.int64)
     if len(words):
         filled = np.flatnonzero(n_words)
         longest[filled] = np.maximum.reduceat(lengths, cuts[:-1][filled])
     columns = [
         n_words, sums(lengths, cuts), texts.sum(SYMBOLS[data]), sums(duplicate, lines), sums(covered, cuts),
-        np.diff(lines), own, texts.sum(_CAPITAL[data]), texts.sum(_DIGIT[data]), texts.sum(_MARK[data]), texts.sum(_STOP[data]), longest,
+        np.diff(lines), own, sums(echoes, cuts), texts.sum(_CAPITAL[data]), texts.sum(_DIGIT[data]), texts.sum(_MARK[data]), texts.sum(_STOP[data]), longest,
     ]
     return pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", *COUNTS, *MORE])
 
@@ -106,17 +109,19 @@ def base_failed() -> Column:
 
 
 def ratios() -> dict[str, Column]:
-    """What the forest sees: rule statistics that do not grow with the length of a text."""
-    words, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
+    """What the forest sees: rule statistics per word.
+
+    Each is drawn towards an ordinary value by ``PRIOR`` words of it, so that the chance counts of a very short text
+    do not look like an anomaly.
+    """
+    words, chars = F.col("n_words") + PRIOR, F.col("word_chars") + 5 * PRIOR
     return {
         "symbols": F.col("n_symbols") / words,
-        "repeats": F.col("n_repeat_words") / words,
-        "duplicate_lines": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
-        "capitals": F.col("n_capitals") / chars,
-        "digits": F.col("n_digits") / chars,
+        "echoes": F.greatest(F.col("n_echoes") - 1, F.lit(0)) / words,
+        "capitals": (F.col("n_capitals") + 0.15 * PRIOR) / chars,
         "marks": F.col("n_marks") / words,
-        "stops": F.least(F.col("n_stops") / words, F.lit(1.0)),
-        "word_length": F.col("word_chars") / words,
+        "stops": F.least((F.col("n_stops") + 0.18 * PRIOR) / words, F.lit(1.0)),
+        "word_length": chars / words,
     }
 
 

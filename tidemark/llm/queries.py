@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat
+from tidemark.llm import bpe, chat, secret_scan
 from tidemark.llm import quality as rules
 from tidemark.plans.registry import Query
 
@@ -94,3 +94,26 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
 def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and their decoding."""
     return bpe_digests(table(spark, sf_dir, "documents"))
+
+
+def joined(spans) -> Column:
+    """Spans as ``kind:start:end``, joined by commas."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def of_kinds(kinds: tuple[str, ...]):
+    return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+
+@query()
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: counts and digest of the patterns' spans, and all spans with those of the lexer."""
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    base = secret_scan.KINDS[:3]
+    return found.select(
+        "doc_id",
+        *(F.size(of_kinds((k,))).cast("long").alias(f"n_{k}") for k in base),
+        F.sha2(joined(of_kinds(base)), 256).alias("base_sha256"),
+        joined("spans").alias("spans"),
+        F.size(of_kinds(("lexed",))).cast("long").alias("n_lexed"),
+    )
