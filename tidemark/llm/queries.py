@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, secret_scan
+from tidemark.llm import bpe, chat, personal, secret_scan
 from tidemark.llm import quality as rules
 from tidemark.plans.registry import Query
 
@@ -117,3 +117,15 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined("spans").alias("spans"),
         F.size(of_kinds(("lexed",))).cast("long").alias("n_lexed"),
     )
+
+
+@query()
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts and digest of the patterns' spans, and all spans with the field's."""
+    found = personal.find_personal(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *(F.size(of_kinds((k,))).cast("long").alias(f"n_{k}") for k in personal.BASE),
+        F.sha2(joined(of_kinds(personal.BASE)), 256).alias("base_sha256"),
+        joined("spans").alias("spans"),
+    )
