@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, personal, secret_scan
+from tidemark.llm import bpe, chat, licences, personal, secret_scan
 from tidemark.llm import quality as rules
 from tidemark.plans.registry import Query
 
@@ -129,3 +129,16 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined(of_kinds(personal.BASE)), 256).alias("base_sha256"),
         joined("spans").alias("spans"),
     )
+
+
+@query(licences.oracle())
+def op5_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that each document declares."""
+    found = licences.find_licences(table(spark, sf_dir, "documents"))
+    names = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["licence"])))
+    return found.select(
+        "doc_id",
+        F.size("matches").cast("long").alias("n_matches"),
+        F.array_join(names, ",").alias("licences"),
+        F.round(F.array_max(F.transform("matches", lambda m: m["dice"])), 6).alias("best_dice"),
+    )
