@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, licences, personal, secret_scan
+from tidemark.llm import bpe, chat, licences, near_duplicates, personal, secret_scan
 from tidemark.llm import quality as rules
 from tidemark.plans.registry import Query
 
@@ -142,3 +142,9 @@ def op5_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(names, ",").alias("licences"),
         F.round(F.array_max(F.transform("matches", lambda m: m["dice"])), 6).alias("best_dice"),
     )
+
+
+@query()
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents: three-word shingles, similarity of 0.85 or more."""
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
