@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, licences, near_duplicates, personal, secret_scan
+from tidemark.llm import bpe, chat, licences, near_duplicates, personal, secret_scan, suffixes
 from tidemark.llm import quality as rules
 from tidemark.plans.registry import Query
 
@@ -148,3 +148,13 @@ def op5_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: three-word shingles, similarity of 0.85 or more."""
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
+@query()
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each document that 100-byte strings seen earlier cover, and a digest of the bytes that are left."""
+    done = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda total, r: total + r["end"] - r["start"])
+    return done.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
