@@ -75,9 +75,9 @@ class Texts:
         self.rows = len(offsets) - 1
         self.sizes = np.diff(offsets)
 
-    def words(self) -> tuple[np.ndarray, np.ndarray]:
+    def words(self, between: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
         """First byte and end of every word, in order; words never cross rows."""
-        inside = ~IS_SPACE[self.data]
+        inside = ~between[self.data]
         n = len(inside)
         begin, finish = inside.copy(), inside.copy()
         if n:

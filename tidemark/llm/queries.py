@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, licences, near_duplicates, personal, secret_scan, suffixes
+from tidemark.llm import bpe, chat, decontaminate, licences, near_duplicates, personal, secret_scan, suffixes
 from tidemark.llm import quality as rules
 from tidemark.plans.registry import Query
 
@@ -158,3 +158,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query()
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, copied or reworded."""
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("cosine", 3).alias("cosine"), F.round("lcs", 6).alias("lcs"), F.round("answer", 6).alias("answer"))
