@@ -14,10 +14,12 @@ results. Other columns are ignored.
 
 from __future__ import annotations
 
-import heapq
 import re
+from array import array
 from base64 import b64decode
 from collections.abc import Iterator
+from hashlib import blake2b
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -26,52 +28,60 @@ from pyspark.sql import DataFrame
 from tidemark.llm.buffers import pieces
 
 MAX_VOCABULARY = 1 << 20
-CACHE = 1 << 18
-LOAD = 4
+CACHE = 1 << 20
+LOAD = 3
 _MASK = (1 << 64) - 1
 
 #: White space as the pattern's engine defines it.
-_SPACE = "\t-\r \x85\xa0  -     　"
-#: Cuts a text where the pattern can never match across: a run without white space with at most one blank in
-#: front, or white space that belongs to no such run.
-_CUTS = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Latin letters; a run of them that ends at another ASCII character is one match of the pattern.
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+#: Cuts a text where the pattern can never match across: Latin words, other runs without white space, each with at
+#: most one blank in front, and white space that belongs to no such run.
+_CUTS = re.compile(f" ?[{_LATIN}]++(?=[\x00-@\\[-`{{-\x7f]|\\Z)| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
 
-def _hash(token: bytes, seed: int) -> int:
-    h = (seed * 0x9E3779B97F4A7C15 + 0xCBF29CE484222325) & _MASK
-    h ^= int.from_bytes(token, "little") % 0xFFFFFFFFFFFFFFC5 + len(token)
-    h = (h ^ (h >> 32)) * 0xD6E8FEB86659FD93 & _MASK
-    h = (h ^ (h >> 32)) * 0xD6E8FEB86659FD93 & _MASK
-    return h ^ (h >> 32)
+def _hash(token: bytes) -> int:
+    return int.from_bytes(blake2b(token, digest_size=8).digest(), "little")
 
 
 class PerfectHash:
     """A minimal perfect hash by hash and displace: keys map to ``0 .. n - 1`` without gaps or clashes.
 
     Keys are dealt to buckets; from the largest bucket on, each is given the first seed that sends its keys to
-    free slots. Foreign keys map anywhere, so the caller compares the key stored in the slot.
+    free slots. A bucket of one key names its slot outright, as ``-1 - slot``. Foreign keys map anywhere, so the
+    caller compares the key stored in the slot.
     """
 
     def __init__(self, keys: list[bytes]):
         self.size = len(keys)
         self.seeds = [0] * (self.size // LOAD + 1)
-        buckets: list[list[bytes]] = [[] for _ in self.seeds]
-        for key in keys:
-            buckets[_hash(key, 0) % len(self.seeds)].append(key)
+        buckets: list[list[int]] = [[] for _ in self.seeds]
+        for h in map(_hash, keys):
+            buckets[h % len(buckets)].append(h)
         taken = bytearray(self.size)
-        for at in sorted(range(len(buckets)), key=lambda b: -len(buckets[b])):
-            seed = 1
-            while buckets[at]:
-                slots = [_hash(key, seed) % self.size for key in buckets[at]]
-                if len(set(slots)) == len(slots) and not any(taken[s] for s in slots):
-                    for s in slots:
-                        taken[s] = 1
-                    self.seeds[at] = seed
+        ordered = sorted(range(len(buckets)), key=lambda b: -len(buckets[b]))
+        for at in (b for b in ordered if len(buckets[b]) > 1):
+            seed = 0
+            while True:
+                slots = {self._slot(h, seed) for h in buckets[at]}
+                if len(slots) == len(buckets[at]) and not any(taken[s] for s in slots):
                     break
                 seed += 1
+            for s in slots:
+                taken[s] = 1
+            self.seeds[at] = seed
+        free = (s for s in range(self.size) if not taken[s])
+        for at in (b for b in ordered if len(buckets[b]) == 1):
+            self.seeds[at] = -1 - next(free)
+
+    def _slot(self, h: int, seed: int) -> int:
+        return ((h ^ seed * 0x9E3779B97F4A7C15) * 0xD6E8FEB86659FD93 & _MASK) % 0xFFFFFFFB % self.size
 
     def __call__(self, key: bytes) -> int:
-        return _hash(key, self.seeds[_hash(key, 0) % len(self.seeds)]) % self.size
+        h = _hash(key)
+        seed = self.seeds[h % len(self.seeds)]
+        return -1 - seed if seed < 0 else self._slot(h, seed)
 
 
 def read_ranks(spark, path: str) -> dict[bytes, int]:
@@ -84,56 +94,60 @@ def read_ranks(spark, path: str) -> dict[bytes, int]:
 
 
 class Vocabulary:
-    """Ranks in the slots of a minimal perfect hash, and the bytes of each id."""
+    """Ranks in the slots of a minimal perfect hash, and a dictionary of them for the merges."""
 
     def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
         self.find = PerfectHash(list(ranks))
         self.tokens: list[bytes] = [b""] * len(ranks)
-        self.ids: list[int] = [0] * len(ranks)
+        self.codes: list[bytes] = [b""] * len(ranks)
         for token, rank in ranks.items():
             slot = self.find(token)
-            self.tokens[slot], self.ids[slot] = token, rank
-        self.bytes_of = {rank: token for token, rank in ranks.items()}
+            self.tokens[slot], self.codes[slot] = token, rank.to_bytes(4, "little")
 
-    def get(self, token: bytes) -> int | None:
+    def whole(self, token: bytes) -> bytes | None:
+        """The code of a token; none for other bytes."""
         slot = self.find(token)
-        return self.ids[slot] if self.tokens[slot] == token else None
+        return self.codes[slot] if self.tokens[slot] == token else None
 
 
-def merge(word: bytes, rank_of) -> list[int]:
+def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """BPE of one pre-token: a heap of mergeable neighbours over a linked list of pieces.
 
-    Pieces are named by their first byte. An entry is stale when either piece has changed since it was pushed,
-    which its recorded end tells.
+    Pieces are named by their first byte. An entry of the heap is a rank and a left piece in one number, so that
+    equal ranks come from left to right. It is stale unless the pair that starts at the left piece still has
+    that rank.
     """
     n = len(word)
+    get, shift = ranks.get, n.bit_length()
+    mask = (1 << shift) - 1
     after = list(range(1, n + 1))
     before = list(range(-1, n - 1))
-    heap: list[tuple[int, int, int]] = []
-
-    def offer(left: int) -> None:
-        middle = after[left]
-        if middle < n and (rank := rank_of(word[left : after[middle]])) is not None:
-            heapq.heappush(heap, (rank, left, after[middle]))
-
-    for i in range(n - 1):
-        offer(i)
-    gone = bytearray(n + 1)
+    current = [get(word[i : i + 2], -1) for i in range(n - 1)] + [-1]
+    heap = [r << shift | i for i, r in enumerate(current) if r >= 0]
+    heapify(heap)
     while heap:
-        _, left, end = heapq.heappop(heap)
-        if gone[left] or after[left] >= n or after[after[left]] != end:
+        entry = heappop(heap)
+        left = entry & mask
+        if current[left] != entry >> shift:
             continue
         middle = after[left]
-        gone[middle] = 1
-        after[left] = end
+        end = after[left] = after[middle]
+        current[middle] = -1
         if end < n:
             before[end] = left
-        offer(left)
-        if before[left] >= 0:
-            offer(before[left])
+            current[left] = rank = get(word[left : after[end]], -1)
+            if rank >= 0:
+                heappush(heap, rank << shift | left)
+        else:
+            current[left] = -1
+        if (first := before[left]) >= 0:
+            current[first] = rank = get(word[first:end], -1)
+            if rank >= 0:
+                heappush(heap, rank << shift | first)
     out, at = [], 0
     while at < n:
-        out.append(rank_of(word[at : after[at]]))
+        out.append(ranks[word[at : after[at]]])
         at = after[at]
     return out
 
@@ -145,26 +159,19 @@ class Encoder(dict):
         import regex
 
         self.vocabulary = vocabulary
-        self.pattern = regex.compile(pattern)
-        self.ranks: dict[bytes, int | None] = {}
-
-    def _rank(self, token: bytes) -> int | None:
-        if token not in self.ranks:
-            if len(self.ranks) >= CACHE:
-                self.ranks.clear()
-            self.ranks[token] = self.vocabulary.get(token)
-        return self.ranks[token]
+        self.pieces = regex.compile(pattern).findall
 
     def __missing__(self, run: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.pattern.findall(run):
+        ranks, whole = self.vocabulary.ranks, self.vocabulary.whole
+        codes = []
+        latin = run.removeprefix(" ").isalpha() and max(run) < "\u0250"
+        for piece in (run,) if latin else self.pieces(run):
             token = piece.encode()
-            whole = self.vocabulary.get(token)
-            ids.extend(merge(token, self._rank) if whole is None else (whole,))
-        if len(self) >= CACHE:
-            self.clear()
-        code = np.array(ids, "<u4").tobytes()
+            codes.append(whole(token) or array("I", merge(token, ranks)).tobytes())
+        code = b"".join(codes)
         if len(run) <= 64:
+            if len(self) >= CACHE:
+                self.clear()
             self[run] = code
         return code
 
@@ -172,6 +179,10 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, _CUTS.findall(text)))
 
 
+def encode(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, _CUTS.findall(text)))
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """``doc_id, ids``: the ids of each whole text as little-endian unsigned 32-bit integers in one binary value.
 
@@ -193,7 +204,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """Adds ``decoded``, the bytes that ``ids`` stand for. A null is decoded as no ids."""
-    bytes_of = {rank: token for token, rank in ranks.items()}
+    bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        bytes_of[rank] = token
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
