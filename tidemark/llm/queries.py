@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, decontaminate, licences, near_duplicates, personal, secret_scan, suffixes
+from tidemark.llm import bpe, chat, decontaminate, licences, near_duplicates, personal, secret_scan, suffixes, toxicity
 from tidemark.llm import quality as rules
 from tidemark.plans.registry import Query
 
@@ -165,3 +165,12 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     """Documents that hold benchmark items, copied or reworded."""
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", F.round("cosine", 3).alias("cosine"), F.round("lcs", 6).alias("lcs"), F.round("answer", 6).alias("answer"))
+
+
+@query()
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learnt from labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    predicted = F.when(F.col("score") >= 0.3, 1).otherwise(0)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"))
