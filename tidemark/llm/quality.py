@@ -108,21 +108,33 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
+def _formulas(n_words, word_chars, n_symbols, n_echoes, n_capitals, n_marks, n_stops, least, most) -> dict:
+    words, chars = n_words + PRIOR, word_chars + 5 * PRIOR
+    return {
+        "symbols": n_symbols / words,
+        "echoes": most(n_echoes - 1, 0) / words,
+        "capitals": (n_capitals + 0.15 * PRIOR) / chars,
+        "marks": n_marks / words,
+        "stops": least((n_stops + 0.18 * PRIOR) / words, 1.0),
+        "word_length": chars / words,
+    }
+
+
+USED = ["n_words", "word_chars", "n_symbols", "n_echoes", "n_capitals", "n_marks", "n_stops"]
+
+
 def ratios() -> dict[str, Column]:
     """What the forest sees: rule statistics per word.
 
     Each is drawn towards an ordinary value by ``PRIOR`` words of it, so that the chance counts of a very short text
     do not look like an anomaly.
     """
-    words, chars = F.col("n_words") + PRIOR, F.col("word_chars") + 5 * PRIOR
-    return {
-        "symbols": F.col("n_symbols") / words,
-        "echoes": F.greatest(F.col("n_echoes") - 1, F.lit(0)) / words,
-        "capitals": (F.col("n_capitals") + 0.15 * PRIOR) / chars,
-        "marks": F.col("n_marks") / words,
-        "stops": F.least((F.col("n_stops") + 0.18 * PRIOR) / words, F.lit(1.0)),
-        "word_length": chars / words,
-    }
+    return _formulas(*map(F.col, USED), lambda a, b: F.least(a, F.lit(b)), lambda a, b: F.greatest(a, F.lit(b)))
+
+
+def _evaluate(rows) -> dict[str, np.ndarray]:
+    """The same ratios of counts held in arrays."""
+    return _formulas(*(rows[c].to_numpy(float) for c in USED), np.minimum, np.maximum)
 
 
 def _path(n: np.ndarray | float) -> np.ndarray:
@@ -227,7 +239,30 @@ def judge(statistics: DataFrame, model: Model) -> DataFrame:
     return scored.withColumn("kept", ~F.col("base_failed") & (F.floor(F.col("anomaly") * BINS) < F.lit(round(model.cut * BINS))))
 
 
+def materialised_statistics(docs: DataFrame) -> DataFrame:
+    """Rule statistics written once, for the passes of a fit."""
+    return materialise(rule_statistics(docs), "statistics")
+
+
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Statistics and verdict for every document; the texts are read once."""
-    statistics = materialise(rule_statistics(docs), "statistics")
+    statistics = materialised_statistics(docs)
     return judge(statistics, fit(statistics, labels))
+
+
+def keep_good(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows and columns of the documents that are kept, judged in one pass without a join."""
+    names, kinds = docs.columns, {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    at, features = names.index("text"), list(ratios())
+    limit = round(model.cut * BINS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, texts in buffers.slices(batch.column(at)):
+                found = _statistics(pa.nulls(texts.rows), texts).to_pandas()
+                x = np.stack([_evaluate(found)[n] for n in features], axis=1)
+                failed = (found.n_words < MIN_WORDS) | (100 * found.n_repeat_words > MAX_REPEAT_PERCENT * found.n_words)
+                good = ~failed.to_numpy() & (np.floor(model.forest.score(x) * BINS) < limit)
+                yield batch.slice(first, end - first).filter(pa.array(good))
+
+    return docs.mapInArrow(run, ", ".join(f"`{n}` {kinds[n]}" for n in names))
