@@ -229,7 +229,8 @@ def fit(statistics: DataFrame, labels: DataFrame) -> Model:
     for r in bins:
         gain[r["bin"]] += r["count"] * (1 if r["_quality"] == 0 else -GOOD_WEIGHT)
     tail = np.append(gain[::-1].cumsum()[::-1], 0)
-    best = int(tail.argmax())
+    ties = np.flatnonzero(tail == tail.max())
+    best = int(ties[0] + ties[-1]) // 2  # midway between the last good and the first bad row
     return Model(forest, best / BINS if tail[best] > 0 else 2.0)
 
 
