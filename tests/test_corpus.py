@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.functions.markup import icon_size, link_path
+from tidemark.functions.markup import icon_size, link_address
 from tidemark.operators import corpus
 from tidemark.sources.bibliography import parse_bibliography, read_bibliography
 from tidemark.sources.cells import read_cells, write_cells
@@ -166,7 +166,7 @@ def test_no_front_matter(spark):
 def test_front_matter_may_end_with_dots(spark):
     df = spark.createDataFrame([("a", "---\nx: 1\n...\n# Head\n---\n")], "path string, text string")
     assert [(r.key, r.value) for r in corpus.front_matter(df).collect()] == [("x", "1")]
-    assert [r.line_no for r in corpus.slides(df).collect()] == [4]
+    assert [r.line_no for r in corpus.deck_segments(df).collect()] == [4]
 
 
 def test_shortcodes(talk):
@@ -229,14 +229,47 @@ def test_links(talk):
     ]
 
 
-def test_broken_links_compare_paths(spark):
-    uses = [("p", 1, "https://x.org/a/?q=1"), ("p", 2, "/b#top"), ("p", 3, "/gone"), ("q", 1, "/gone")]
+def test_broken_links_compare_hosts_and_paths(spark):
+    targets = ["https://X.org/a/?q=1", "//x.org/a", "/a#top", "a", "./sub/../a/", "../a", "https://y.org/a", "gone", "/d/gone", "#top", "mailto:a@b.org", "", "?q=1"]
+    uses = [("https://x.org/d/page", i, t) for i, t in enumerate(targets)]
     df = spark.createDataFrame(uses, "path string, pos int, target string")
-    known = spark.createDataFrame([("http://y.org/a",), ("/b/",)], "target string")
-    got = sorted(tuple(r) for r in corpus.broken_links(df, known).collect())
-    assert got == [("p", 3, "/gone"), ("q", 1, "/gone")]
+    known = spark.createDataFrame([("http://x.org/a",), ("https://x.org/d/a/",), ("https://x.org/d/page#x",)], "target string")
+    got = sorted(r.target for r in corpus.broken_links(df, known, F.col("path")).collect())
+    assert got == ["/d/gone", "gone", "https://y.org/a"]
     roots = spark.createDataFrame([("https://x.org/",), ("/",), ("https://x.org",)], "t string")
-    assert [r[0] for r in roots.select(link_path(F.col("t"))).collect()] == ["/", "/", ""]
+    assert [r[0] for r in roots.select(link_address(F.col("t"), F.lit("http://x.org/p/q"))).collect()] == ["x.org/"] * 3
+
+
+def test_nested_brackets_and_parentheses(spark):
+    text = "![p [q [r]]](i.png) [a](u_(v(w))) [[x](y) z] [b] (c) \\[e](f) [![alt](in.png){w=1}](out) [open](no\nend) ![](last) `[code](c)`\n\n[new](par)\n"
+    df = spark.createDataFrame([("d", text + "```\n[in](code)\n```\n~~~~\n```\n[also](code)\n~~~~\n")], "path string, text string")
+    got = [(r.kind, r.label, r.target) for r in corpus.link_uses(df).orderBy("pos").collect()]
+    images = [("image", "p [q [r]]", "i.png"), ("image", "alt", "in.png"), ("image", "", "last")]
+    links = [("link", "a", "u_(v(w))"), ("link", "x", "y"), ("link", "![alt](in.png){w=1}", "out"), ("link", "new", "par")]
+    assert got == images + links
+
+
+def test_code_holds_no_uses(spark):
+    text = "[@a] `[@b]` :wave: `:no:`\n````\n```\n[@c] :no:\n# no\n```\n# no\n````\n~~~ x\n# no\n```\n~~~\n# yes\n{{{< fa x >}}} {{< fa star label='two words' >}}\n"
+    df = spark.createDataFrame([("d", text)], "path string, text string")
+    assert [r.key for r in corpus.citation_uses(df).collect()] == ["a"]
+    assert [r.emoji for r in corpus.emoji_uses(df).collect()] == ["wave"]
+    assert [(r.icon, r.group, r.label) for r in corpus.icon_uses(df).collect()] == [("star", "solid", "two words")]
+    assert [(r.title, r.line_no) for r in corpus.deck_segments(df).collect()] == [("yes", 13)]
+
+
+def test_bibliography_values_nest_to_any_depth(spark):
+    text = '@a{k, abstract = {a {b {c {d p = 5, "} e} f} g}, note = "x {y, "} z", n = 3}\n@b{l,\n t = {1}, t = {2},\n}\n'
+    rows = parse_bibliography(spark.createDataFrame([("f", text)], "path string, text string")).orderBy("key").collect()
+    assert [(r.key, r.fields) for r in rows] == [("k", {"abstract": 'a {b {c {d p = 5, "} e} f} g', "note": 'x {y, "} z', "n": "3"}), ("l", {"t": "1"})]
+
+
+def test_folders_below_the_root_may_repeat_its_name(spark, tmp_path):
+    root = tmp_path / "data"
+    (root / "x" / "data").mkdir(parents=True)
+    (root / "x" / "data" / "y.qmd").write_text("a")
+    (root / "y.qmd").write_text("b")
+    assert sorted(r.path for r in read_documents(spark, str(root)).collect()) == ["x/data/y.qmd", "y.qmd"]
 
 
 def test_missing_assets_are_looked_up_from_the_folder_of_the_document(spark):
@@ -263,8 +296,8 @@ def test_times_of_day_are_no_emoji(spark):
     assert {r.emoji for r in corpus.emoji_uses(df).collect()} == {"+1", "100", "t-rex"}
 
 
-def test_slides(talk):
-    got = [(r.slide_no, r.level, r.title, r.section, r.line_no) for r in corpus.slides(talk).orderBy("slide_no").collect()]
+def test_deck_segments(talk):
+    got = [(r.slide_no, r.level, r.title, r.section, r.line_no) for r in corpus.deck_segments(talk).orderBy("slide_no").collect()]
     lines = TALK.split("\n")
     at = lambda start, n=0: [i for i, s in enumerate(lines, 1) if s.startswith(start)][n]
     assert got == [
@@ -278,7 +311,7 @@ def test_slides(talk):
 def test_windows_line_ends(spark, talk):
     crlf = talk.select("path", F.regexp_replace("text", "\n", "\r\n").alias("text"))
     heads = ["level", "title", "section", "line_no"]
-    assert corpus.slides(crlf).select(heads).collect() == corpus.slides(talk).select(heads).collect()
+    assert corpus.deck_segments(crlf).select(heads).collect() == corpus.deck_segments(talk).select(heads).collect()
     pairs = ["key", "value"]
     assert corpus.front_matter(crlf).select(pairs).collect() == corpus.front_matter(talk).select(pairs).collect()
 

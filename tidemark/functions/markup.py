@@ -25,25 +25,27 @@ DEFAULT_GROUP = "solid"
 
 FRONT_MATTER = r"(?s)\A---[ \t]*\r?\n((?:.*?\n)??)(?:---|\.\.\.)[ \t]*(?:\r?\n|\z)"
 TOP_LEVEL_KEY = r"^([A-Za-z0-9_-]+):[ \t]*([^\r\n]*)"
-SHORTCODE = r"\{\{<[ \t]*fa[ \t]+([^>]*+)>\}\}"
-ARGUMENT = r'[\w-]+="[^"]*"|[^ \t\n]+'
+# Three braces write a shortcode out instead of using it.
+SHORTCODE = r"(?<!\{)\{\{<[ \t]*fa[ \t]+([^>]*+)>\}\}"
+ARGUMENT = r"""[\w-]+="[^"]*"|[\w-]+='[^']*'|[^ \t\n]+"""
 KEYWORD = r"^[\w-]+="
 # Brackets around at least one @, but no link text; image captions; and the keys inside either.
 CITATION = r"(?<!!)\[([^\[\]@]*+@[^\[\]]*+)\](?!\()"
 CAPTION_CITATION = r"!\[([^\[\]@]*+@[^\[\]]*+)\]\("
 CITATION_KEY = r"(?<![\w\\])@(\w(?:[\w:.-]*\w)?)"
-IMAGE = r"!\[([^\[\]]*+)\]\(([^)]*+)\)"
-# Link text may hold one level of brackets, such as an image; runs are possessive for long texts.
-LINK = r"(?<!!)\[((?:[^\[\]]++|\[[^\[\]]*+\])*+)\]\(([^)]*+)\)"
 AUTOLINK = r"<((?:https?://|mailto:)[^ \t\n<>]+)>"
 HREF = r'href="([^"]*)"'
 EMOJI = r":([a-z0-9+-][a-z0-9_+-]*):"
 # Emoji names without a letter. Other such matches are times of day and the like.
 EMOJI_NUMBERS = ("+1", "-1", "100", "1234")
 # Line kinds; the first is a quick test that every structural line passes.
-STRUCTURAL = r"^(?: {0,3}(?:`{3}|:{3})|#)"
-CODE_FENCE = r"^ {0,3}`{3,}[ \t]*[^`]*$"
-CODE_FENCE_BARE = r"^ {0,3}`{3,}[ \t\r]*$"
+STRUCTURAL = r"^(?: {0,3}:{3}|#)"
+# A block of code ends at a fence of the same character that is at least as long, or with the text.
+CODE_BLOCK = (
+    r"(?dms)^ {0,3}(?:(`{3,}+)[^`\n]*+$.*?(?:^ {0,3}\1`*+[ \t\r]*+$|\z)"
+    r"|(~{3,}+)[^\n]*+$.*?(?:^ {0,3}\2~*+[ \t\r]*+$|\z))"
+)
+CODE_SPAN = r"(?<!`)(`++)(?!\n)[^\n]*?(?<!`)\1(?!`)"
 DIV_OPEN = r"^ {0,3}:{3,}[ \t]*[^:\s]"
 DIV_CLOSE = r"^ {0,3}:{3,}[ \t\r]*$"
 HEADING = r"^(#{1,2})(?:[ \t]+(.*?))?[ \t\r]*$"
@@ -88,15 +90,36 @@ def bibliography_files(text: Column) -> Column:
     return F.filter(names, lambda n: n != "")
 
 
+def code_blocks(text: Column) -> Column:
+    """Fenced blocks of code, as written."""
+    return F.regexp_extract_all(text, F.lit(CODE_BLOCK), F.lit(0))
+
+
+def blank_code(text: Column) -> Column:
+    """The text with each fenced block of code replaced by its line feeds, so that lines keep their numbers."""
+    feeds = F.transform(code_blocks(text), lambda b: F.regexp_replace(b, r"[^\n]++", ""))
+    between = F.split(text, CODE_BLOCK)
+    merged = F.zip_with(between, feeds, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.when(text.rlike(r"```|~~~"), F.array_join(merged, "")).otherwise(text)
+
+
+def prose(text: Column) -> Column:
+    """The text without blocks and spans of code."""
+    return F.when(text.rlike("`|~~~"), F.regexp_replace(F.regexp_replace(text, CODE_BLOCK, ""), CODE_SPAN, " ")).otherwise(text)
+
+
 def icon_size(size: Column) -> Column:
     """The size if it is an allowed name, or else the empty string."""
     return F.when(size.isin(*ICON_SIZES), size).otherwise("")
 
 
 def _keyword(body: Column, name: str) -> Column:
-    quoted = F.regexp_extract(body, r"(?:^|[ \t\n])" + name + r'="([^"]*)"', 1)
-    plain = F.regexp_extract(body, r"(?:^|[ \t\n])" + name + r'=([^" \t\n][^ \t\n]*)', 1)
-    return F.when(quoted != "", quoted).otherwise(plain)
+    """Value of a keyword argument in either kind of quotes or none."""
+    start = r"(?:^|[ \t\n])" + name
+    double = F.regexp_extract(body, start + r'="([^"]*)"', 1)
+    single = F.regexp_extract(body, start + r"='([^']*)'", 1)
+    plain = F.regexp_extract(body, start + r"""=([^"' \t\n][^ \t\n]*)""", 1)
+    return F.when(double != "", double).when(single != "", single).otherwise(plain)
 
 
 def shortcodes(text: Column) -> Column:
@@ -127,8 +150,9 @@ def shortcodes(text: Column) -> Column:
 def citations(text: Column) -> Column:
     """Cited keys: those in brackets, several in one too, and those in image captions.
 
-    Link texts are none, nor are mail addresses or an escaped @.
+    Link texts are none, nor are mail addresses or an escaped @, nor what stands in code.
     """
+    text = prose(text)
     groups = F.concat(
         F.regexp_extract_all(text, F.lit(CITATION), F.lit(1)),
         F.regexp_extract_all(text, F.lit(CAPTION_CITATION), F.lit(1)),
@@ -136,25 +160,76 @@ def citations(text: Column) -> Column:
     return F.flatten(F.transform(groups, lambda g: F.regexp_extract_all(g, F.lit(CITATION_KEY), F.lit(1))))
 
 
-def _link_structs(text: Column, kind: str, pattern: str, label: int | None, target: int) -> Column:
-    """The text is searched once; label and target are taken from the short matches."""
+def _pairs(paragraph: Column) -> Column:
+    """Matching brackets and parentheses of a paragraph, to any depth, by one walk over their places.
+
+    A struct of two arrays of (s, e) offsets: ``brackets``, which may span lines, and ``rounds``, which may not.
+    """
+    tokens = F.regexp_extract_all(paragraph, F.lit(r"(?s)\\.|[\[\]()\n]|[^\[\]()\n\\]++|\\"), F.lit(0))
+    none, pairs = F.array().cast("array<int>"), F.array().cast("array<struct<s:int,e:int>>")
+    start = F.struct(F.lit(0).alias("at"), none.alias("open"), none.alias("round"), pairs.alias("brackets"), pairs.alias("rounds"))
+
+    def pop(stack: Column) -> Column:
+        return F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))
+
+    def closed(done: Column, stack: Column, at: Column) -> Column:
+        pair = F.struct(F.element_at(stack, -1).alias("s"), at.alias("e"))
+        return F.when(F.size(stack) > 0, F.concat(done, F.array(pair))).otherwise(done)
 
-    def parts(match: Column) -> Column:
-        name = F.regexp_extract(match, pattern, label) if label else F.lit("")
+    def step(acc: Column, token: Column) -> Column:
+        at = acc["at"]
         return F.struct(
-            F.lit(kind).alias("kind"), name.alias("label"), F.regexp_extract(match, pattern, target).alias("target")
+            (at + F.length(token)).alias("at"),
+            F.when(token == "[", F.concat(acc["open"], F.array(at))).when(token == "]", pop(acc["open"])).otherwise(acc["open"]).alias("open"),
+            F.when(token == "(", F.concat(acc["round"], F.array(at)))
+            .when(token == ")", pop(acc["round"]))
+            .when(token == "\n", none)
+            .otherwise(acc["round"])
+            .alias("round"),
+            F.when(token == "]", closed(acc["brackets"], acc["open"], at)).otherwise(acc["brackets"]).alias("brackets"),
+            F.when(token == ")", closed(acc["rounds"], acc["round"], at)).otherwise(acc["rounds"]).alias("rounds"),
         )
 
-    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), parts)
+    return F.aggregate(tokens, start, step)
+
+
+def _inline_links(text: Column) -> Column:
+    """Images and links, (kind, label, target) in the order of their first characters."""
+
+    def found(paragraph: Column) -> Column:
+        def use(acc: Column) -> Column:
+            def one(b: Column) -> Column:
+                target = F.try_element_at(F.filter(acc["rounds"], lambda r: r["s"] == b["e"] + 1), F.lit(1))
+                return F.struct(
+                    b["s"].alias("s"),
+                    F.when(F.substring(paragraph, b["s"], F.lit(1)) == "!", F.when(b["s"] > 0, "image")).otherwise("link").alias("kind"),
+                    F.substring(paragraph, b["s"] + 2, b["e"] - b["s"] - 1).alias("label"),
+                    F.substring(paragraph, target["s"] + 2, target["e"] - target["s"] - 1).alias("target"),
+                )
+
+            return F.filter(F.array_sort(F.transform(acc["brackets"], one)), lambda u: u["target"].isNotNull())
+
+        return F.flatten(F.transform(F.array(_pairs(paragraph)), use))
+
+    paragraphs = F.filter(F.split(text, r"\n[ \t\r]*\n"), lambda p: F.contains(p, F.lit("](")))
+    return F.flatten(F.transform(paragraphs, found))
 
 
 def links(text: Column) -> Column:
-    """Array of (kind, label, target) with kind image, link or url (in angle brackets)."""
-    return F.concat(
-        _link_structs(text, "image", IMAGE, 1, 2),
-        _link_structs(text, "link", LINK, 1, 2),
-        _link_structs(text, "url", AUTOLINK, None, 1),
+    """Array of (kind, label, target) with kind image, link or url (in angle brackets); code holds none.
+
+    Brackets and parentheses may be nested to any depth as long as they match; a target ends with its line.
+    """
+    text = prose(text)
+    inline = _inline_links(text)
+
+    def of(kind: str) -> Column:
+        return F.transform(F.filter(inline, lambda u: u["kind"] == kind), lambda u: F.struct(u["kind"].alias("kind"), u["label"].alias("label"), u["target"].alias("target")))
+
+    urls = F.transform(
+        F.regexp_extract_all(text, F.lit(AUTOLINK), F.lit(1)), lambda t: F.struct(F.lit("url").alias("kind"), F.lit("").alias("label"), t.alias("target"))
     )
+    return F.concat(of("image"), of("link"), urls)
 
 
 def hrefs(html: Column) -> Column:
@@ -162,16 +237,24 @@ def hrefs(html: Column) -> Column:
 
 
 def emoji(text: Column) -> Column:
-    """Names between colons."""
-    names = F.regexp_extract_all(text, F.lit(EMOJI), F.lit(1))
+    """Names between colons, outside code."""
+    names = F.regexp_extract_all(prose(text), F.lit(EMOJI), F.lit(1))
     return F.filter(names, lambda n: n.rlike("[a-z]") | n.isin(*EMOJI_NUMBERS))
 
 
-def link_path(target: Column) -> Column:
-    """A target without query, fragment, scheme and host, and without a trailing slash."""
-    bare = F.regexp_replace(target, r"[?#].*$", "")
-    path = F.regexp_replace(bare, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*", "")
-    return F.regexp_replace(path, r"(?<=.)/$", "")
+def link_address(target: Column, base: Column) -> Column:
+    """Host and path that a web target leads to from the page ``base``; null for mail, other schemes and bare fragments.
+
+    Query, fragment and a trailing slash are dropped, ``.`` and ``..`` resolved, hosts compared without case.
+    """
+    scheme, host = r"^[a-zA-Z][a-zA-Z0-9+.-]*:", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/]*)"
+    bare, page = (F.regexp_replace(c, r"[?#].*$", "") for c in (target, base))
+    own = F.regexp_extract(bare, host, 1)
+    path, folder = F.regexp_replace(bare, host, ""), F.regexp_replace(page, host, "")
+    full = F.when((own == "") & (path == ""), folder).when((own != "") & (path == ""), "/").otherwise(path)
+    place = F.concat(F.lower(F.when(own != "", own).otherwise(F.regexp_extract(page, host, 1))), F.lit("/"), asset_path(folder, full))
+    web = (target != "") & ~target.startswith("#") & (~target.rlike(scheme) | target.rlike(r"^(?i)https?://"))
+    return F.when(web, place)
 
 
 def is_local(target: Column) -> Column:

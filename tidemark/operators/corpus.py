@@ -1,4 +1,4 @@
-"""Documents as rows: front matter, shortcodes, citations, links, slides, and what does not resolve."""
+"""Documents as rows: front matter, shortcodes, citations, links, segments, and what does not resolve."""
 
 from __future__ import annotations
 
@@ -64,7 +64,7 @@ def emoji_uses(docs: DataFrame, key: str = "path", front_matter: bool = False) -
 
 
 def _structure(docs: DataFrame, key: str) -> DataFrame:
-    """Lines that carry structure: code fences, div fences and headings below the front matter.
+    """Lines that carry structure: div fences and headings below the front matter and outside code.
 
     All other text is dropped before the shuffle that the windows need. A document is one input row,
     so its structural lines never exceed what one task has already read.
@@ -72,12 +72,10 @@ def _structure(docs: DataFrame, key: str) -> DataFrame:
     # Front matter becomes blank lines, so line numbers stay; the generator keeps nothing of the text.
     front = F.regexp_extract("text", markup.FRONT_MATTER, 0)
     blank = F.repeat(F.lit("\n"), F.size(F.split(front, "\n")) - 1)
-    all_lines = F.split(F.concat(blank, markup.body(F.col("text"))), "\n")
+    all_lines = F.split(F.concat(blank, markup.blank_code(markup.body(F.col("text")))), "\n")
     lines = docs.select(key, F.posexplode(all_lines).alias("_p", "line")).where(F.col("line").rlike(markup.STRUCTURAL))
     kind = (
-        F.when(F.col("line").rlike(markup.CODE_FENCE_BARE), "code")
-        .when(F.col("line").rlike(markup.CODE_FENCE), "code_info")
-        .when(F.col("line").rlike(markup.DIV_CLOSE), "close")
+        F.when(F.col("line").rlike(markup.DIV_CLOSE), "close")
         .when(F.col("line").rlike(markup.DIV_OPEN), "open")
         .when(F.col("line").rlike(markup.HEADING), "heading")
     )
@@ -88,25 +86,18 @@ def _structure(docs: DataFrame, key: str) -> DataFrame:
 def fence_depth(docs: DataFrame, key: str = "path") -> DataFrame:
     """Structural lines outside code with the number of open div fences after each.
 
-    Rows (path, line_no, kind, line, depth). A fence line with an info string always starts code, a
-    bare one toggles it, so the state is the parity of bare fences since the last line with an info
-    string. A closer without an open div is plain text: the running minimum takes it out again.
+    Rows (path, line_no, kind, line, depth). A closer without an open div is plain text: the running
+    minimum takes it out again.
     """
     order = Window.partitionBy(key).orderBy("line_no")
-    bare = F.sum((F.col("kind") == "code").cast("int")).over(order)
-    lines = _structure(docs, key).withColumn("_bare", bare)
-    opened = F.last(F.when(F.col("kind") == "code_info", F.col("_bare")), ignorenulls=True).over(order)
-    lines = lines.withColumn(
-        "_code", F.when(opened.isNull(), F.col("_bare") % 2).otherwise((F.col("_bare") - opened + 1) % 2)
-    )
-    outside = lines.where((F.col("_code") == 0) & F.col("kind").isin("open", "close", "heading"))
+    outside = _structure(docs, key)
     step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
     summed = outside.withColumn("_sum", F.sum(step).over(order))
     depth = F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(order))
     return summed.select(key, "line_no", "kind", "line", depth.alias("depth"))
 
 
-def slides(docs: DataFrame, key: str = "path") -> DataFrame:
+def deck_segments(docs: DataFrame, key: str = "path") -> DataFrame:
     """Sections and slides: rows (path, slide_no, level, title, section, line_no).
 
     A heading counts only outside code and outside every div, where it would be a callout title.
@@ -163,15 +154,17 @@ def resolve_icons(uses: DataFrame, icons: DataFrame, spread: Sequence[str] = ("p
 
 
 def broken_links(
-    uses: DataFrame, known: DataFrame, spread: Sequence[str] = ("path", "pos")
+    uses: DataFrame, known: DataFrame, base: Column, spread: Sequence[str] = ("path", "pos")
 ) -> DataFrame:
-    """Uses whose target is not among the known ones, compared without scheme, host, query and fragment.
+    """Uses whose target is not among the known addresses, compared by host and path.
 
-    ``known`` has a column ``target``. The uses are written once, as in ``resolve_icons``.
+    ``base`` is the address of the page or deck that holds the use; relative targets are resolved against
+    it. Mail, other schemes and bare fragments are left out. ``known`` has a column ``target`` of full
+    addresses. The uses are written once, as in ``resolve_icons``.
     """
-    have = known.select(markup.link_path(F.col("target")).alias("_path")).distinct()
-    asked = materialise(uses.withColumn("_path", markup.link_path(F.col("target"))), "links")
-    return hot_key_join(asked, have, ["_path"], "left_anti", spread).drop("_path")
+    have = known.select(markup.link_address(F.col("target"), F.lit("")).alias("_address")).distinct()
+    asked = uses.withColumn("_address", markup.link_address(F.col("target"), base)).where("_address IS NOT NULL")
+    return hot_key_join(materialise(asked, "links"), have, ["_address"], "left_anti", spread).drop("_address")
 
 
 def missing_assets(

@@ -4,38 +4,57 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.sources.documents import read_texts
 
 ENTRY_START = r"(?m)^(?=[ \t]*@\w+[ \t]*\{)"
 ENTRY_HEAD = r"^[ \t]*@(\w+)[ \t]*\{[ \t\n]*([^,\s{}]+)[ \t]*,"
-# A braced value may hold braces up to three deep; possessive runs keep long values off the regex stack.
-_INNER = r"(?:[^{}]++|\{[^{}]*+\})*+"
-_BRACED = r"\{(?:[^{}]++|\{" + _INNER + r"\})*+\}"
-FIELD = r"[\w-]+\s*=\s*(?:" + _BRACED + r'|"[^"]*+"|[\w.+-]+)'
+FIELD = r"(?s)^\s*([\w-]+)\s*=\s*(.*?)\s*$"
 # Not entries, but instructions to the formatter.
+SEPARATOR = "\x01"
 SKIPPED_KINDS = ("comment", "string", "preamble")
 
 
+def _fields(rest: Column) -> Column:
+    """The parts of an entry, up to its closing brace, between commas outside braces and quotes.
+
+    One walk counts open braces, so values may be nested to any depth. Quotes inside braces are plain characters.
+    """
+    tokens = F.regexp_extract_all(rest, F.lit(r'[{}",]|[^{}",]++'), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, token: Column) -> Column:
+        outside = acc["depth"] == 0
+        depth = acc["depth"] + F.when(token == "{", 1).when(token == "}", -1).otherwise(0)
+        mark = F.when(outside & ~acc["quoted"] & (token == ","), SEPARATOR).otherwise(token)
+        ended = (acc["depth"] < 0) | (depth < 0)
+        return F.struct(
+            F.when(ended, -1).otherwise(depth).alias("depth"),
+            (acc["quoted"] != (outside & (token == '"'))).alias("quoted"),
+            F.when(ended, acc["out"]).otherwise(F.concat(acc["out"], F.array(mark))).alias("out"),
+        )
+
+    return F.split(F.aggregate(tokens, start, step, lambda acc: F.array_join(acc["out"], "")), SEPARATOR)
+
+
 def parse_bibliography(files: DataFrame) -> DataFrame:
     """(path, text) to one row per entry: path, kind, key and a map of fields with lower-case names.
 
     The first of repeated field names counts. Outer braces or quotes of a value are removed.
     """
-    # Long texts are searched once per step; everything else works on the short matches.
     entry = files.select("path", F.explode(F.split("text", ENTRY_START)).alias("entry"))
     headed = entry.select("path", "entry", F.regexp_extract("entry", ENTRY_HEAD, 0).alias("head")).where("head <> ''")
     found = headed.select(
         "path",
         F.lower(F.regexp_extract("head", ENTRY_HEAD, 1)).alias("kind"),
         F.regexp_extract("head", ENTRY_HEAD, 2).alias("key"),
-        F.regexp_extract_all(F.substr("entry", F.length("head") + 1), F.lit(FIELD), F.lit(0)).alias("found"),
+        F.filter(_fields(F.substr("entry", F.length("head") + 1)), lambda m: m.rlike(FIELD)).alias("found"),
     ).where(~F.col("kind").isin(*SKIPPED_KINDS))
-    names = F.transform("found", lambda m: F.lower(F.regexp_extract(m, r"^[\w-]+", 0)))
+    names = F.transform("found", lambda m: F.lower(F.regexp_extract(m, FIELD, 1)))
     values = F.transform(
-        F.transform("found", lambda m: F.regexp_replace(m, r"^[\w-]+\s*=\s*", "")),
+        F.transform("found", lambda m: F.regexp_extract(m, FIELD, 2)),
         lambda v: F.when(v.rlike(r'^[{"]'), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v),
     )
     fields = found.select("path", "kind", "key", names.alias("n"), values.alias("v"))

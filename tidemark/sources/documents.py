@@ -45,8 +45,11 @@ def read_documents(spark: SparkSession, root: str, patterns: Sequence[str] = DOC
     files = (
         spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", listing).text(root, wholetext=True)
     )
-    base = "^[a-z0-9]+:/*(?:.*?/)?" + re.escape(root.split("://")[-1].strip("/")) + "/"
-    path = F.regexp_replace(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")), base, "")
+    file = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
+    file = F.regexp_replace(file, r"^[a-zA-Z][a-zA-Z0-9+.-]*:/*(?=/|$)", "")
+    # The first place of the root counts: folders below it may repeat its name.
+    prefix = re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:/*(?=/|$)", "", root).strip("/") + "/"
+    path = F.substr(file, F.locate(prefix, file) + len(prefix))
     return files.select(path.alias("path"), F.col("value").alias("text")).where(selected(F.col("path"), patterns))
 
 
