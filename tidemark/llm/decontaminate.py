@@ -37,10 +37,12 @@ from tidemark.session import materialise
 
 PASSAGE, STEP, RANK, EXTRA = 64, 16, 96, 8
 ITEMS, VOCABULARY = 2048, 1 << 16
-COSINE, COPIED, REWORDED = 0.3, 0.8, 0.5
+COSINE, COPIED, REWORDED = 0.4, 0.8, 0.5
 #: Words in more than this share of the items (and in more than three) are no terms.
 COMMON = 0.03
 ROWS = 64
+#: More than the words of any text: places of different rows do not mix.
+WIDE = 1 << 36
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -248,10 +250,26 @@ def search(tokens: DataFrame, items: Items, projection: np.ndarray, latent: np.n
     kind = tokens.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "item_id", "cosine", "lcs", "answer", "start_word", "end_word"]
 
-    def check(t: Tokens, row: int, item: int, begin: int, end: int) -> tuple[float, float]:
+    lengths = np.array([len(s) for s in items.sequences])
+    member = np.zeros((len(items.ids), items.terms), bool)
+    for i, s in enumerate(items.sequences):
+        member[i, s] = True
+
+    def near(t: Tokens, row: np.ndarray, item: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First token and end of the surroundings of each candidate: its window, and twice the item on both sides."""
+        order = t.row * WIDE + t.position
+        low = np.searchsorted(order, row * WIDE + np.maximum(begin - 2 * lengths[item], 0))
+        return low, np.searchsorted(order, row * WIDE + begin + PASSAGE + 2 * lengths[item])
+
+    def shared(t: Tokens, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Tokens of the surroundings that are terms of the item; no common subsequence is longer."""
+        size = high - low
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(low - ends + size, size)
+        return buffers.sums(member[np.repeat(item, size), t.term[at]], np.append(0, ends))
+
+    def check(t: Tokens, item: int, low: int, high: int) -> tuple[float, float]:
         length = len(items.sequences[item])
-        own = slice(t.cuts[row], t.cuts[row + 1])
-        low, high = np.searchsorted(t.position[own], (begin - 2 * length, end + 2 * length)) + t.cuts[row]
         sequence = t.term[low:high].tolist()
         lcs = common_subsequence(masks[item], sequence, length) / length
         answer = len(items.answers[item])
@@ -286,16 +304,20 @@ def search(tokens: DataFrame, items: Items, projection: np.ndarray, latent: np.n
                 which, item = np.nonzero(cosine >= COSINE)
                 where = chosen[k + which]
                 rows = np.searchsorted(first, where, "right") - 1
-                for c, w, row, i in zip(cosine[which, item].tolist(), where.tolist(), rows.tolist(), item.tolist(), strict=True):
-                    begin = (w - int(first[row])) * STEP
-                    seen = best.get((row, i))
-                    if seen and seen[1] >= 1.0:
-                        continue
-                    lcs, answer = check(t, row, i, begin, begin + PASSAGE)
-                    if lcs >= COPIED or (lcs >= REWORDED and answer >= REWORDED):
-                        value = (c, lcs, answer, begin, min(begin + PASSAGE, int(t.n_words[row])))
-                        if not seen or (lcs, c) > (seen[1], seen[0]):
-                            best[row, i] = value
+                begins = (where - first[rows]) * STEP
+                for j in range(0, len(item), 1 << 16):
+                    r, i, g = (x[j : j + (1 << 16)] for x in (rows, item, begins))
+                    low, high = near(t, r, i, g)
+                    some = np.flatnonzero(shared(t, i, low, high) >= REWORDED * lengths[i])
+                    values = (cosine[which[j + some], i[some]], r[some], i[some], g[some], low[some], high[some])
+                    for c, row, one, begin, start, stop in zip(*(v.tolist() for v in values), strict=True):
+                        seen = best.get((row, one))
+                        if seen and seen[1] >= 1.0 and seen[0] >= c:
+                            continue
+                        lcs, answer = check(t, one, start, stop)
+                        if lcs >= COPIED or (lcs >= REWORDED and answer >= REWORDED):
+                            if not seen or (lcs, c) > (seen[1], seen[0]):
+                                best[row, one] = (c, lcs, answer, begin, min(begin + PASSAGE, int(t.n_words[row])))
             if best:
                 ids = part.column("doc_id").take(pa.array([row for row, _ in best]))
                 columns = [pa.array(c) for c in zip(*best.values(), strict=True)]
