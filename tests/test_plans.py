@@ -6,19 +6,17 @@ import re
 import pytest
 
 import __spark_entry__ as contract
+from tidemark.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="tables not present")
 
-# Queries that fit models run their jobs while they are built; their final plan says little.
-BUILT = {"grid_tuning", "daily_risk_model", "logistic_regression", "random_forest", "boosted_trees", "model_vote"}
-
 
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - BUILT))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cross_joins_and_no_python_rows(spark, name):
     text = plan(contract.queries()[name](spark, SF))
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):

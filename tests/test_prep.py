@@ -85,3 +85,27 @@ def test_latin_hypercube_uses_each_stratum_once(spark):
         assert strata == list(range(n))
     orders = {tuple(r["id"] for r in sorted(rows, key=lambda r: r[d])) for d in ranges}
     assert len(orders) == 3
+
+
+def test_any_number_of_classes(spark):
+    rows = [(c * 10 + i, c, float(i)) for c in range(1200) for i in range(2 + (c == 0) * 3)] + [(-1, None, 0.0)]
+    df = spark.createDataFrame(rows, "id long, c long, x double")
+    split = stratified_split(df, "id", "c", 0.5)
+    counts = {(r.c, r.split): r["count"] for r in split.groupBy("c", "split").count().collect()}
+    assert counts.pop((None, None)) == 1 and counts.pop((0, "train")) + counts.pop((0, "test")) == 5
+    assert set(counts.values()) == {1} and len(counts) == 2398
+    assert len(levels(df, "c")) == 1200
+
+
+def test_over_sampling_any_number_of_classes(spark, monkeypatch):
+    from tidemark.operators import neighbours
+    from tidemark.operators.oversample import smote
+
+    rows = [(c * 100 + i, c, [float(c), float(i)]) for c in range(1100) for i in range(3 + (c < 3) * 20)]
+    df = spark.createDataFrame(rows, "id long, c long, x array<double>").repartition(4)
+    new = {r.c: r["count"] for r in smote(df, "id", "c", "x", k=2, block=16).groupBy("c").count().collect()}
+    assert new == {c: 20 for c in range(3, 1100)}
+    find = lambda: sorted(neighbours.nearest_neighbours(df, "c", "id", "x", k=2, block=16).select("g", "id", "rank", "nb_id", "dist").collect())
+    near = find()
+    monkeypatch.setattr(neighbours, "MAX_GROUPS", 5000)
+    assert near == find()

@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as contract
 from check import duck, normal
+from tidemark.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="tables not present")
@@ -17,7 +18,7 @@ def con():
 
 
 @needs_data
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_agrees_with_sql(spark, con, name):
     df = contract.queries()[name](spark, SF)
     got = normal(df.columns, [tuple(r) for r in df.collect()])
@@ -26,7 +27,7 @@ def test_query_agrees_with_sql(spark, con, name):
 
 
 @needs_data
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - set(contract.oracle_sql()) - {"grid_tuning"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_sql_gives_rows(spark, name):
     assert contract.queries()[name](spark, SF).count() > 0
 

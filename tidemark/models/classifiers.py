@@ -20,24 +20,26 @@ def logistic_regression(params: Mapping[str, float] = {}) -> LogisticRegression:
 
 
 def random_forest(params: Mapping[str, float], seed: int = 42) -> RandomForestClassifier:
-    """Parameters: trees, mtry (variables tried per split), min_n (smallest node size)."""
+    """Parameters: trees, mtry (variables tried per split), min_n (smallest node size); depth (5), bootstrap (yes)."""
     return RandomForestClassifier(
         numTrees=round(params["trees"]),
         featureSubsetStrategy=str(round(params["mtry"])),
         minInstancesPerNode=round(params["min_n"]),
+        maxDepth=round(params.get("depth", 5)),
+        bootstrap=bool(params.get("bootstrap", True)),
         seed=seed,
         **COMMON,
     )
 
 
 def boosted_trees(params: Mapping[str, float], seed: int = 42) -> GBTClassifier:
-    """The forest's parameters and learn_rate; trees are fitted in turn to the residuals."""
+    """The forest's parameters but bootstrap, a depth of 3 by default, and learn_rate; trees are fitted in turn to the residuals."""
     return GBTClassifier(
         maxIter=round(params["trees"]),
         featureSubsetStrategy=str(round(params["mtry"])),
         minInstancesPerNode=round(params["min_n"]),
         stepSize=float(params["learn_rate"]),
-        maxDepth=3,
+        maxDepth=round(params.get("depth", 3)),
         seed=seed,
         **COMMON,
     )
@@ -57,8 +59,14 @@ def fit(train: DataFrame, family: str, features: Sequence[str], params: Mapping[
 
 
 def score(model: PipelineModel, df: DataFrame, out: str = "p") -> DataFrame:
-    """Rows with the probability of the positive class. A map-only pass."""
-    scored = model.transform(df).withColumn(out, vector_to_array("probability")[1])
+    """All rows with the probability of the positive class, null where a feature is missing. A map-only pass."""
+    assembler, *rest = model.stages
+    keeping = assembler.copy({assembler.handleInvalid: "keep"})
+    scored = PipelineModel([keeping, *rest]).transform(df)
+    known = F.lit(True)
+    for name in assembler.getInputCols():
+        known = known & F.col(name).isNotNull() & ~F.isnan(F.col(name).cast("double"))
+    scored = scored.withColumn(out, F.when(known, vector_to_array("probability")[1]))
     return scored.drop("features", "rawPrediction", "probability", "prediction")
 
 

@@ -183,6 +183,23 @@ def _blocked(points: DataFrame, sizes: dict[str, int], k: int, block: int, seed:
     return _top(first.unionByName(asked.cogroup(given).applyInPandas(compare, RESULT)), k)
 
 
+def _many_groups(points: DataFrame, k: int, block: int, seed: int) -> DataFrame:
+    """As ``_blocked``, for any number of groups.
+
+    Groups that fit a block need nothing on the driver; the others are taken in batches of about half of MAX_GROUPS.
+    """
+    sizes = materialise(points.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    large = sizes.where(F.col("n") > block)
+    found = points.join(large, "g", "left_anti").groupBy("g").applyInPandas(lambda pdf: _nearest(pdf[pdf["ask"]], pdf, k), RESULT)
+    batches = -(-2 * large.count() // MAX_GROUPS)
+    for i in range(batches):
+        some = large.where(F.pmod(F.xxhash64("g"), F.lit(batches)) == i)
+        chosen = {r.g: r.n for r in some.collect()}
+        if chosen:
+            found = found.unionByName(_blocked(points.join(some.select("g"), "g", "left_semi"), chosen, k, block, seed))
+    return found
+
+
 def nearest_neighbours(
     df: DataFrame,
     group: str,
@@ -208,12 +225,13 @@ def nearest_neighbours(
     )
     kept = materialise(_distinct_enough(points, k), "distinct")
     rows = kept.groupBy("g").agg(F.count(F.lit(1)).alias("n")).limit(MAX_GROUPS + 1).collect()
-    if len(rows) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups")
     if not rows:
         return df.sparkSession.createDataFrame([], RESULT)
-    found = _blocked(kept.drop("_r"), {r.g: r.n for r in rows}, k, block, seed)
-    if points.count() == sum(r.n for r in rows):
+    if len(rows) <= MAX_GROUPS:
+        found, total = _blocked(kept.drop("_r"), {r.g: r.n for r in rows}, k, block, seed), sum(r.n for r in rows)
+    else:
+        found, total = _many_groups(kept.drop("_r"), k, block, seed), kept.count()
+    if points.count() == total:
         return found
     # Every other copy has k equal rows with smaller ids: the first k of its set.
     rest = points.where("ask").join(kept.select("g", "id"), ["g", "id"], "left_anti")

@@ -17,13 +17,15 @@ def stratified_split(
 ) -> DataFrame:
     """Mark rows ``train`` or ``test``: in every stratum exactly round(fraction * n) go to train.
 
+    Rows without a stratum belong to neither side and get null.
+
     The rows with the smallest (md5 of the key, key) are taken. Only the cut is searched, in narrow
     passes over key and stratum; the rows themselves are not shuffled. Write out a costly ``df`` first.
     """
     hashed = df.withColumn("_h", hash_int(F.col(key), seed))
     size = F.round(F.col("n") * F.lit(fraction)).cast("bigint").alias("k")
     cuts = hash_cuts(hashed, stratum, "_h", key, lambda sizes: sizes.select(stratum, size))
-    side = F.when(at_or_below_cut(F.col("_h"), F.col(key)), "train").otherwise("test")
+    side = F.when(at_or_below_cut(F.col("_h"), F.col(key)), "train").when(F.col(stratum).isNotNull(), "test")
     return hashed.join(cuts, stratum, "left").withColumn(out, side).drop("_h", "cut_h", "cut_key")
 
 
@@ -47,8 +49,8 @@ def zscore(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None = Non
     return held.withColumns(scaled).drop("_s")
 
 
-def levels(df: DataFrame, column: str, most: int = 1000) -> list[str]:
-    """Sorted levels of a nominal column. A column with more than ``most`` is refused, not cut."""
+def levels(df: DataFrame, column: str, most: int = 10_000) -> list[str]:
+    """Sorted levels of a nominal column. Each becomes a column, so a column with more than ``most`` is refused, not cut."""
     rows = df.where(F.col(column).isNotNull()).select(column).distinct().limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"{column} has more than {most} levels; it is not a nominal column")
