@@ -12,7 +12,7 @@ Benchmark items are queries against passages of all documents:
 3. Windows of ``PASSAGE`` words, every ``STEP`` words, are projected and compared with all items by cosine.
 4. Around each candidate the longest common subsequence of the item's terms and the document's is taken, also for
    the item's answer (its last sentence, or the last third of a single one). A document is contaminated when it has
-   ``COPIED`` of an item's terms in order, or ``REWORDED`` of them and of its answer's.
+   ``COPIED`` of an item's terms in order, or ``REWORDED`` of them, ``ENOUGH`` at least, and of its answer's.
 
 Items come in blocks of about ``ITEMS``, so the driver and the tasks hold one block at a time; a block's vocabulary
 is hashed to ``VOCABULARY`` terms if it is larger.
@@ -38,6 +38,8 @@ from tidemark.session import materialise
 PASSAGE, STEP, RANK, EXTRA = 64, 16, 96, 8
 ITEMS, VOCABULARY = 2048, 1 << 16
 COSINE, COPIED, REWORDED = 0.4, 0.8, 0.5
+#: So many terms of an item must be there to call a passage a rewording.
+ENOUGH = 6
 #: Words in more than this share of the items (and in more than three) are no terms.
 COMMON = 0.03
 ROWS = 64
@@ -315,7 +317,8 @@ def search(tokens: DataFrame, items: Items, projection: np.ndarray, latent: np.n
                         if seen and seen[1] >= 1.0 and seen[0] >= c:
                             continue
                         lcs, answer = check(t, one, start, stop)
-                        if lcs >= COPIED or (lcs >= REWORDED and answer >= REWORDED):
+                        reworded = min(lcs, answer) >= REWORDED and round(lcs * lengths[one]) >= ENOUGH
+                        if lcs >= COPIED or reworded:
                             if not seen or (lcs, c) > (seen[1], seen[0]):
                                 best[row, one] = (c, lcs, answer, begin, min(begin + PASSAGE, int(t.n_words[row])))
             if best:
