@@ -7,14 +7,23 @@ import pytest
 from tidemark import session
 
 
-def fake(master, folder=None):
+def fake(master, folder=None, dropped=None):
     conf = SimpleNamespace(get=lambda key, default=None: folder or default)
-    return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, applicationId="app-1"))
+    files = SimpleNamespace(mkdirs=lambda path: True, deleteOnExit=[].append if dropped is None else dropped.append)
+    path = lambda name: SimpleNamespace(name=name, getFileSystem=lambda settings: files)
+    hadoop = SimpleNamespace(fs=SimpleNamespace(Path=path))
+    jvm = SimpleNamespace(org=SimpleNamespace(apache=SimpleNamespace(hadoop=hadoop)))
+    context = SimpleNamespace(master=master, applicationId="app-1")
+    return SimpleNamespace(conf=conf, sparkContext=context, _jvm=jvm, _jsc=SimpleNamespace(hadoopConfiguration=lambda: None))
 
 
-def test_the_named_folder_is_used():
+def test_the_named_folder_is_used_and_dropped_at_the_end(monkeypatch):
+    monkeypatch.setattr(session, "_OWN_DIRS", {})
     assert session.shared_dir(fake("spark://host", "hdfs://x/y")) == "hdfs://x/y"
-    assert session.fresh_path(fake("yarn", "hdfs://x/y"), "a").startswith("hdfs://x/y/tidemark-app-1/a-")
+    dropped = []
+    for _ in range(2):
+        assert session.fresh_path(fake("yarn", "hdfs://x/y", dropped), "a").startswith("hdfs://x/y/tidemark-app-1/a-")
+    assert [d.name for d in dropped] == ["hdfs://x/y/tidemark-app-1"]
 
 
 def test_only_local_sessions_may_fall_back(tmp_path, monkeypatch):

@@ -28,7 +28,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.regexp_count("text", F.lit("[0-9]")) / F.greatest(F.length("text"), F.lit(1))).alias("digits"),
     )
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y"))
-    return stratified_split(labels.join(docs, "doc_id"), "doc_id", "y")
+    # The texts are read once; the split and the preparation take several passes over the features.
+    return stratified_split(materialise(labels.join(docs, "doc_id"), "features"), "doc_id", "y")
 
 
 DOCUMENTS = Recipe("doc_id", ["log_chars", "words", "lines", "digits"], ["lang"])

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _LOCAL_DIRS: dict[str, str] = {}
+_OWN_DIRS: dict[str, str] = {}
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -54,9 +55,25 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[application]
 
 
+def _application_dir(spark: SparkSession) -> str:
+    """This application's folder below the shared one, removed when the application ends.
+
+    What is written there only serves frames of this application.
+    """
+    application = spark.sparkContext.applicationId
+    if application not in _OWN_DIRS:
+        folder = os.path.join(shared_dir(spark), f"tidemark-{application}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _OWN_DIRS[application] = folder
+    return _OWN_DIRS[application]
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder, in one folder per application so that it is easy to drop later."""
-    return os.path.join(shared_dir(spark), f"tidemark-{spark.sparkContext.applicationId}", f"{name}-{uuid.uuid4().hex}")
+    """A new path below the shared folder, in one folder per application."""
+    return os.path.join(_application_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
