@@ -6,7 +6,7 @@ sketch: each MinHash value flips one of ``BITS`` bits. Documents with equal sets
 
 Classes that share a band are candidates. In each bucket all members are first compared with the smallest one, which
 links whole groups of near copies by as many pairs as there are members. Where members of one bucket are then still in
-different components, all pairs across components are compared in square blocks. A comparison is an XOR
+different components, those outside the smallest member's component are compared with all, block by block. A comparison is an XOR
 population count of two odd sketches: with ``d`` differing samples at most ``2 d`` bits differ, so pairs whose count
 exceeds what ``SPREAD`` standard deviations above the expected ``d`` allow cannot be similar enough. What is left is
 confirmed on the full sets.
@@ -149,20 +149,19 @@ def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
 def _across(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs from different components that share a bucket and whose sketches are close.
 
-    ``members``: band, n, id, component. A bucket of ``n`` rows is dealt to blocks of about ``BLOCK`` rows by a hash of the
+    ``members``: band, id, component, and ``center``, the component of the bucket's smallest member. Every such pair has
+    a stray, a member outside the center's component, so strays meet all members of their bucket: few where a
+    group of near copies has been linked already. Both sides are dealt to blocks of about ``BLOCK`` rows by a hash of the
     id, and each pair of blocks is a cell of its own, so no cell grows with its bucket.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    rows = members.join(sketches.toDF("id", "sketch"), "id").withColumn("blocks", blocks).withColumn("block", block)
-    partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = rows.withColumn("other", partner)
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    left = dealt.select("band", low.alias("i"), high.alias("j"), F.col("block").alias("block_a"), F.col("id").alias("a"), F.col("component").alias("ca"), F.col("sketch").alias("sa"))
-    right = dealt.select("band", low.alias("i"), high.alias("j"), F.col("block").alias("block_b"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("sketch").alias("sb"))
-    # In a cell of two blocks, the first block's rows meet the second's; in a cell of one block, all meet.
-    meet = left.where("block_a = i").join(right.where("block_b = j"), ["band", "i", "j"])
-    meet = meet.where("ca <> cb and (i < j or a < b)").where(F.expr(DIFFERENCE) <= most_bits(percent))
+    stray = F.col("component") != F.col("center")
+    sizes = members.groupBy("band").agg(F.ceil(F.count_if(stray) / BLOCK).cast("int").alias("m"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
+    rows = members.join(sizes.where("m > 0"), "band").join(sketches, "id")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    own = lambda blocks: F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
+    left = rows.where(stray).select("band", own("m").alias("i"), every("n").alias("j"), F.col("id").alias("a"), F.col("component").alias("ca"), F.col("sketch").alias("sa"))
+    right = rows.select("band", own("n").alias("j"), every("m").alias("i"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("sketch").alias("sb"))
+    meet = left.join(right, ["band", "i", "j"]).where("ca <> cb").where(F.expr(DIFFERENCE) <= most_bits(percent))
     return meet.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -186,8 +185,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     links = materialise(_confirm(materialise(_close(star, sketches, percent), "close"), docs, size, percent), "star")
     labels = components(links)
     labelled = members.where("n > 2").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = labelled.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1")
-    rest = _across(labelled.join(mixed.select("band"), "band", "left_semi"), sketches, percent)
+    centers = labelled.where("id = least").select("band", F.col("component").alias("center"))
+    rest = _across(labelled.select("band", "id", "component").join(centers, "band"), sketches, percent)
     rest = materialise(rest.join(star, ["a", "b"], "left_anti"), "across")
     if not rest.isEmpty():
         more = materialise(_confirm(rest, docs, size, percent), "links")
