@@ -35,7 +35,7 @@ def test_scans_read_only_what_is_needed(spark):
 
 
 def test_structure_drops_the_text_before_the_shuffle(spark):
-    text = plan(contract.queries()["slide_segments"](spark, SF))
+    text = plan(contract.queries()["deck_segments"](spark, SF))
     exchanges = [line for line in text.split("\n") if "Exchange" in line]
     assert len(exchanges) == 1 and "hashpartitioning(path" in exchanges[0]
     carried = re.search(r"Generate posexplode\(.*?\), \[([^\]]*)\], false, \[_p", text, re.DOTALL).group(1)
