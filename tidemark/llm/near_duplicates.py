@@ -5,11 +5,12 @@ document, the size and a 128-bit key of its set, ``SAMPLES`` MinHash values cut
 sketch: each MinHash value flips one of ``BITS`` bits. Documents with equal sets are one class from then on.
 
 Classes that share a band are candidates. In each bucket all members are first compared with the smallest one, which
-links whole groups of near copies by as many pairs as there are members. Where members of one bucket are then still in
-different components, those outside the smallest member's component are compared with all, block by block. A comparison is an XOR
-population count of two odd sketches: with ``d`` differing samples at most ``2 d`` bits differ, so pairs whose count
-exceeds what ``SPREAD`` standard deviations above the expected ``d`` allow cannot be similar enough. What is left is
-confirmed on the full sets.
+links whole groups of near copies by as many pairs as there are members; then, ``ROUNDS`` times at most, members with
+another center in each bucket that is still of several components. Where that remains so, members outside the smallest
+member's component are compared with all of their bucket, block by block. A comparison is an XOR population
+count of two odd sketches: with ``d`` differing samples at most ``2 d`` bits differ, so pairs whose count exceeds what
+``SPREAD`` standard deviations above the expected ``d`` allow cannot be similar enough. What is left is confirmed on the
+full sets.
 
 With the default samples a pair at the threshold of 0.8 shares no band with a probability of 5e-8 (0.85: 6e-11).
 
@@ -30,7 +31,7 @@ from tidemark.llm.buffers import LOWER, Hashes, Texts, lists
 from tidemark.llm.graph import components
 from tidemark.session import materialise
 
-SAMPLES, BAND, BITS, SPREAD, BLOCK = 128, 4, 512, 7, 256
+SAMPLES, BAND, BITS, SPREAD, BLOCK, ROUNDS = 128, 4, 512, 7, 256, 2
 
 _rng = np.random.default_rng(8)
 _ODD = _rng.integers(0, 1 << 31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -131,21 +132,31 @@ def _close(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return sides.where(F.expr(DIFFERENCE) <= most_bits(percent)).select("a", "b")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets have ``100 * intersection >= percent * union``.
-
-    Sets are made only for texts that occur in a pair, from the texts themselves.
-    """
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    sets = materialise(buffers.map_texts(texts, _sets(size), f"doc_id {kind}, shingles array<long>"), "sets")
-    sets = sets.dropDuplicates(["doc_id"])
-    both = pairs.join(sets.toDF("a", "va"), "a").join(sets.toDF("b", "vb"), "b")
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full sets have ``100 * intersection >= percent * union``."""
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    some = sets.join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    both = pairs.join(some.toDF("a", "va"), "a").join(some.toDF("b", "vb"), "b")
     common = F.size(F.array_intersect("va", "vb"))
     return both.where(100 * common >= percent * (F.size("va") + F.size("vb") - common)).select("a", "b")
 
 
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets of three and more with their components."""
+    return members.where("n > 2").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def _spokes(members: DataFrame) -> DataFrame:
+    """Each member paired with its bucket's center, another one in every bucket, where their components differ.
+
+    A member shares many buckets with whatever it resembles, so it meets many centers; the pairs grow with the members.
+    """
+    ranked = F.struct(F.xxhash64("id", "band").alias("h"), F.col("id").alias("hub"), F.col("component").alias("c"))
+    centers = members.groupBy("band").agg(F.min(ranked).alias("center")).select("band", "center.hub", "center.c")
+    pairs = members.join(centers, "band").where("component <> c")
+    return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+
+
 def _across(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs from different components that share a bucket and whose sketches are close.
 
@@ -181,16 +192,32 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     buckets = rows.groupBy("band").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialise(rows.join(buckets, "band"), "members")
 
+    # Full sets are made once, only for documents that share a bucket with another one.
+    grouped = members.select(F.col("id").alias("doc_id")).distinct()
+    texts = docs.select("doc_id", "text").join(grouped.hint("merge"), "doc_id", "left_semi")  # the ids grow with the texts
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sets = buffers.map_texts(texts, _sets(size), f"doc_id {kind}, shingles array<long>")
+    sets = materialise(sets.withColumnRenamed("doc_id", "id"), "sets")
+
     star = members.where("id > least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    links = materialise(_confirm(materialise(_close(star, sketches, percent), "close"), docs, size, percent), "star")
+    tested = materialise(_close(star, sketches, percent), "close")
+    links = materialise(_confirm(tested, sets, percent), "star")
     labels = components(links)
-    labelled = members.where("n > 2").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    for _ in range(ROUNDS):
+        more = _close(_spokes(_labelled(members, labels)), sketches, percent)
+        more = materialise(more.join(tested, ["a", "b"], "left_anti"), "spokes")
+        tested = tested.union(more)
+        found = materialise(_confirm(more, sets, percent), "links")
+        if found.isEmpty():
+            break
+        links = links.union(found)
+        labels = components(links)
+    labelled = materialise(_labelled(members, labels), "labelled")
     centers = labelled.where("id = least").select("band", F.col("component").alias("center"))
     rest = _across(labelled.select("band", "id", "component").join(centers, "band"), sketches, percent)
-    rest = materialise(rest.join(star, ["a", "b"], "left_anti"), "across")
+    rest = materialise(rest.join(tested, ["a", "b"], "left_anti"), "across")
     if not rest.isEmpty():
-        more = materialise(_confirm(rest, docs, size, percent), "links")
-        labels = components(links.union(more))
+        labels = components(links.union(materialise(_confirm(rest, sets, percent), "links")))
 
     joined = classes.join(labels, "id", "left").select("key1", "key2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     placed = known.select("doc_id", "n_shingles", "key1", "key2").join(joined, ["key1", "key2", "n_shingles"])
