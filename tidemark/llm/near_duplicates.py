@@ -8,7 +8,7 @@ Classes that share a band are candidates. In each bucket all members are first c
 links whole groups of near copies by as many pairs as there are members; then, ``ROUNDS`` times at most, members with
 another center in each bucket that is still of several components. Where that remains so, members outside the smallest
 member's component are compared with all of their bucket, block by block. A comparison is an XOR population
-count of two odd sketches: with ``d`` differing samples at most ``2 d`` bits differ, so pairs whose count exceeds what
+count of two odd sketches, after a comparison of set sizes: with ``d`` differing samples at most ``2 d`` bits differ, so pairs whose count exceeds what
 ``SPREAD`` standard deviations above the expected ``d`` allow cannot be similar enough. What is left is confirmed on the
 full sets.
 
@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import buffers
@@ -31,7 +31,7 @@ from tidemark.llm.buffers import LOWER, Hashes, Texts, lists
 from tidemark.llm.graph import components
 from tidemark.session import materialise
 
-SAMPLES, BAND, BITS, SPREAD, BLOCK, ROUNDS = 128, 4, 512, 7, 256, 2
+SAMPLES, BAND, BITS, SPREAD, BLOCK, ROUNDS = 128, 4, 512, 5, 256, 2
 
 _rng = np.random.default_rng(8)
 _ODD = _rng.integers(0, 1 << 31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -126,10 +126,19 @@ def most_bits(percent: int) -> int:
 DIFFERENCE = "aggregate(zip_with(sa, sb, (x, y) -> bit_count(x ^ y)), 0, (s, n) -> s + n)"
 
 
+def _possible(percent: int) -> Column:
+    """Whether sizes (na, nb) and odd sketches (sa, sb) of two sets allow the similarity.
+
+    The intersection is at most the smaller set and the union at least the larger one.
+    """
+    sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    return F.when(sizes, F.expr(DIFFERENCE) <= most_bits(percent)).otherwise(False)
+
+
 def _close(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose odd sketches allow the similarity."""
-    sides = pairs.join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b")
-    return sides.where(F.expr(DIFFERENCE) <= most_bits(percent)).select("a", "b")
+    """Pairs (a, b) that may be similar enough."""
+    sides = pairs.join(sketches.toDF("a", "na", "sa"), "a").join(sketches.toDF("b", "nb", "sb"), "b")
+    return sides.where(_possible(percent)).select("a", "b")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -170,9 +179,9 @@ def _across(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     rows = members.join(sizes.where("m > 0"), "band").join(sketches, "id")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
     own = lambda blocks: F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
-    left = rows.where(stray).select("band", own("m").alias("i"), every("n").alias("j"), F.col("id").alias("a"), F.col("component").alias("ca"), F.col("sketch").alias("sa"))
-    right = rows.select("band", own("n").alias("j"), every("m").alias("i"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("sketch").alias("sb"))
-    meet = left.join(right, ["band", "i", "j"]).where("ca <> cb").where(F.expr(DIFFERENCE) <= most_bits(percent))
+    left = rows.where(stray).select("band", own("m").alias("i"), every("n").alias("j"), F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
+    right = rows.select("band", own("n").alias("j"), every("m").alias("i"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
+    meet = left.join(right, ["band", "i", "j"]).where("ca <> cb").where(_possible(percent))
     return meet.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -186,8 +195,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     known = signed.where("n_shingles > 0 and doc_id is not null")
     classes = known.groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("id"))
     heads = known.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    heads = materialise(heads.select(F.col("doc_id").alias("id"), "bands", "sketch").dropDuplicates(["id"]), "heads")
-    sketches = heads.select("id", "sketch")
+    heads = materialise(heads.select(F.col("doc_id").alias("id"), "n_shingles", "bands", "sketch").dropDuplicates(["id"]), "heads")
+    sketches = heads.select("id", "n_shingles", "sketch")
     rows = heads.select(F.explode("bands").alias("band"), "id")
     buckets = rows.groupBy("band").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialise(rows.join(buckets, "band"), "members")
