@@ -6,7 +6,7 @@ the adjacent pairs that are tokens by rank, and merges pop the lowest rank (left
 
 The vocabulary file (lines of base64 token and rank) is read on the driver by Spark and sent to the tasks: its
 size is that of the vocabulary, not of the data, and is limited by ``MAX_VOCABULARY``. A task keeps the codes of
-pre-tokens it has met in a dictionary of at most ``CACHE`` entries, which is emptied when it is full.
+frequent pre-tokens in two dictionaries of at most ``CACHE`` entries.
 
 Null texts are empty and encode to no ids. Rows keep their doc_id, null ones too; repeated rows give repeated
 results. Other columns are ignored.
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from tidemark.llm.buffers import pieces
 
 MAX_VOCABULARY = 1 << 20
-CACHE = 1 << 20
+CACHE = 1 << 17
 LOAD = 3
 _MASK = (1 << 64) - 1
 
@@ -153,27 +153,38 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Encoder(dict):
-    """Codes (little-endian 32-bit ids) by run of text; a missing run is encoded and kept."""
+    """Codes (little-endian 32-bit ids) by run of text; a missing run is encoded and kept.
+
+    Runs are kept in two generations of ``CACHE`` entries: when the young one is full it becomes the old one, and what is
+    asked for again moves back. So frequent runs stay and rare ones go.
+    """
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         import regex
 
         self.vocabulary = vocabulary
         self.pieces = regex.compile(pattern).findall
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, run: str) -> bytes:
+        code = self.old.get(run)
+        if code is None:
+            code = self._code(run)
+        if len(run) <= 64:
+            if len(self) >= CACHE:
+                self.old = dict(self)
+                self.clear()
+            self[run] = code
+        return code
+
+    def _code(self, run: str) -> bytes:
         ranks, whole = self.vocabulary.ranks, self.vocabulary.whole
         codes = []
         latin = run.removeprefix(" ").isalpha() and max(run) < "\u0250"
         for piece in (run,) if latin else self.pieces(run):
             token = piece.encode()
             codes.append(whole(token) or array("I", merge(token, ranks)).tobytes())
-        code = b"".join(codes)
-        if len(run) <= 64:
-            if len(self) >= CACHE:
-                self.clear()
-            self[run] = code
-        return code
+        return b"".join(codes)
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, _CUTS.findall(text)))
