@@ -166,3 +166,14 @@ def test_common_subsequence():
             for j, y in enumerate(b):
                 table[i + 1, j + 1] = table[i, j] + 1 if x == y else max(table[i, j + 1], table[i + 1, j])
         assert decontaminate.common_subsequence(decontaminate._masks(np.array(a)), b, len(a)) == table[-1, -1]
+
+
+def test_short_items_are_all_found_when_a_block_holds_many(spark):
+    rng = np.random.default_rng(5)
+    share = 1 / np.arange(10, 4010)
+    text = lambda n: " ".join(f"w{k}" for k in rng.choice(4000, n, p=share / share.sum()))
+    items = [(k, text(int(rng.integers(8, 24)))) for k in range(1000)]
+    docs = [(k, f"{text(150)} {item} {text(150)}") for k, item in items]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), bench)
+    assert {r.doc_id for r in got.where("doc_id = item_id").collect()} == {k for k, _ in items}

@@ -9,7 +9,11 @@ Benchmark items are queries against passages of all documents:
    matrix and add up the products by term, twice (one power iteration); items weigh as much as all passages
    together, so that their directions are there whatever the corpus holds. Only matrices of terms by rank come to
    the driver.
-3. Windows of ``PASSAGE`` words, every ``STEP`` words, are projected and compared with all items by cosine.
+3. Windows of ``PASSAGE`` words, every ``STEP`` words, are projected and compared with all items by cosine. A basis of
+   ``RANK`` directions blurs items once a block holds more of them, and a short item is little of a window, so cosines
+   alone would lose copies. Windows are candidates, too, whatever their cosine, when as many of an item's terms as step 4
+   asks for at least lie together: anywhere around the window, or, for items too short for a rewording, within
+   ``CLOSE`` times the words of the item.
 4. Around each candidate the longest common subsequence of the item's terms and the document's is taken, also for
    the item's answer (its last sentence, or the last third of a single one). A document is contaminated when it has
    ``COPIED`` of an item's terms in order, or ``REWORDED`` of them, ``ENOUGH`` at least, and of its answer's.
@@ -37,9 +41,11 @@ from tidemark.session import materialise
 
 PASSAGE, STEP, RANK, EXTRA = 64, 16, 96, 8
 ITEMS, VOCABULARY = 2048, 1 << 16
-COSINE, COPIED, REWORDED = 0.4, 0.8, 0.5
+COSINE, COPIED, REWORDED = 0.3, 0.8, 0.5
 #: So many terms of an item must be there to call a passage a rewording.
 ENOUGH = 6
+#: Terms of a short item lie together within so many times its words.
+CLOSE = 4
 #: Words in more than this share of the items (and in more than three) are no terms.
 COMMON = 0.03
 ROWS = 64
@@ -81,6 +87,7 @@ class Items:
         keep = [k if k.sum() >= 4 else np.ones(len(k), bool) for k in keep]
         full = [i for i, w in enumerate(words) if len(w) > 1]
         self.ids = [ids[i] for i in full]
+        self.words = np.array([len(words[i]) for i in full])
         self.hashes = np.unique(np.concatenate([words[i][keep[i]] for i in full] or [np.zeros(0, np.uint64)]))
         self.terms = min(len(self.hashes), VOCABULARY)
         self.sequences = [self.term(words[i][keep[i]]) for i in full]
@@ -253,6 +260,10 @@ def search(tokens: DataFrame, items: Items, projection: np.ndarray, latent: np.n
     names = ["doc_id", "item_id", "cosine", "lcs", "answer", "start_word", "end_word"]
 
     lengths = np.array([len(s) for s in items.sequences])
+    need = np.minimum(np.ceil(COPIED * lengths - 1e-9), np.maximum(np.ceil(REWORDED * lengths), ENOUGH)).astype(np.int64)
+    reach = np.where(need >= ENOUGH, PASSAGE + 4 * lengths, CLOSE * items.words)
+    distinct = [np.unique(s) for s in items.sequences]
+    owner, own_terms = np.repeat(np.arange(len(distinct)), [len(d) for d in distinct]), np.concatenate(distinct)
     member = np.zeros((len(items.ids), items.terms), bool)
     for i, s in enumerate(items.sequences):
         member[i, s] = True
@@ -270,6 +281,40 @@ def search(tokens: DataFrame, items: Items, projection: np.ndarray, latent: np.n
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(low - ends + size, size)
         return buffers.sums(member[np.repeat(item, size), t.term[at]], np.append(0, ends))
 
+    def together(t: Tokens, pairs: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Row, item and first word of each window that touches ``need`` terms of an item within ``reach`` words."""
+        by_term = np.argsort(t.term, kind="stable")
+        count = np.bincount(t.term, minlength=items.terms)
+        start = np.cumsum(count) - count
+        size = count[own_terms]
+        total = np.bincount(owner, size, len(distinct)).astype(np.int64)
+        size[total[owner] < need[owner]] = 0
+        piece = np.cumsum(np.where(total < need, 0, total)) // pairs  # items by turns, so that few pairs are held
+        for turn in np.unique(piece):
+            some = np.flatnonzero((piece[owner] == turn) & (size > 0))
+            ends = np.cumsum(size[some])
+            if not len(some):
+                continue
+            at = np.arange(ends[-1]) + np.repeat(start[own_terms[some]] - ends + size[some], size[some])
+            hit = np.sort(np.repeat(owner[some], size[some]) * len(t.term) + by_term[at])
+            item, token = np.divmod(hit, len(t.term))
+            last = np.arange(len(hit)) + need[item] - 1
+            j = np.flatnonzero(last < len(hit))
+            last = last[j]
+            row, low, high = t.row[token[j]], t.position[token[j]], t.position[token[last]]
+            found = (item[last] == item[j]) & (t.row[token[last]] == row) & (high - low < reach[item[j]])
+            item, row, low, high = item[j][found], row[found], low[found], high[found]
+            side = 2 * lengths[item]
+            begin = -(-np.maximum(np.maximum(low - PASSAGE, high - PASSAGE - side) + 1, 0) // STEP)
+            end = np.minimum(high, low + side) // STEP + 1
+            # Both ends grow within an item and a row: windows that the run of terms before has are left out.
+            again = np.flatnonzero((item[1:] == item[:-1]) & (row[1:] == row[:-1])) + 1
+            begin[again] = np.maximum(begin[again], end[again - 1])
+            many = np.maximum(end - begin, 0)
+            if total_windows := int(many.sum()):
+                block = np.arange(total_windows) + np.repeat(begin - np.cumsum(many) + many, many)
+                yield np.repeat(row, many), np.repeat(item, many), block * STEP
+
     def check(t: Tokens, item: int, low: int, high: int) -> tuple[float, float]:
         length = len(items.sequences[item])
         sequence = t.term[low:high].tolist()
@@ -296,31 +341,41 @@ def search(tokens: DataFrame, items: Items, projection: np.ndarray, latent: np.n
                 windows[more] += sums[more + j]
                 counted[more] += hits[more + j]
             # Half of the terms of an item that is longer than a window need not lie in one.
-            chosen = np.flatnonzero(counted >= max(1, min(items.least, PASSAGE // 4)))
-            if not len(chosen):
-                continue
-            norm = np.maximum(np.linalg.norm(windows[chosen], axis=1), 1e-9)
+            enough = counted >= max(1, min(items.least, PASSAGE // 4))
+            chosen = np.flatnonzero(enough)
+            norm = np.maximum(np.linalg.norm(windows, axis=1), 1e-9)
             best: dict[tuple[int, int], tuple] = {}
-            for k in range(0, len(chosen), 4096):
-                cosine = windows[chosen[k : k + 4096]] @ latent.T / norm[k : k + 4096, None]
-                which, item = np.nonzero(cosine >= COSINE)
-                where = chosen[k + which]
-                rows = np.searchsorted(first, where, "right") - 1
-                begins = (where - first[rows]) * STEP
+
+            def confirm(rows: np.ndarray, item: np.ndarray, begins: np.ndarray, cosines: np.ndarray) -> None:
                 for j in range(0, len(item), 1 << 16):
-                    r, i, g = (x[j : j + (1 << 16)] for x in (rows, item, begins))
+                    r, i, g, c = (x[j : j + (1 << 16)] for x in (rows, item, begins, cosines))
                     low, high = near(t, r, i, g)
-                    some = np.flatnonzero(shared(t, i, low, high) >= REWORDED * lengths[i])
-                    values = (cosine[which[j + some], i[some]], r[some], i[some], g[some], low[some], high[some])
-                    for c, row, one, begin, start, stop in zip(*(v.tolist() for v in values), strict=True):
+                    bound = shared(t, i, low, high)
+                    some = np.flatnonzero(bound >= need[i])
+                    values = (c[some], bound[some], r[some], i[some], g[some], low[some], high[some])
+                    for cosine, most, row, one, begin, start, stop in zip(*(v.tolist() for v in values), strict=True):
                         seen = best.get((row, one))
-                        if seen and seen[1] >= 1.0 and seen[0] >= c:
+                        if seen and (min(most / lengths[one], 1.0), cosine) <= (seen[1], seen[0]):
                             continue
                         lcs, answer = check(t, one, start, stop)
                         reworded = min(lcs, answer) >= REWORDED and round(lcs * lengths[one]) >= ENOUGH
                         if lcs >= COPIED or reworded:
-                            if not seen or (lcs, c) > (seen[1], seen[0]):
-                                best[row, one] = (c, lcs, answer, begin, min(begin + PASSAGE, int(t.n_words[row])))
+                            if not seen or (lcs, cosine) > (seen[1], seen[0]):
+                                best[row, one] = (cosine, lcs, answer, begin, min(begin + PASSAGE, int(t.n_words[row])))
+
+            for k in range(0, len(chosen), 4096):
+                cosine = windows[chosen[k : k + 4096]] @ latent.T / norm[chosen[k : k + 4096], None]
+                which, item = np.nonzero(cosine >= COSINE)
+                where = chosen[k + which]
+                rows = np.searchsorted(first, where, "right") - 1
+                confirm(rows, item, (where - first[rows]) * STEP, cosine[which, item])
+            for rows, item, begins in together(t):
+                for j in range(0, len(item), 1 << 16):
+                    r, i, g = (x[j : j + (1 << 16)] for x in (rows, item, begins))
+                    where = first[r] + g // STEP
+                    cosine = np.einsum("ij,ij->i", windows[where], latent[i]) / norm[where]
+                    new = (cosine < COSINE) | ~enough[where]
+                    confirm(r[new], i[new], g[new], cosine[new])
             if best:
                 ids = part.column("doc_id").take(pa.array([row for row, _ in best]))
                 columns = [pa.array(c) for c in zip(*best.values(), strict=True)]
