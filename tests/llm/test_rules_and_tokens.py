@@ -128,3 +128,22 @@ def test_digests_use_whole_texts(spark):
     text = frames.prose(random.Random(9), 20_000)
     row = bpe.decode(bpe.encode(spark.createDataFrame([(1, text)], "doc_id long, text string"), ranks, pattern), ranks).first()
     assert hashlib.sha256(bytes(row.decoded)).digest() == hashlib.sha256(text.encode()).digest()
+
+
+def test_forests_see_every_rule_statistic(spark):
+    rng = random.Random(2)
+    lines = lambda: [frames.prose(rng, 8) + "." for _ in range(12)]
+    junk = {
+        "duplicate lines": lambda x: [part for line in x for part in (line, "Click here.")],
+        "digits": lambda x: [" ".join(w if i % 2 else str(rng.randrange(10**8, 10**9)) for i, w in enumerate(line.split())) for line in x],
+        "distinct words": lambda x: [" ".join(rng.sample((x[0] + " other").split(), 8)) + "." for _ in x],
+        "longest word": lambda x: [*x, "x" * 400],
+        "repeats": lambda x: [*x, " ".join(x[0].split()[:6]) + " " + frames.prose(rng, 2)],
+    }
+    good = [(k, "\n".join(lines())) for k in range(300)]
+    for place, (kind, change) in enumerate(junk.items()):
+        bad = [(1000 * (place + 1) + k, "\n".join(change(lines()))) for k in range(30)]
+        known = spark.createDataFrame([(i, int(i < 1000)) for i, _ in good + bad if i % 2], "doc_id long, quality int")
+        judged = quality.quality(spark.createDataFrame(good + bad, "doc_id long, text string"), known).collect()
+        assert not any(r.base_failed for r in judged)
+        assert sum(r.kept for r in judged if r.doc_id < 1000) >= 297 and sum(r.kept for r in judged if r.doc_id >= 1000) <= 1, kind

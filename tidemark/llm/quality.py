@@ -1,16 +1,18 @@
 """Quality rules: rule statistics of whole texts and an isolation forest over them.
 
 :func:`rule_statistics` counts, in one pass over the bytes of the texts, what the rules ask. A document fails the
-base rules when it has too few words or too many of them in repeated windows. The forest judges the others: trees
+base rules when it has too few words or too many of them in repeated windows. Forests judge the others: trees
 split random subsamples of the rule ratios at random values; a document whose ratios are isolated by few splits is
-anomalous. The cut on the anomaly score is calibrated on labelled rows.
+anomalous. One forest sees how words are written, one how they repeat and what they are (``VIEWS``): in a single one,
+the wide ranges of the latter hide the former. The cuts on the anomaly scores are calibrated on labelled rows, each on
+what the forest before keeps.
 
 Fitting takes ``TREES`` subsamples of ``SUBSAMPLE`` labelled good rows each, as isolation forests do; both numbers are
 fixed, so that at most ``TREES * SUBSAMPLE`` rows of ratios reach the driver. Calibration counts the scores of all
 labelled rows, and every document is scored.
 
 Null and empty texts have no words and fail the base rules. Rows are judged one by one, so repeated rows get equal
-verdicts; a null doc_id is kept as null. Without labels of both kinds the forest rejects nothing. Other columns are ignored.
+verdicts; a null doc_id is kept as null. Without labels of both kinds the forests reject nothing. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from tidemark.session import materialise
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 PRIOR = 40
+#: Words of an ordinary line.
+LINE = 8
 TREES, SUBSAMPLE, BINS = 100, 256, 1000
 #: The cut weighs a good row that is rejected as so many bad rows that are caught.
 GOOD_WEIGHT = 6
@@ -108,33 +112,43 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def _formulas(n_words, word_chars, n_symbols, n_echoes, n_capitals, n_marks, n_stops, least, most) -> dict:
-    words, chars = n_words + PRIOR, word_chars + 5 * PRIOR
+def _formulas(c, least, most, log) -> dict:
+    words, chars = c["n_words"] + PRIOR, c["word_chars"] + 5 * PRIOR
     return {
-        "symbols": n_symbols / words,
-        "echoes": most(n_echoes - 1, 0) / words,
-        "capitals": (n_capitals + 0.15 * PRIOR) / chars,
-        "marks": n_marks / words,
-        "stops": least((n_stops + 0.18 * PRIOR) / words, 1.0),
+        "symbols": c["n_symbols"] / words,
+        "repeats": c["n_repeat_words"] / words,
+        "duplicate_lines": c["n_dup_lines"] / (c["n_lines"] + PRIOR / LINE),
+        "echoes": most(c["n_echoes"] - 1, 0) / words,
+        "capitals": (c["n_capitals"] + 0.15 * PRIOR) / chars,
+        "digits": c["n_digits"] / chars,
+        "marks": c["n_marks"] / words,
+        "stops": least((c["n_stops"] + 0.18 * PRIOR) / words, 1.0),
         "word_length": chars / words,
+        # The share of distinct words falls with the length of a text, its logarithm by that of the words hardly does.
+        "distinct": log(c["n_distinct_words"] + PRIOR) / log(words),
+        "longest": log(c["longest_word"] + PRIOR),
     }
 
 
-USED = ["n_words", "word_chars", "n_symbols", "n_echoes", "n_capitals", "n_marks", "n_stops"]
+USED = COUNTS + MORE
+VIEWS = (
+    ["symbols", "echoes", "capitals", "marks", "stops", "word_length"],
+    ["repeats", "duplicate_lines", "digits", "distinct", "longest"],
+)
 
 
 def ratios() -> dict[str, Column]:
-    """What the forest sees: rule statistics per word.
+    """What the forests see: all rule statistics, per word, line or character.
 
     Each is drawn towards an ordinary value by ``PRIOR`` words of it, so that the chance counts of a very short text
     do not look like an anomaly.
     """
-    return _formulas(*map(F.col, USED), lambda a, b: F.least(a, F.lit(b)), lambda a, b: F.greatest(a, F.lit(b)))
+    return _formulas({c: F.col(c) for c in USED}, lambda a, b: F.least(a, F.lit(b)), lambda a, b: F.greatest(a, F.lit(b)), F.log)
 
 
 def _evaluate(rows) -> dict[str, np.ndarray]:
     """The same ratios of counts held in arrays."""
-    return _formulas(*(rows[c].to_numpy(float) for c in USED), np.minimum, np.maximum)
+    return _formulas({c: rows[c].to_numpy(float) for c in USED}, np.minimum, np.maximum, np.log)
 
 
 def _path(n: np.ndarray | float) -> np.ndarray:
@@ -190,54 +204,73 @@ class Forest:
 
 
 class Model:
-    """A forest and the score from which on documents are rejected."""
+    """A forest for each view, and the scores from which on documents are rejected."""
 
-    def __init__(self, forest: Forest, cut: float):
-        self.forest, self.cut = forest, cut
+    def __init__(self, forests: list[Forest], cuts: list[float]):
+        self.forests, self.cuts = forests, cuts
 
+    def scores(self, ratio: dict[str, np.ndarray]) -> np.ndarray:
+        """Anomaly by row and view."""
+        return np.stack([f.score(np.stack([ratio[n] for n in view], axis=1)) for f, view in zip(self.forests, VIEWS, strict=True)], axis=1)
 
-def _score(statistics: DataFrame, forest: Forest) -> DataFrame:
-    """Adds ``anomaly`` to rule statistics."""
+    def limits(self) -> list[int]:
+        return [round(cut * BINS) for cut in self.cuts]
+
+
+def _score(statistics: DataFrame, model: Model) -> DataFrame:
+    """Adds ``anomalies``, one for each view, to rule statistics."""
     names = list(ratios())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names], axis=1).astype(float)
+            scores = model.scores({n: batch.column(n).to_numpy(zero_copy_only=False).astype(float) for n in names})
             kept = [k for k, n in enumerate(batch.schema.names) if n not in names]
-            columns = [batch.column(k) for k in kept] + [pa.array(forest.score(x))]
-            yield pa.RecordBatch.from_arrays(columns, [batch.schema.names[k] for k in kept] + ["anomaly"])
+            columns = [batch.column(k) for k in kept] + [buffers.lists(scores.ravel(), np.arange(len(scores) + 1) * len(VIEWS), pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, [batch.schema.names[k] for k in kept] + ["anomalies"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in statistics.schema.fields)
-    return statistics.select("*", *(v.cast("double").alias(k) for k, v in ratios().items())).mapInArrow(run, f"{schema}, anomaly double")
+    return statistics.select("*", *(v.cast("double").alias(k) for k, v in ratios().items())).mapInArrow(run, f"{schema}, anomalies array<double>")
 
 
-def fit(statistics: DataFrame, labels: DataFrame) -> Model:
-    """Grow the forest on good rows and calibrate the cut on all labelled rows that pass the base rules.
+def _bin(view: int) -> Column:
+    return F.floor(F.col("anomalies")[view] * BINS)
 
-    The cut is the score at which the bad rows caught, less ``GOOD_WEIGHT`` times the good rows lost, are most.
-    """
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("_quality")).where("doc_id is not null and _quality is not null")
-    passing = statistics.where(~base_failed()).join(known, "doc_id")
-    good = passing.where("_quality = 1").select("doc_id", *(v.cast("double").alias(k) for k, v in ratios().items()))
-    rows = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TREES * SUBSAMPLE).drop("doc_id").toPandas().to_numpy(float)
-    rng = np.random.default_rng(11)
-    draws = [rows[rng.choice(len(rows), min(SUBSAMPLE, len(rows)), replace=False)] for _ in range(TREES)] if len(rows) else []
-    forest = Forest(draws)
-    scored = _score(passing, forest)
-    bins = scored.groupBy(F.floor(F.col("anomaly") * BINS).cast("int").alias("bin"), "_quality").count().collect()
+
+def _cut(scored: DataFrame, view: int) -> float:
+    """The score at which the bad rows caught, less ``GOOD_WEIGHT`` times the good rows lost, are most."""
+    bins = scored.groupBy(_bin(view).cast("int").alias("bin"), "_quality").count().collect()
     gain = np.zeros(BINS + 2)
     for r in bins:
         gain[r["bin"]] += r["count"] * (1 if r["_quality"] == 0 else -GOOD_WEIGHT)
     tail = np.append(gain[::-1].cumsum()[::-1], 0)
     ties = np.flatnonzero(tail == tail.max())
     best = int(ties[0] + ties[-1]) // 2  # midway between the last good and the first bad row
-    return Model(forest, best / BINS if tail[best] > 0 else 2.0)
+    return best / BINS if tail[best] > 0 else 2.0
+
+
+def fit(statistics: DataFrame, labels: DataFrame) -> Model:
+    """Grow the forests on good rows and calibrate their cuts, in turn, on all labelled rows that pass the base rules."""
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("_quality")).where("doc_id is not null and _quality is not null")
+    passing = statistics.where(~base_failed()).join(known, "doc_id")
+    good = passing.where("_quality = 1").select("doc_id", *(v.cast("double").alias(k) for k, v in ratios().items()))
+    rows = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TREES * SUBSAMPLE).drop("doc_id").toPandas()
+    rng = np.random.default_rng(11)
+    draws = [rng.choice(len(rows), min(SUBSAMPLE, len(rows)), replace=False) for _ in range(TREES)] if len(rows) else []
+    model = Model([Forest([rows[view].to_numpy(float)[d] for d in draws]) for view in VIEWS], [])
+    scored = _score(passing, model)
+    for view in range(len(VIEWS)):
+        model.cuts.append(_cut(scored, view))
+        scored = scored.where(_bin(view) < F.lit(model.limits()[view]))
+    return model
 
 
 def judge(statistics: DataFrame, model: Model) -> DataFrame:
-    """Adds ``base_failed``, ``anomaly`` and ``kept`` to rule statistics."""
-    scored = _score(statistics, model.forest).withColumn("base_failed", base_failed())
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.floor(F.col("anomaly") * BINS) < F.lit(round(model.cut * BINS))))
+    """Adds ``base_failed``, ``anomaly`` (the highest of the views) and ``kept`` to rule statistics."""
+    scored = _score(statistics, model).withColumn("base_failed", base_failed()).withColumn("anomaly", F.array_max("anomalies"))
+    kept = ~F.col("base_failed")
+    for view, limit in enumerate(model.limits()):
+        kept &= _bin(view) < F.lit(limit)
+    return scored.withColumn("kept", kept).drop("anomalies")
 
 
 def materialised_statistics(docs: DataFrame) -> DataFrame:
@@ -254,16 +287,14 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     """The rows and columns of the documents that are kept, judged in one pass without a join."""
     names, kinds = docs.columns, {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    at, features = names.index("text"), list(ratios())
-    limit = round(model.cut * BINS)
+    at, limits = names.index("text"), np.array(model.limits())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, texts in buffers.slices(batch.column(at)):
                 found = _statistics(pa.nulls(texts.rows), texts).to_pandas()
-                x = np.stack([_evaluate(found)[n] for n in features], axis=1)
                 failed = (found.n_words < MIN_WORDS) | (100 * found.n_repeat_words > MAX_REPEAT_PERCENT * found.n_words)
-                good = ~failed.to_numpy() & (np.floor(model.forest.score(x) * BINS) < limit)
+                good = ~failed.to_numpy() & (np.floor(model.scores(_evaluate(found)) * BINS) < limits).all(axis=1)
                 yield batch.slice(first, end - first).filter(pa.array(good))
 
     return docs.mapInArrow(run, ", ".join(f"`{n}` {kinds[n]}" for n in names))
