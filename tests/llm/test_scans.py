@@ -178,3 +178,11 @@ def test_pipeline_edges(spark, tmp_path):
         last = [f for _, f in stages(spark, tmp_path / folder, docs, known, bench)][-1]
         assert last.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         assert (last.count() == 0) == (folder == "none")
+
+
+def test_digits_that_are_no_numbers_and_very_long_numbers(spark):
+    texts = ["host 1.2.3.4² and ①.②.③.④ or 1.2.3.٤ call +1 (417) 555-7713", "ip 1.2.3." + "0" * 5000 + " and " + "0" * 5000 + "7.2.3.4", "9" * 5000 + ".1.1.1"]
+    found = [[(k, t[s:e]) for k, s, e in personal.marked(t)] for t in texts]
+    assert ("ip", "1.2.3.4") in found[0] and [k for k, _ in found[1]] == ["ip", "ip"] and not [k for k, _ in found[2] if k == "ip"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert personal.find_personal(docs).count() == personal.redact(docs).count() == 3

@@ -42,6 +42,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LEFT, _RIGHT = re.compile(r"[^A-Za-z0-9._%+-]"), re.compile(r"[^A-Za-z0-9.@_%+-]|$")
 _TOKEN = re.compile(r"\S+")
 _DIGITS = re.compile(r"[0-9]")
+_OCTET = re.compile(r"[0-9]{1,3}")
 
 
 def luhn(digits: str) -> bool:
@@ -68,7 +69,7 @@ def marked(text: str) -> list[tuple[str, int, int]]:
     """Spans of the patterns, by kind, then start."""
     found = [("email", s, e) for s, e in _emails(text)] if "@" in text else []
     if _DIGITS.search(text):
-        found += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        found += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(v := p.lstrip("0")) <= 3 and int(v or "0") <= 255 for p in m[0].split("."))]
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 16 <= len(digits) <= 19 and luhn(digits):
@@ -98,7 +99,7 @@ def _features(token: str, before: str, after: str) -> list[float]:
     return [
         1.0, n == 0, 1 <= n <= 3, n == 4, 5 <= n <= 6, n == 7, 8 <= n <= 11, 12 <= n <= 15, 16 <= n <= 19, n > 19,
         bool(at), bool(local and "." in domain), "(at)" in token or "[at]" in token,
-        len(quads) == 4 and all(q.isdigit() for q in quads), len(quads) == 4 and all(q.isdigit() and len(q) < 4 and int(q) < 256 for q in quads),
+        len(quads) == 4 and all(q.isdigit() for q in quads), len(quads) == 4 and all(_OCTET.fullmatch(q) and int(q) < 256 for q in quads),
         token[0] == "+", token[0] == "(", "-" in core, n >= 12 and luhn(digits), letters == 0, letters > n,
         before[:1] == "+", after[:1] == "(", *(cue in words for words in CUES.values()),
     ]
