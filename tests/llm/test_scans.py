@@ -186,3 +186,9 @@ def test_digits_that_are_no_numbers_and_very_long_numbers(spark):
     assert ("ip", "1.2.3.4") in found[0] and [k for k, _ in found[1]] == ["ip", "ip"] and not [k for k, _ in found[2] if k == "ip"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert personal.find_personal(docs).count() == personal.redact(docs).count() == 3
+
+
+def test_fully_sensitive_names_take_plain_literals():
+    text = 'passphrase = "correct horse battery staple"\ndb_pwd = "hunterhunterhunter"\npin = "839201938475"\npassword = pin\npass = "plain words only"\npassword_hint = "name of the first pet"\ntoken = "aaaaaaaaaaaa"\n'
+    found = [text[s:e] for k, s, e in secret_scan.spans(text) if k == "lexed"]
+    assert found == ["correct horse battery staple", "hunterhunterhunter", "839201938475"]
