@@ -7,6 +7,8 @@ No text is cut: a row that is larger than a slice is a slice of its own.
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -67,6 +69,79 @@ class Hashes:
         return mix((self.prefix[end] - self.prefix[start]) * self.down[start])
 
 
+#: Ranges of more bytes than this are hashed one by one.
+LONGEST = 64
+
+
+def _fold(data: np.ndarray, start: np.ndarray, end: np.ndarray, state: np.ndarray, step: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """Fold the bytes of each range into its state, one place of all ranges at a time. Returns the states and which ranges are too long."""
+    sizes = end - start
+    long = np.flatnonzero(sizes > LONGEST)
+    sizes = np.where(sizes > LONGEST, 0, sizes)
+    order = np.argsort(-sizes, kind="stable")
+    begin, folded = start[order], state[order]
+    left = np.searchsorted(-sizes[order], -np.arange(sizes.max(initial=0)), "left")
+    for k, n in enumerate(left.tolist()):
+        folded[:n] = step(folded[:n], data[begin[:n] + k])
+    state[order] = folded
+    return state, long
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges: a table value for each byte is mixed into the state, so no run of bytes cancels another."""
+    first = mix((end - start).astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
+
+    def step(state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        state = (state ^ TABLES[0][byte]) * np.uint64(0x9FB21C651E98DF25)
+        return state ^ (state >> np.uint64(29))
+
+    state, long = _fold(data, start, end, first, step)
+    for i in long.tolist():
+        state[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return mix(state)
+
+
+def _crc_tables() -> tuple[np.ndarray, np.ndarray]:
+    """The byte table of CRC-32, and ``shift[n, j, b]``: byte ``b`` at place ``j`` of a checksum after ``n`` zero bytes."""
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = (table >> np.uint32(1)) ^ np.where(table & np.uint32(1), np.uint32(0xEDB88320), np.uint32(0))
+    shift = np.zeros((LONGEST + 1, 4, 256), np.uint32)
+    shift[0] = np.arange(256, dtype=np.uint32) << (np.uint32(8) * np.arange(4, dtype=np.uint32)[:, None])
+    for n in range(LONGEST):
+        shift[n + 1] = table[shift[n] & np.uint32(255)] ^ (shift[n] >> np.uint32(8))
+    return table, shift
+
+
+CRC, CRC_SHIFT = _crc_tables()
+
+
+def crc32(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """CRC-32 of byte ranges."""
+
+    def step(state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        return CRC[(state ^ byte) & np.uint32(255)] ^ (state >> np.uint32(8))
+
+    state, long = _fold(data, start, end, np.full(len(start), 0xFFFFFFFF, np.uint32), step)
+    state ^= np.uint32(0xFFFFFFFF)
+    for i in long.tolist():
+        state[i] = zlib.crc32(data[start[i] : end[i]])
+    return state
+
+
+def crc32_joined(data: np.ndarray, first: np.ndarray, start: np.ndarray, end: np.ndarray, second: np.ndarray, between: int = 32) -> np.ndarray:
+    """CRC-32 of texts of checksum ``first``, one byte ``between``, and the ranges, whose own checksums are ``second``."""
+    state = first ^ np.uint32(0xFFFFFFFF)
+    state = CRC[(state ^ np.uint32(between)) & np.uint32(255)] ^ (state >> np.uint32(8)) ^ np.uint32(0xFFFFFFFF)
+    sizes = end - start
+    out, n = second.copy(), np.minimum(sizes, LONGEST)
+    for j in range(4):
+        out ^= CRC_SHIFT[n, j, (state >> np.uint32(8 * j)) & np.uint32(255)]
+    for i in np.flatnonzero(sizes > LONGEST).tolist():
+        out[i] = zlib.crc32(data[start[i] : end[i]], int(state[i]))
+    return out
+
+
 class Texts:
     """Rows of a slice: ``data`` holds their bytes, row ``i`` lies in ``offsets[i]:offsets[i + 1]``."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, decontaminate, licences, near_duplicates, personal, secret_scan, suffixes, toxicity
+from tidemark.llm import bpe, chat, decontaminate, licences, near_duplicates, personal, prefix_trie, resampling, secret_scan, suffixes, toxicity
 from tidemark.llm import quality as rules
 from tidemark.plans.registry import Query
 
@@ -174,3 +174,80 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     predicted = F.when(F.col("score") >= 0.3, 1).otherwise(0)
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"))
+
+
+def _crc32(text: str) -> str:
+    """DuckDB SQL for the CRC-32 of a text's bytes, with the table ``crc_table`` of one list ``t``."""
+    bytes_ = f"list_transform(range(strlen({text})), lambda i: CAST('0x' || substr(hex({text}), 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bytes_}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"
+
+
+CRC_TABLE = """crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) AS c
+    FROM range(256) r(i)))"""
+
+_FEATURES = """SELECT {key}, list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f, len(w) AS n_words
+  FROM (SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM {table})"""
+
+
+@query(
+    f"""
+WITH {CRC_TABLE},
+docs AS ({_FEATURES.format(key="doc_id", table="documents")}),
+wanted AS ({_FEATURES.format(key="item_id", table="benchmark")}),
+used AS (SELECT doc_id, unnest(f) AS f, false AS of_target FROM docs UNION ALL SELECT NULL, unnest(f), true FROM wanted),
+coded AS (SELECT f, {_crc32("f")} % 10000 AS bucket FROM (SELECT DISTINCT f FROM used), crc_table),
+counted AS (SELECT bucket, count_if(NOT of_target) AS s, count_if(of_target) AS t FROM used JOIN coded USING (f) GROUP BY bucket),
+totals AS (SELECT sum(s)::DOUBLE + 10000 AS s_all, sum(t)::DOUBLE + 10000 AS t_all FROM counted),
+gained AS (SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * s_all) / ((s + 1)::DOUBLE * t_all)))::BIGINT AS gain FROM counted, totals),
+weighed AS (
+  SELECT doc_id, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+  FROM used JOIN coded USING (f) JOIN gained USING (bucket) WHERE NOT of_target GROUP BY doc_id),
+scored AS (
+  SELECT d.doc_id, len(d.f)::BIGINT AS n_features, coalesce(weight, 0) AS weight, n_words >= 20 AS able,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM docs d LEFT JOIN weighed USING (doc_id)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place, count_if(able) OVER () AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 25 * n // 100 THEN place END AS rank FROM placed
+"""
+)
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn towards the distribution of the benchmark, with weights, scores and ranks."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, least_words=20, seed=7)
+
+
+@query(
+    f"""
+WITH {CRC_TABLE},
+turns AS (
+  SELECT conv_id, length(x) AS size, sha256(length(r) || ':' || r || x) AS digest,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(r) || ':' || r || x)) AS k
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+convs AS (SELECT c, {_crc32("CAST(c AS VARCHAR)")} % 6 AS h FROM (SELECT DISTINCT conv_id AS c FROM turns), crc_table),
+mixed AS (
+  SELECT c, 0 AS part, k, digest, size FROM convs JOIN turns ON conv_id = c - c % 100 WHERE k <= h
+  UNION ALL SELECT c, 1, k, digest, size FROM convs JOIN turns ON conv_id = c WHERE k > h),
+paths AS (
+  SELECT c, coalesce(p, []) AS p, coalesce(s, []) AS s
+  FROM convs LEFT JOIN (SELECT c, list(digest ORDER BY part, k) AS p, list(size ORDER BY part, k) AS s FROM mixed GROUP BY c) USING (c)),
+prefixes AS (
+  SELECT c, d, array_to_string(p[1:d], '') AS key, CASE WHEN d > 0 THEN array_to_string(p[1:d - 1], '') END AS above, coalesce(s[d], 0) AS size, d = len(p) AS ended
+  FROM (SELECT *, unnest(range(len(p) + 1)) AS d FROM paths)),
+nodes AS (
+  SELECT key, any_value(above) AS above, min(c) AS conv_id, any_value(d) AS depth, count(*) AS n_convs, any_value(size) AS size,
+    sha256(coalesce(string_agg(CASE WHEN ended THEN CAST(c AS VARCHAR) END, ',' ORDER BY c), '')) AS ends_sha256
+  FROM prefixes GROUP BY key),
+children AS (SELECT above, count(*) AS n_children FROM nodes WHERE above IS NOT NULL GROUP BY above),
+grown AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children k ON n.key = k.above),
+below AS (
+  SELECT p.key, count_if(n.n_children = 0) AS n_leaves, CAST(sum((n.n_convs - 1) * n.size) AS BIGINT) AS saved_tokens
+  FROM grown n JOIN prefixes p ON p.c = n.conv_id AND p.d <= n.depth GROUP BY p.key)
+SELECT n.conv_id, n.depth, a.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM grown n JOIN below USING (key) LEFT JOIN nodes a ON n.above = a.key
+"""
+)
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct prefix of the rebuilt conversations, with its members, leaves and savings."""
+    return prefix_trie.prefix_trie(prefix_trie.rebuild(table(spark, sf_dir, "conversations")))
