@@ -21,6 +21,8 @@ source gives an empty result. Further columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,7 +32,7 @@ from tidemark.llm import buffers
 from tidemark.llm.buffers import LOWER, Texts, lists
 from tidemark.session import materialise, shuffle_partitions
 
-BUCKETS, STEPS = 10_000, 4
+BUCKETS, STEPS = 10_000, 5
 
 _BREAK = buffers.flags(bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
 
@@ -67,12 +69,9 @@ def gains(source: DataFrame, target: DataFrame) -> list[int]:
     """The gain of every bucket; ``BUCKETS`` numbers, whatever the size of the tables."""
     every = source.sparkSession.range(BUCKETS).select(F.col("id").cast("short").alias("bucket"))
     both = every.join(_counts(source, "s"), "bucket", "left").join(_counts(target, "t"), "bucket", "left").na.fill(0)
-    rows = sorted(both.select("bucket", "s", "t").collect())
-    total = F.lit(float(sum(r.s for r in rows) + BUCKETS))
-    wanted = F.lit(float(sum(r.t for r in rows) + BUCKETS))
-    ratio = ((F.col("t") + 1).cast("double") * total) / ((F.col("s") + 1).cast("double") * wanted)
-    small = source.sparkSession.createDataFrame(rows, "bucket short, s long, t long")
-    return [r.gain for r in small.select("bucket", F.floor(1000 * F.ln(ratio)).alias("gain")).sort("bucket").collect()]
+    rows = both.select("bucket", "s", "t").collect()
+    total, wanted = float(sum(r.s for r in rows) + BUCKETS), float(sum(r.t for r in rows) + BUCKETS)
+    return [math.floor(1000 * math.log((r.t + 1) * total / ((r.s + 1) * wanted))) for r in sorted(rows)]
 
 
 def _weight(of_bucket: list[int]) -> Column:
