@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import buffers
-from tidemark.llm.buffers import LOWER, Hashes, Texts, lists
+from tidemark.llm.buffers import LOWER, Texts, lists
 from tidemark.llm.graph import components
 from tidemark.session import materialise
 
@@ -42,7 +42,7 @@ def shingles(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct shingles of each row, sorted within the row, and the offsets by row."""
     lower = Texts(LOWER[texts.data], texts.offsets)
     start, end = lower.words()
-    words = Hashes(lower.data).ranges(start, end)
+    words = buffers.word_hashes(lower.data, start, end)
     cuts = lower.split(start)
     counts = np.diff(cuts)
     # One entry for each shingle; a row with fewer words has one that ends with its last word.
