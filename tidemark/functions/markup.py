@@ -1,6 +1,7 @@
 """Patterns of the document format and per-document extraction columns.
 
-Every function works on the whole text of a row and returns an array, so nothing is shuffled.
+Every function works on the whole text of a row, so nothing is shuffled. Those that take ``prose`` expect the text
+without code (see ``prose``) as a column of its own, since it is dear to make.
 """
 
 from __future__ import annotations
@@ -147,98 +148,40 @@ def shortcodes(text: Column) -> Column:
     )
 
 
-def citations(text: Column) -> Column:
-    """Cited keys: those in brackets, several in one too, and those in image captions.
+def citations(prose: Column) -> Column:
+    """Keys cited in a text without code: those in brackets, several in one too, and those in image captions.
 
-    Link texts are none, nor are mail addresses or an escaped @, nor what stands in code.
+    Link texts are none, nor are mail addresses or an escaped @.
     """
-    text = prose(text)
     groups = F.concat(
-        F.regexp_extract_all(text, F.lit(CITATION), F.lit(1)),
-        F.regexp_extract_all(text, F.lit(CAPTION_CITATION), F.lit(1)),
+        F.regexp_extract_all(prose, F.lit(CITATION), F.lit(1)),
+        F.regexp_extract_all(prose, F.lit(CAPTION_CITATION), F.lit(1)),
     )
     return F.flatten(F.transform(groups, lambda g: F.regexp_extract_all(g, F.lit(CITATION_KEY), F.lit(1))))
 
 
-def _pairs(paragraph: Column) -> Column:
-    """Matching brackets and parentheses of a paragraph, to any depth, by one walk over their places.
+def link_paragraphs(prose: Column) -> Column:
+    """Paragraphs that may hold links or images."""
+    return F.filter(F.split(prose, r"\n[ \t\r]*\n"), lambda p: F.contains(p, F.lit("](")))
 
-    A struct of two arrays of (s, e) offsets: ``brackets``, which may span lines, and ``rounds``, which may not.
-    """
-    tokens = F.regexp_extract_all(paragraph, F.lit(r"(?s)\\.|[\[\]()\n]|[^\[\]()\n\\]++|\\"), F.lit(0))
-    none, pairs = F.array().cast("array<int>"), F.array().cast("array<struct<s:int,e:int>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("open"), none.alias("round"), pairs.alias("brackets"), pairs.alias("rounds"))
-
-    def pop(stack: Column) -> Column:
-        return F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))
-
-    def closed(done: Column, stack: Column, at: Column) -> Column:
-        pair = F.struct(F.element_at(stack, -1).alias("s"), at.alias("e"))
-        return F.when(F.size(stack) > 0, F.concat(done, F.array(pair))).otherwise(done)
-
-    def step(acc: Column, token: Column) -> Column:
-        at = acc["at"]
-        return F.struct(
-            (at + F.length(token)).alias("at"),
-            F.when(token == "[", F.concat(acc["open"], F.array(at))).when(token == "]", pop(acc["open"])).otherwise(acc["open"]).alias("open"),
-            F.when(token == "(", F.concat(acc["round"], F.array(at)))
-            .when(token == ")", pop(acc["round"]))
-            .when(token == "\n", none)
-            .otherwise(acc["round"])
-            .alias("round"),
-            F.when(token == "]", closed(acc["brackets"], acc["open"], at)).otherwise(acc["brackets"]).alias("brackets"),
-            F.when(token == ")", closed(acc["rounds"], acc["round"], at)).otherwise(acc["rounds"]).alias("rounds"),
-        )
-
-    return F.aggregate(tokens, start, step)
-
-
-def _inline_links(text: Column) -> Column:
-    """Images and links, (kind, label, target) in the order of their first characters."""
 
-    def found(paragraph: Column) -> Column:
-        def use(acc: Column) -> Column:
-            def one(b: Column) -> Column:
-                target = F.try_element_at(F.filter(acc["rounds"], lambda r: r["s"] == b["e"] + 1), F.lit(1))
-                return F.struct(
-                    b["s"].alias("s"),
-                    F.when(F.substring(paragraph, b["s"], F.lit(1)) == "!", F.when(b["s"] > 0, "image")).otherwise("link").alias("kind"),
-                    F.substring(paragraph, b["s"] + 2, b["e"] - b["s"] - 1).alias("label"),
-                    F.substring(paragraph, target["s"] + 2, target["e"] - target["s"] - 1).alias("target"),
-                )
+def link_tokens(paragraph: Column) -> Column:
+    """Brackets, parentheses and line feeds of a paragraph, each alone, and what stands between; an escape is plain text."""
+    return F.regexp_extract_all(paragraph, F.lit(r"(?s)\\.|[\[\]()\n]|[^\[\]()\n\\]++|\\"), F.lit(0))
 
-            return F.filter(F.array_sort(F.transform(acc["brackets"], one)), lambda u: u["target"].isNotNull())
 
-        return F.flatten(F.transform(F.array(_pairs(paragraph)), use))
-
-    paragraphs = F.filter(F.split(text, r"\n[ \t\r]*\n"), lambda p: F.contains(p, F.lit("](")))
-    return F.flatten(F.transform(paragraphs, found))
-
-
-def links(text: Column) -> Column:
-    """Array of (kind, label, target) with kind image, link or url (in angle brackets); code holds none.
-
-    Brackets and parentheses may be nested to any depth as long as they match; a target ends with its line.
-    """
-    text = prose(text)
-    inline = _inline_links(text)
-
-    def of(kind: str) -> Column:
-        return F.transform(F.filter(inline, lambda u: u["kind"] == kind), lambda u: F.struct(u["kind"].alias("kind"), u["label"].alias("label"), u["target"].alias("target")))
-
-    urls = F.transform(
-        F.regexp_extract_all(text, F.lit(AUTOLINK), F.lit(1)), lambda t: F.struct(F.lit("url").alias("kind"), F.lit("").alias("label"), t.alias("target"))
-    )
-    return F.concat(of("image"), of("link"), urls)
+def autolinks(prose: Column) -> Column:
+    """Addresses in angle brackets."""
+    return F.regexp_extract_all(prose, F.lit(AUTOLINK), F.lit(1))
 
 
 def hrefs(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(HREF), F.lit(1))
 
 
-def emoji(text: Column) -> Column:
-    """Names between colons, outside code."""
-    names = F.regexp_extract_all(prose(text), F.lit(EMOJI), F.lit(1))
+def emoji(prose: Column) -> Column:
+    """Names between colons in a text without code."""
+    names = F.regexp_extract_all(prose, F.lit(EMOJI), F.lit(1))
     return F.filter(names, lambda n: n.rlike("[a-z]") | n.isin(*EMOJI_NUMBERS))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import markup
+from tidemark.operators.brackets import with_partner
 from tidemark.operators.joins import hot_key_join
 from tidemark.session import materialise
 
@@ -30,18 +31,65 @@ def icon_uses(docs: DataFrame, key: str = "path") -> DataFrame:
     return uses.withColumn("print_size", markup.icon_size(F.col("size")))
 
 
+def _prose(docs: DataFrame, key: str, text: Column | None = None) -> DataFrame:
+    """Rows (path, prose): the texts without code."""
+    return docs.select(F.col(key), markup.prose(F.col("text") if text is None else text).alias("prose"))
+
+
 def citation_uses(docs: DataFrame, key: str = "path") -> DataFrame:
     """Rows (path, key, uses): how often a document cites a key."""
     return (
-        docs.select(F.col(key), F.explode(markup.citations(F.col("text"))).alias("key"))
+        _prose(docs, key)
+        .select(F.col(key), F.explode(markup.citations(F.col("prose"))).alias("key"))
         .groupBy(key, "key")
         .agg(F.count(F.lit(1)).alias("uses"))
     )
 
 
 def link_uses(docs: DataFrame, key: str = "path") -> DataFrame:
-    """Rows (path, pos, kind, label, target) of images, links and addresses."""
-    return _rows(docs, markup.links(F.col("text")), ("kind", "label", "target"), [key])
+    """Rows (path, pos, kind, label, target) with kind image, link or url (in angle brackets); code holds none.
+
+    Brackets and parentheses may be nested to any depth as long as they match; a target ends with its line, a label with its
+    paragraph. Images come first, then links, then addresses, each in the order of the text. Only paragraphs that may hold a link
+    are unfolded into tokens and shuffled, each on its own. Documents with the same key are read apart.
+    """
+    # The number tells documents apart.
+    prose = _prose(docs, key).withColumn("_doc", F.monotonically_increasing_id())
+    paragraphs = prose.select(key, "_doc", F.posexplode(markup.link_paragraphs(F.col("prose"))).alias("_para", "_text"))
+    tokens = paragraphs.select(key, "_doc", "_para", F.posexplode(markup.link_tokens(F.col("_text"))).alias("_at", "token"))
+    by = ["_doc", "_para"]
+    line = F.count_if(F.col("token") == "\n").over(Window.partitionBy(*by).orderBy("_at"))
+    square, round_ = F.col("token").isin("[", "]"), F.col("token").isin("(", ")")
+    # Parentheses match within a line, square brackets within the paragraph.
+    lined = tokens.withColumn("_line", F.when(round_, line).when(square, -1))
+    step = F.when(F.col("token").isin("[", "("), 1).when(square | round_, -1).otherwise(0)
+    paired = with_partner(lined, [*by, "_line"], "_at", step)
+    item = F.struct("_at", "token", (F.col("partner") + 1).alias("partner"))  # from 1 on, as in arrays
+    whole = paired.groupBy(*by).agg(F.first(key).alias(key), F.array_sort(F.collect_list(item)).alias("t"))
+
+    def between(start: Column, end: Column) -> Column:
+        return F.array_join(F.transform(F.slice("t", start + 1, end - start - 1), lambda x: x["token"]), "")
+
+    closers = F.filter(
+        F.transform("t", lambda x, i: F.struct((i + 1).alias("e"), x["token"].alias("token"), x["partner"].alias("s"), F.get("t", i + 1).alias("next"))),
+        lambda x: (x["token"] == "]") & x["s"].isNotNull() & (x["next"]["token"] == "(") & x["next"]["partner"].isNotNull(),
+    )
+    image = lambda x: F.coalesce(F.endswith(F.get("t", x["s"] - 2)["token"], F.lit("!")), F.lit(False))
+    uses = F.transform(
+        closers,
+        lambda x: F.struct(
+            x["s"].alias("at"),
+            F.when(image(x), "image").otherwise("link").alias("kind"),
+            between(x["s"], x["e"]).alias("label"),
+            between(x["e"] + 1, x["next"]["partner"]).alias("target"),
+        ),
+    )
+    inline = whole.select(key, "_doc", "_para", F.inline(uses))
+    urls = prose.select(key, "_doc", F.posexplode(markup.autolinks(F.col("prose"))).alias("at", "target"))
+    urls = urls.select(key, "_doc", F.lit(0).alias("_para"), "at", F.lit("url").alias("kind"), F.lit("").alias("label"), "target")
+    order = F.when(F.col("kind") == "image", 0).when(F.col("kind") == "link", 1).otherwise(2)
+    place = F.row_number().over(Window.partitionBy("_doc").orderBy(order, "_para", "at"))
+    return inline.unionByName(urls).select(key, place.alias("pos"), "kind", "label", "target")
 
 
 def href_uses(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
@@ -57,7 +105,8 @@ def emoji_uses(docs: DataFrame, key: str = "path", front_matter: bool = False) -
     """Rows (path, emoji, uses) of the ``:name:`` shortcodes in the body, on request in the front matter too."""
     text = F.col("text") if front_matter else markup.body(F.col("text"))
     return (
-        docs.select(F.col(key), F.explode(markup.emoji(text)).alias("emoji"))
+        _prose(docs, key, text)
+        .select(F.col(key), F.explode(markup.emoji(F.col("prose"))).alias("emoji"))
         .groupBy(key, "emoji")
         .agg(F.count(F.lit(1)).alias("uses"))
     )
@@ -70,10 +119,11 @@ def _structure(docs: DataFrame, key: str) -> DataFrame:
     so its structural lines never exceed what one task has already read.
     """
     # Front matter becomes blank lines, so line numbers stay; the generator keeps nothing of the text.
-    front = F.regexp_extract("text", markup.FRONT_MATTER, 0)
-    blank = F.repeat(F.lit("\n"), F.size(F.split(front, "\n")) - 1)
-    all_lines = F.split(F.concat(blank, markup.blank_code(markup.body(F.col("text")))), "\n")
-    lines = docs.select(key, F.posexplode(all_lines).alias("_p", "line")).where(F.col("line").rlike(markup.STRUCTURAL))
+    fronted = docs.select(key, "text", F.regexp_extract("text", markup.FRONT_MATTER, 0).alias("front"))
+    blank = F.regexp_replace("front", r"[^\n]++", "")
+    whole = fronted.select(key, F.concat(blank, F.substr("text", F.length("front") + 1)).alias("text"))
+    bare = whole.select(key, markup.blank_code(F.col("text")).alias("text"))
+    lines = bare.select(key, F.posexplode(F.split("text", "\n")).alias("_p", "line")).where(F.col("line").rlike(markup.STRUCTURAL))
     kind = (
         F.when(F.col("line").rlike(markup.DIV_CLOSE), "close")
         .when(F.col("line").rlike(markup.DIV_OPEN), "open")
@@ -98,7 +148,7 @@ def fence_depth(docs: DataFrame, key: str = "path") -> DataFrame:
 
 
 def deck_segments(docs: DataFrame, key: str = "path") -> DataFrame:
-    """Sections and slides: rows (path, slide_no, level, title, section, line_no).
+    """Headings with their place in the deck: rows (path, slide_no, level, title, section, line_no).
 
     A heading counts only outside code and outside every div, where it would be a callout title.
     """
@@ -135,7 +185,8 @@ def resolve_citations(docs: DataFrame, entries: DataFrame, key: str = "path") ->
     """
     has_bib = markup.front_matter_value(F.col("text"), "bibliography").isNotNull()
     # The texts are read once; what follows works on the keys found.
-    found = materialise(docs.where(has_bib).select(key, markup.citations(F.col("text")).alias("keys")), "citations")
+    clean = _prose(docs.where(has_bib), key)
+    found = materialise(clean.select(key, markup.citations(F.col("prose")).alias("keys")), "citations")
     cited = found.select(key, F.explode("keys").alias("key")).groupBy(key, "key").agg(F.count(F.lit(1)).alias("uses"))
     listed = entries.select(key, "key").distinct().join(found.select(key), key, "left_semi")
     both = cited.join(listed.withColumn("_listed", F.lit(True)), [key, "key"], "full")

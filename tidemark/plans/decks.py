@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.markup import ICON_SIZES
 from tidemark.operators import corpus
 from tidemark.plans.registry import query
-from tidemark.plans.tables import table
-from tidemark.sources.bibliography import parse_bibliography
+from tidemark.plans.tables import dealt, table
+from tidemark.sources.bibliography import entry_keys, parse_bibliography
 from tidemark.sources.documents import selected
 from tidemark.sources.icons import parse_icons
 
@@ -122,12 +122,18 @@ bibs AS (SELECT {DECK_PATH} AS path, lang, {BIB} AS text FROM documents)"""
 
 
 def decks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.expr(DECK_PATH).alias("path"), F.expr(DECK).alias("text"))
+    """One deck per document; texts are read by all cores."""
+    return _as_decks(dealt(table(spark, sf_dir, "documents")))
+
+
+def _as_decks(docs: DataFrame) -> DataFrame:
+    return docs.select(F.expr(DECK_PATH).alias("path"), F.expr(DECK).alias("text"))
 
 
 def bibliographies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One bibliography per deck, under the path of the deck it belongs to."""
-    return table(spark, sf_dir, "documents").select(F.expr(DECK_PATH).alias("path"), F.expr(BIB).alias("text"))
+    docs = dealt(table(spark, sf_dir, "documents"))
+    return docs.select(F.expr(DECK_PATH).alias("path"), F.expr(BIB).alias("text"))
 
 
 def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +164,7 @@ prose AS (SELECT path, regexp_replace(string_agg(line, chr(10) ORDER BY line_no)
 @query(f"""
 SELECT {DECK_PATH} AS path FROM documents WHERE lang <> 'es' AND source <> 'src7'""")
 def document_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = decks(spark, sf_dir).select("path")
+    paths = _as_decks(table(spark, sf_dir, "documents")).select("path")
     return paths.where(selected(F.col("path"), ("*.qmd", "*.Rmd", "!talks/src7/")))
 
 
@@ -267,7 +273,7 @@ SELECT coalesce(c.path, l.path) AS path, coalesce(c."key", l."key") AS "key", co
 FROM (SELECT * FROM cites SEMI JOIN with_bib USING (path)) c
 FULL JOIN (SELECT * FROM listed SEMI JOIN with_bib USING (path)) l ON l.path = c.path AND l."key" = c."key" """)
 def citation_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = parse_bibliography(bibliographies(spark, sf_dir)).select("path", "key")
+    entries = entry_keys(bibliographies(spark, sf_dir))
     return corpus.resolve_citations(decks(spark, sf_dir), entries)
 
 
@@ -375,7 +381,7 @@ depths AS (
 @query("WITH RECURSIVE" + DECKS_SQL + STRUCTURE_SQL + """
 SELECT path, CAST(line_no AS INT) AS line_no, kind, line, CAST(depth AS BIGINT) AS depth FROM depths""")
 def fence_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.fence_depth(decks(spark, sf_dir))
+    return corpus.fence_depth(_as_decks(table(spark, sf_dir, "documents")))
 
 
 @query("WITH RECURSIVE" + DECKS_SQL + STRUCTURE_SQL + r""",
@@ -388,4 +394,4 @@ SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY line_no) AS INT)
        CAST(line_no AS INT) AS line_no
 FROM heads""")
 def deck_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.deck_segments(decks(spark, sf_dir))
+    return corpus.deck_segments(_as_decks(table(spark, sf_dir, "documents")))
