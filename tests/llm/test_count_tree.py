@@ -13,8 +13,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import frames  # noqa: E402
 
 from tidemark.llm import count_tree  # noqa: E402
-from tidemark.llm.buffers import Texts  # noqa: E402
-from tidemark.llm.near_duplicates import shingles  # noqa: E402
+from tidemark.llm.buffers import Texts, shingles  # noqa: E402
 
 SMALL = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

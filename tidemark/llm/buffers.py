@@ -239,3 +239,28 @@ def pieces(batch: pa.RecordBatch, size: int = 8 * SLICE_BYTES) -> Iterator[pa.Re
     """Runs of whole rows of about ``size`` bytes of text, so that Python holds few strings at a time."""
     for first, end, _ in slices(batch.column(1), size):
         yield batch.slice(first, end - first)
+
+
+def shingles(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct shingles of each row, sorted within the row, and the offsets by row."""
+    lower = Texts(LOWER[texts.data], texts.offsets)
+    start, end = lower.words()
+    words = word_hashes(lower.data, start, end)
+    cuts = lower.split(start)
+    counts = np.diff(cuts)
+    # One entry for each shingle; a row with fewer words has one that ends with its last word.
+    entries = np.where(counts >= size, counts - size + 1, counts > 0)
+    row = np.repeat(np.arange(texts.rows), entries)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(entries) - entries, entries)
+    first = cuts[row]
+    at = first + place
+    key = np.full(len(at), np.uint64(size))
+    for j in range(size):
+        inside = at + j < cuts[row + 1]
+        key = np.where(inside, mix(key ^ words[np.minimum(at + j, max(len(words) - 1, 0))]), key)
+    order = np.lexsort((key, row))
+    key, row = key[order], row[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+    key, row = key[new], row[new]
+    return key, np.searchsorted(row, np.arange(texts.rows + 1))

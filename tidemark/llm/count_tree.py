@@ -10,11 +10,12 @@ most the sum of the smaller ones of their coordinates, so a pair with ``100 * in
 **Top level.** The tree's root splits space so that points can be dealt to tasks without a pair being lost: sizes fall into classes, each a quarter
 wider than the one before, and a class whose sets can differ in ``d`` shingles at most has ``d + 1`` subspaces of groups. Two similar sets differ in no
 shingle of at least one subspace of the larger one's class; a set is also dealt to the next classes that its size allows.
-So the cells of the top level are keyed by (class, subspace, content there), and only cells with two classes of sets or more go on.
+So the cells of the top level are keyed by (class, subspace, content there), and only cells with several sets go on, one of those
+that hold the same sets.
 
 **In a cell** every set is first compared with the smallest one, which settles groups of near copies by as many pairs as they have members.
-Cells that still have several components are cut into parts of ``PART`` points or ``ROOM`` numbers; a task packs the points of two parts into R-trees and descends both at once. It gives each point's best
-partner in another component, ``ROUNDS`` times, and at last all pairs that the bound allows; what is given is verified on the full sets.
+Cells that still have several components are cut into parts of about ``PART`` points, folded to ``COARSE`` groups; a task packs the points of two parts into R-trees and descends both at once. It gives each point's best
+partner in another component, ``ROUNDS`` times, and at last all pairs that the bound allows. What is given is bounded again by the full points and verified on the full sets.
 Links are exact: nothing is sampled or capped, and the bound never rules out a similar pair.
 
 Texts without words (null, empty, blank) have an empty set and are linked with nothing. A text with fewer words than a
@@ -29,15 +30,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm import buffers
-from tidemark.llm.buffers import Texts, lists
+from tidemark.llm.buffers import Texts, lists, shingles
 from tidemark.llm.graph import components
-from tidemark.llm.near_duplicates import shingles
 from tidemark.session import materialise, shuffle_partitions
 
-FAN, PART, ROOM, ROUNDS, CHUNK = 8, 1000, 4_000_000, 2, 1 << 22
+FAN, PART, COARSE, ROUNDS, CHUNK = 8, 2000, 64, 2, 1 << 22
 
 _lows = [1]
 while _lows[-1] < 1 << 48:
@@ -54,7 +55,7 @@ def _salted(key: np.ndarray, salt: int) -> np.ndarray:
     return buffers.mix(key ^ np.uint64(salt))
 
 
-def _keys(key: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def set_keys(key: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit sums that stand for the set of each row."""
     rows = len(cuts) - 1
     filled = np.flatnonzero(np.diff(cuts))
@@ -92,10 +93,10 @@ def cells(key: np.ndarray, cuts: np.ndarray, percent: int) -> tuple[np.ndarray,
     return np.concatenate(found)[order], np.searchsorted(owner[order], np.arange(len(counts) + 1))
 
 
-def points(key: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Group counts of each row's set (a power of two of them, 32 at least), and the offsets by row."""
+def points(key: np.ndarray, cuts: np.ndarray, most: int = 1 << 62) -> tuple[np.ndarray, np.ndarray]:
+    """Group counts of each row's set (a power of two of them, from 32 to ``most``), and the offsets by row."""
     counts = np.diff(cuts)
-    groups = 1 << np.maximum(np.ceil(np.log2(np.maximum(counts, 1) / 2)).astype(np.int64), 5)
+    groups = np.minimum(1 << np.maximum(np.ceil(np.log2(np.maximum(counts, 1) / 2)).astype(np.int64), 5), most)
     ends = np.concatenate([[0], np.cumsum(groups)])
     row = np.repeat(np.arange(len(counts)), counts)
     at = (_salted(key, 0xDB4F0B9175AE2165) & (groups[row] - 1).astype(np.uint64)).astype(np.int64)
@@ -108,21 +109,22 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
     def run(ids: pa.Array, texts: Texts) -> pa.RecordBatch:
         key, cuts = shingles(texts, size)
         cell, ends = cells(key, cuts, percent)
-        columns = [ids, pa.array(np.diff(cuts), pa.int64()), *map(pa.array, _keys(key, cuts)), lists(cell.view(np.int64), ends)]
+        columns = [ids, pa.array(np.diff(cuts), pa.int64()), *map(pa.array, set_keys(key, cuts)), lists(cell.view(np.int64), ends)]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "key1", "key2", "cells"])
 
     return buffers.map_texts(docs, run, "doc_id long, n_shingles long, key1 long, key2 long, cells array<long>")
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
-    """Set key, set and point of each whole text."""
+    """Set key, set, point and coarse point of each whole text."""
 
     def run(ids: pa.Array, texts: Texts) -> pa.RecordBatch:
         key, cuts = shingles(texts, size)
-        columns = [pa.array(np.diff(cuts), pa.int64()), *map(pa.array, _keys(key, cuts)), lists(key.view(np.int64), cuts), lists(*points(key, cuts))]
-        return pa.RecordBatch.from_arrays(columns, ["n_shingles", "key1", "key2", "shingles", "point"])
+        coarse = points(key, cuts, COARSE)
+        columns = [pa.array(np.diff(cuts), pa.int64()), *map(pa.array, set_keys(key, cuts)), lists(key.view(np.int64), cuts), lists(*points(key, cuts)), lists(*coarse)]
+        return pa.RecordBatch.from_arrays(columns, ["n_shingles", "key1", "key2", "shingles", "point", "coarse"])
 
-    return buffers.map_texts(docs, run, "n_shingles long, key1 long, key2 long, shingles array<long>, point array<int>")
+    return buffers.map_texts(docs, run, "n_shingles long, key1 long, key2 long, shingles array<long>, point array<int>, coarse array<int>")
 
 
 def fold(point: np.ndarray, groups: int) -> np.ndarray:
@@ -198,17 +200,17 @@ class CountTree:
         return i[there], j[there]
 
 
-def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
 
 
-def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose points allow the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = batch.column(2).to_numpy(), batch.column(4).to_numpy()
-            (left, cuts), (right, cuts2) = _numbers(batch.column(3)), _numbers(batch.column(5))
+            (left, cuts), (right, cuts2) = numbers(batch.column(3)), numbers(batch.column(5))
             shared = np.zeros(batch.num_rows, np.int64)
             for k in range(batch.num_rows):
                 x, y = left[cuts[k] : cuts[k + 1]], right[cuts2[k] : cuts2[k + 1]]
@@ -222,7 +224,7 @@ def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "n", "x", "m", "y").mapInArrow(run, "a long, b long")
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """Rows with the same first ``keys`` columns, which follow each other, across batches."""
     held, name = [], None
     for batch in batches:
@@ -244,7 +246,7 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 def _meet(percent: int, nearest: bool):
     def pairs(cell: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         first, second, part, ids, component, sizes = (cell.column(k).to_numpy() for k in range(1, 7))
-        values, cuts = _numbers(cell.column(7).combine_chunks())
+        values, cuts = numbers(cell.column(7).combine_chunks())
         groups = int(np.diff(cuts).min())
         rows = np.stack([fold(values[a:b], groups) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
         here = [np.flatnonzero(part == p) for p in dict.fromkeys((first[0], second[0]))]
@@ -264,7 +266,7 @@ def _meet(percent: int, nearest: bool):
         return ids[a], ids[b]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell in _runs(batches, 3):
+        for cell in runs(batches, 3):
             a, b = pairs(cell)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -274,18 +276,17 @@ def _meet(percent: int, nearest: bool):
 
 def _candidates(members: DataFrame, sets: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """Pairs from different components of a cell that the trees allow. ``members``: cell, id, component."""
-    rows = members.join(sets.select("id", "n_shingles", "point"), "id")
-    parts = F.greatest(F.ceil(F.count(F.lit(1)) / PART), F.ceil(F.sum(F.size("point")) / ROOM)).cast("int").alias("parts")
-    parted = rows.join(rows.groupBy("cell").agg(parts), "cell")
+    parts = members.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    parted = members.join(parts, "cell").join(sets.select("id", "n_shingles", "coarse"), "id")
     parted = parted.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     dealt = parted.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.withColumns({"i": F.least("part", "with"), "j": F.greatest("part", "with")})
     dealt = dealt.repartition(shuffle_partitions(members.sparkSession), "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    columns = [*(F.col(c).cast("long").alias(c) for c in ("cell", "i", "j", "part")), "id", "component", "n_shingles", "point"]
-    return dealt.select(*columns).mapInArrow(_meet(percent, nearest), "a long, b long").distinct()
+    columns = [*(F.col(c).cast("long").alias(c) for c in ("cell", "i", "j", "part")), "id", "component", "n_shingles", "coarse"]
+    return bounded(dealt.select(*columns).mapInArrow(_meet(percent, nearest), "a long, b long").distinct(), sets, percent)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets have ``100 * intersection >= percent * union``."""
     side = sets.select("id", "shingles")
     both = pairs.join(side.toDF("a", "x"), "a").join(side.toDF("b", "y"), "b")
@@ -293,6 +294,20 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
+def document_components(known: DataFrame, classes: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id, component_id`` from components of classes of equal sets. The texts of one doc_id are linked, too."""
+    same = ["key1", "key2", "n_shingles"]
+    placed = known.select("doc_id", *same).join(classes.select("id", *same), same).select("doc_id", "id")
+    repeated = placed.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b")
+    if not repeated.isEmpty():
+        texts = placed.join(repeated.select("doc_id", "a"), "doc_id").select("a", F.col("id").alias("b")).distinct()
+        labels = components(links.union(materialise(texts, "links")))
+    reached = classes.select("id", "least").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    lowest = reached.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_class = reached.select("id", "component").join(lowest, "component").select("id", "component_id")
+    return placed.join(of_class, "id").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+
+
 def similar_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row: the smallest doc_id that links of the given similarity reach."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -303,16 +318,20 @@ def similar_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
     classes = materialise(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
 
     dealt = classes.select(F.explode("cells").alias("cell"), "id")
-    crowded = dealt.groupBy("cell").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialise(dealt.join(crowded.select("cell", "hub"), "cell"), "members")
+    together = W.partitionBy("cell")
+    sums = {f"sum{k}": F.bit_xor(F.xxhash64("id", F.lit(k))).over(together) for k in range(2)}
+    crowded = dealt.withColumns({"hub": F.min("id").over(together), "n": F.count(F.lit(1)).over(together), **sums}).where("n > 1")
+    crowded = materialise(crowded, "crowded")
+    alike = crowded.groupBy("n", "sum0", "sum1").agg(F.min("cell").alias("cell")).select("cell")  # cells that hold the same sets
+    members = materialise(crowded.select("cell", "id", "hub").join(alike, "cell", "left_semi"), "members")
     grouped = classes.join(members.select("id").distinct(), "id", "left_semi").select("id", "least", *same)
     texts = docs.join(grouped.select(F.col("least").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")  # the ids grow with the texts
     sets = full_sets(texts, size).join(grouped.drop("least").hint("merge"), same).dropDuplicates(["id"])
-    sets = materialise(sets.select("id", "n_shingles", "point", "shingles"), "sets")
+    sets = materialise(sets.select("id", "n_shingles", "point", "coarse", "shingles"), "sets")
 
     star = members.where("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    star = materialise(_bounded(star, sets, percent), "star")
-    links = materialise(_confirmed(star, sets, percent), "links")
+    star = materialise(bounded(star, sets, percent), "star")
+    links = materialise(confirmed(star, sets, percent), "links")
     labels = components(links)
     for nearest in [True] * ROUNDS + [False]:
         labelled = members.join(labels, "id", "left").select("cell", "id", F.coalesce("component", "id").alias("component"))
@@ -320,18 +339,10 @@ def similar_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
         labelled = materialise(labelled.join(mixed, "cell"), "mixed")
         if labelled.isEmpty():
             break
-        found = materialise(_confirmed(materialise(_candidates(labelled, sets, percent, nearest), "candidates"), sets, percent), "links")
+        found = materialise(confirmed(materialise(_candidates(labelled, sets, percent, nearest), "candidates"), sets, percent), "links")
         if not found.isEmpty():
             links = links.union(found)
             labels = components(links)
 
-    placed = known.select("doc_id", *same).join(classes.select("id", *same), same).select("doc_id", "id")
-    repeated = placed.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b")
-    if not repeated.isEmpty():  # the texts of one doc_id
-        texts = placed.join(repeated.select("doc_id", "a"), "doc_id").select("a", F.col("id").alias("b")).distinct()
-        labels = components(links.union(materialise(texts, "links")))
-    reached = classes.select("id", "least").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    lowest = reached.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_class = reached.select("id", "component").join(lowest, "component").select("id", "component_id")
-    of_doc = placed.join(of_class, "id").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    of_doc = document_components(known, classes, links, labels)
     return signed.select("doc_id", "n_shingles").join(of_doc, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
