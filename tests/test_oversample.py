@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import neighbours
+from tidemark.operators.hashed_neighbours import approximate_neighbours
 from tidemark.operators.neighbours import nearest_neighbours
 from tidemark.operators.oversample import smote
 
@@ -106,3 +108,64 @@ def test_few_parents_give_many_copies(spark):
     ).collect()}
     assert sorted(c[0] for c in counts.values()) == [2332, 2332, 2333] and set(counts) == {0, 1, 2}
     assert all(c == (c[0], 1, c[0], c[0]) for c in counts.values())
+
+
+def shuffled(spark, points, block, monkeypatch):
+    """Rows whose full vectors travel to another block, and the number of cells."""
+    seen = {}
+    plain = neighbours.materialise
+
+    def counted(df, name="stage"):
+        out = plain(df, name)
+        if name in ("left", "boxes"):
+            seen[name] = out.count()
+            print(name, seen[name])
+        return out
+
+    monkeypatch.setattr(neighbours, "materialise", counted)
+    found = neighbours.nearest_neighbours(points, "g", "id", "x", 3, block).count()
+    monkeypatch.setattr(neighbours, "materialise", plain)
+    return seen["left"], seen["boxes"], found
+
+
+def test_few_vectors_travel_when_data_lie_near_a_plane(spark, monkeypatch):
+    """Points of 40 coordinates near a surface of three: what is shipped grows far slower than the number of pairs of blocks."""
+    rng = np.random.default_rng(3)
+    n = 1200
+    x = rng.random((n, 3)) @ rng.normal(size=(3, 40)) + 1e-3 * rng.normal(size=(n, 40))
+    points = spark.createDataFrame([("a", i, [float(v) for v in x[i]]) for i in range(n)], "g string, id long, x array<double>").repartition(4)
+    seen = {}
+    for block in (300, 100, 33):
+        left, cells, found = shuffled(spark, points, block, monkeypatch)
+        assert found == 3 * n
+        seen[block] = left, cells
+        assert left < n * cells / 4  # if nothing were ruled out, every row would go to every cell twice, as a query and as a candidate
+    # The rows that travel grow less than the number of cells.
+    assert seen[33][0] / seen[300][0] < seen[33][1] / seen[300][1]
+
+
+def test_hashed_search_recalls_most_neighbours_and_splits_hot_buckets(spark):
+    """Clusters, many copies of one vector, and one bucket far larger than a part."""
+    rng = np.random.default_rng(9)
+    centers = rng.normal(size=(12, 24)) * 4
+    x = np.concatenate([centers[rng.integers(0, 12, 700)] + rng.normal(size=(700, 24)), np.repeat(centers[:1], 60, axis=0)])
+    points = spark.createDataFrame([("a" if i % 2 else "b", i, [float(v) for v in x[i]]) for i in range(len(x))] + [("a", 9000, None), (None, 9001, [1.0] * 24)], "g string, id long, x array<double>")
+    exact = {(r.id, r["rank"]): r.dist for r in nearest_neighbours(points, "g", "id", "x", 5).collect()}
+    for block in (2048, 50):
+        found = {(r.id, r["rank"]): r.dist for r in approximate_neighbours(points, "g", "id", "x", 5, block=block).collect()}
+        # As near as the true neighbour of that rank: equal distances may belong to other rows.
+        hits = sum(abs(found.get(k, np.inf) - d) < 1e-9 for k, d in exact.items())
+        assert hits >= 0.9 * len(exact)
+        assert all(d >= exact[k] - 1e-9 for k, d in found.items())
+    everything = approximate_neighbours(points, "g", "id", "x", 5, tables=1, width=1, length=1e9, block=64).collect()
+    assert {(r.id, r["rank"]): round(r.dist, 9) for r in everything} == {k: round(d, 9) for k, d in exact.items()}
+    assert approximate_neighbours(points.limit(0), "g", "id", "x", 5).count() == 0
+
+
+def test_smote_with_the_hashed_search(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, int(i % 5 == 0), [float(v) for v in rng.normal(size=3)]) for i in range(200)]
+    points = spark.createDataFrame(rows, "id long, y int, x array<double>")
+    assert smote(points, "id", "y", "x", search="hashed").groupBy("y").count().collect()[0]["count"] == 120
+    with pytest.raises(ValueError):
+        smote(points, "id", "y", "x", search="other")

@@ -1,4 +1,11 @@
-"""Exact nearest neighbours inside each group, as blocked Spark joins."""
+"""Exact nearest neighbours inside each group: a tree of cells over principal axes, and full vectors only where needed.
+
+Vectors are written in a few coordinates on the leading principal axes and the length of what is left. The
+distance of two such short points never exceeds that of the vectors. Short points are split into cells by percentiles along the
+widest coordinate, level by level, as often as there are rows for. A search of the own block of rows gives each query a first k-th
+distance; then only short points travel to the cells whose box is near enough. First they tighten that distance, since short points
+also bound the distance of vectors from above; then full vectors follow, only for the rows that the short distance could not rule out.
+"""
 
 from __future__ import annotations
 
@@ -8,15 +15,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.hashing import hash_int, hash_unit
-from tidemark.operators.joins import hot_key_join
+from tidemark.functions.hashing import hash_int
+from tidemark.operators.joins import broadcast_levels, hot_key_join
 from tidemark.session import materialise
 
 MAX_GROUPS = 1000
-MAX_PIVOTS = 2048
+AXES = 8
+FAN = 16
+MAX_LEVELS = 14
 CHUNK = 256
 # The functions below travel to the executors by value: this package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -65,29 +76,116 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return found.drop("rank").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _distances(vecs: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    sq = (vecs * vecs).sum(1)[:, None] - 2.0 * (vecs @ pivots.T) + (pivots * pivots).sum(1)[None, :]
-    return np.sqrt(np.maximum(sq, 0.0))
+def _axes(points: DataFrame, size: int) -> np.ndarray:
+    """Leading principal axes, as orthonormal columns, from one distributed pass. Shorter vectors are filled up with zeros."""
+    padded = F.concat("vec", F.array_repeat(F.lit(0.0), F.lit(size) - F.size("vec")))
+    rows = points.select(array_to_vector(padded).alias("x"))
+    axes = PCA(k=min(AXES, size), inputCol="x", outputCol="low").fit(rows).pc.toArray()
+    return np.linalg.qr(np.nan_to_num(axes))[0]
+
+
+def _short(points: DataFrame, axes: np.ndarray) -> DataFrame:
+    """Rows (g, id, ask, low): coordinates on the axes, then the length of the rest."""
+    size, n = axes.shape
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for start in range(0, len(pdf), CHUNK):
+                some = pdf.iloc[start : start + CHUNK]
+                x = np.zeros((len(some), size))
+                for i, v in enumerate(some["vec"]):
+                    x[i, : len(v)] = v
+                low = x @ axes
+                rest = np.sqrt(((x - low @ axes.T) ** 2).sum(1))
+                yield some[["g", "id", "ask"]].assign(low=list(np.column_stack([low, rest])))
+
+    return points.select("g", "id", "vec", "ask").mapInPandas(run, "g string, id bigint, ask boolean, low array<double>")
 
 
-def _pivots(points: DataFrame, groups: list[str], total: int, block: int, seed: int) -> dict[str, np.ndarray]:
-    """Reference points per group, about one per block of rows and MAX_PIVOTS in all, chosen by md5.
+def _cells(short: DataFrame, block: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """Short points with their ``cell``, and each cell's box and number of rows.
 
-    Any points will do, also equal ones; a group without one gets the origin.
+    A cell of more than ``block`` rows is cut at percentiles of its widest coordinate into up to ``FAN`` cells. What
+    cannot be cut, since its short points are equal, stays as it is.
     """
-    share = min(MAX_PIVOTS, -(-total // block)) / total
-    rows = points.where(hash_unit(F.col("id"), seed, "pivot") < share).select("g", "vec").collect()
-    found = {g: [r.vec for r in rows if r.g == g] for g in groups}
-    size = len(rows[0].vec) if rows else len(points.select("vec").first().vec)
-    return {g: np.array(v or [[0.0] * size], dtype=float) for g, v in found.items()}
+    cells = short.withColumn("cell", F.lit(0).cast("bigint"))
+    box = [F.array(*[f(F.get("low", F.lit(i))) for i in range(width)]).alias(name) for f, name in ((F.min, "lo"), (F.max, "hi"))]
+    for level in range(MAX_LEVELS + 1):
+        shape = materialise(cells.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("n"), *box), "boxes")
+        spread = shape.where(F.col("n") > block).withColumn("spread", F.zip_with("hi", "lo", lambda h, l: h - l))
+        axis = F.array_position("spread", F.array_max("spread")).cast("int") - 1
+        wide = spread.where(F.array_max("spread") > 0).select("g", "cell", axis.alias("axis"), F.least(F.lit(FAN), F.ceil(F.col("n") / block)).cast("int").alias("fan"), "lo", "hi")
+        if level == MAX_LEVELS or wide.isEmpty():
+            return cells, shape
+        wide = materialise(wide, "wide")
+        place = F.get("low", F.col("axis"))
+        along = cells.join(broadcast_levels(wide.select("g", "cell", "axis"), wide, 100_000), ["g", "cell"])
+        marks = along.groupBy("g", "cell").agg(F.percentile_approx(place, [i / FAN for i in range(1, FAN)], 1000).alias("marks"))
+        least, most = F.get("lo", F.col("axis")), F.get("hi", F.col("axis"))
+        # A cut below the greatest value leaves rows on both sides.
+        chosen = F.transform(F.sequence(F.lit(1), F.col("fan") - 1), lambda j: F.get("marks", F.ceil(j * FAN / F.col("fan")).cast("int") - 1))
+        rules = wide.join(marks, ["g", "cell"]).withColumn("cuts", F.array_distinct(F.filter(chosen, lambda c: c < most)))
+        rules = rules.select("g", "cell", "axis", F.when(F.size("cuts") > 0, F.col("cuts")).otherwise(F.array((least + most) / 2)).alias("cuts"))
+        rules = broadcast_levels(materialise(rules, "cuts"), wide, 100_000)
+        slab = F.coalesce(F.size(F.filter("cuts", lambda c: c < place)), F.lit(0))
+        cut = cells.join(rules, ["g", "cell"], "left").withColumn("slab", F.when(F.col("axis").isNotNull(), slab).otherwise(0))
+        cells = materialise(cut.select("g", "id", "ask", "low", (F.col("cell") * FAN + F.col("slab")).alias("cell")), "cells")
+    raise AssertionError("unreachable")
+
+
+def _apart(lo: np.ndarray, hi: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> np.ndarray:
+    """Distances of a box, or of points, from boxes."""
+    gap = np.maximum(np.maximum(lows - hi, lo - highs), 0.0)
+    return np.sqrt((gap * gap).sum(-1))
 
 
 def _keyed(part: pd.DataFrame, **keys) -> pd.DataFrame:
-    """Points with the two blocks they are to meet in."""
-    plain = part[["g", "id", "vec"]].reset_index(drop=True)
+    """Short points with the two blocks they are to meet in."""
+    plain = part[["g", "id", "low", "reach"]].reset_index(drop=True)
     return plain.assign(**{k: np.asarray(v) if isinstance(v, pd.Series) else v for k, v in keys.items()})
 
 
+def _upper(queries: pd.DataFrame, candidates: pd.DataFrame, k: int, slack: float) -> pd.DataFrame:
+    """Up to k upper bounds of a query's distances from candidates of another block, where they lie below its reach."""
+    if not len(queries) or not len(candidates):
+        return queries.iloc[:0][["g", "id"]].assign(dist=pd.Series(dtype=float))
+    c = np.stack(candidates["low"]).astype(float)
+    parts = []
+    for start in range(0, len(queries), CHUNK):
+        some = queries.iloc[start : start + CHUNK]
+        q = np.stack(some["low"]).astype(float)
+        squared = (q[:, None, -1] + c[None, :, -1]) ** 2
+        for i in range(c.shape[1] - 1):
+            squared += (q[:, i, None] - c[None, :, i]) ** 2
+        bound = np.sqrt(squared) + slack
+        bound[some["id"].to_numpy()[:, None] == candidates["id"].to_numpy()[None, :]] = np.inf
+        best = np.partition(bound, min(k, len(c)) - 1, axis=1)[:, :k]
+        row, col = np.nonzero(best < some["reach"].to_numpy()[:, None])
+        parts.append(some[["g", "id"]].iloc[row].assign(dist=best[row, col]))
+    return pd.concat(parts, ignore_index=True)
+
+
+def _sift(queries: pd.DataFrame, candidates: pd.DataFrame, slack: float) -> pd.DataFrame:
+    """Of two blocks, the rows that some short distance within a query's reach leaves over."""
+    columns = ["g", "id", "qc", "qb", "cc", "cb"]
+    if not len(queries) or not len(candidates):
+        return queries.iloc[:0][columns].assign(asks=pd.Series(dtype=bool))
+    c = np.stack(candidates["low"]).astype(float)
+    wanted, asks = np.zeros(len(c), bool), []
+    for start in range(0, len(queries), CHUNK):
+        some = queries.iloc[start : start + CHUNK]
+        q = np.stack(some["low"]).astype(float)
+        squared = np.zeros((len(q), len(c)))
+        for i in range(c.shape[1]):
+            squared += (q[:, i, None] - c[None, :, i]) ** 2
+        near = np.sqrt(squared) <= some["reach"].to_numpy()[:, None] + slack
+        near &= some["id"].to_numpy()[:, None] != candidates["id"].to_numpy()[None, :]
+        wanted |= near.any(0)
+        asks.append(near.any(1))
+    found = [queries[np.concatenate(asks)][columns].assign(asks=True), candidates[wanted][columns].assign(asks=False)]
+    return pd.concat(found, ignore_index=True)
+
+
 def _distinct_enough(points: DataFrame, k: int) -> DataFrame:
     """At most k + 1 rows, those with the smallest ids, of each set of equal vectors, numbered ``_r``.
 
@@ -101,11 +199,10 @@ def _distinct_enough(points: DataFrame, k: int) -> DataFrame:
 def _blocked(points: DataFrame, sizes: dict[str, int], k: int, block: int, seed: int) -> DataFrame:
     """Neighbours of the rows of ``points`` (g, id, vec, ask) that ask, no value repeated more than k + 1 times.
 
-    Groups that all fit a block are searched directly. Else, points go to the cell of their nearest
-    pivot, and cells are cut into blocks of about ``block`` rows. Searching the own block gives a
-    first k-th distance; by the triangle inequality only cells within that distance of a point can
-    improve on it. A task compares one block of queries with one block of candidates. The driver
-    holds three numbers per cell.
+    Groups that all fit a block are searched directly. Else cells are cut into blocks of about ``block`` rows. Searching the own block gives a
+    first k-th distance; only cells whose box lies within that distance of a point can improve on it. A task compares one block of
+    short queries with one block of short candidates, and another one the full vectors of the rows that are left over. The driver
+    holds a box and three numbers per cell.
     """
 
     def own(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -113,74 +210,77 @@ def _blocked(points: DataFrame, sizes: dict[str, int], k: int, block: int, seed:
 
     if max(sizes.values()) <= block:
         return points.groupBy("g").applyInPandas(own, RESULT)
-    pivots = _pivots(points, list(sizes), sum(sizes.values()), block, seed)
-
-    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for g, part in pdf.groupby("g"):
-                for start in range(0, len(part), CHUNK):
-                    some = part.iloc[start : start + CHUNK]
-                    d = _distances(np.stack(some["vec"]).astype(float), pivots[g])
-                    yield some.assign(cell=d.argmin(1), radius=d.min(1))
-
-    cells = materialise(points.mapInPandas(assign, f"{POINT}, cell int, radius double"), "cells")
-    shape = cells.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("radius").alias("r"))
-    blocks = {g: np.zeros(len(v), dtype=int) for g, v in pivots.items()}
-    radius = {g: np.zeros(len(v)) for g, v in pivots.items()}
-    for row in shape.collect():
-        blocks[row.g][row.cell] = -(-row.n // block)
-        radius[row.g][row.cell] = row.r
-    # At most one row per pivot, and one for each group without any.
-    counts = F.broadcast(shape.select("g", "cell", F.ceil(F.col("n") / block).alias("_m")))
+    size = points.agg(F.max(F.size("vec"))).first()[0]
+    axes = _axes(points, size)
+    cells, shape = _cells(materialise(_short(points, axes), "short"), block, axes.shape[1] + 1)
+
+    known: dict[str, tuple] = {}
+    rows = shape.withColumn("m", F.ceil(F.col("n") / block).cast("int")).orderBy("g", "cell").collect()
+    for g in sizes:
+        mine = [r for r in rows if r.g == g]
+        known[g] = (np.array([r.cell for r in mine], np.int64), np.array([r.lo for r in mine]), np.array([r.hi for r in mine]), np.array([r.m for r in mine]))
+    slack = {g: 1e-9 * (1.0 + (np.abs(lo).max() + np.abs(hi).max()) * size) for g, (_, lo, hi, _) in known.items()}
+
+    counts = broadcast_levels(shape.select("g", "cell", F.ceil(F.col("n") / block).alias("_m")), shape, 100_000)
     cut = F.pmod(hash_int(F.col("id"), seed, "block"), F.col("_m")).cast("int")
-    cells = cells.join(counts, ["g", "cell"]).withColumn("block", cut).drop("_m", "radius")
-
-    first = materialise(cells.groupBy("g", "cell", "block").applyInPandas(own, RESULT), "own")
+    cells = materialise(cells.join(counts, ["g", "cell"]).withColumn("block", cut).drop("_m"), "blocks")
+    full = materialise(points.select("g", "id", "vec", "ask").join(cells.select("g", "id", "cell", "block"), ["g", "id"]), "full")
+    first = materialise(full.groupBy("g", "cell", "block").applyInPandas(own, RESULT), "own")
     reach = first.groupBy("g", "id").agg(F.when(F.count(F.lit(1)) >= k, F.max("dist")).alias("reach"))
-    asking = cells.where("ask").join(reach, ["g", "id"], "left").fillna(float("inf"), ["reach"])
-    # The farthest any query of a cell has to look, from the pivot of the cell; below 0 without queries.
-    widest = {g: np.full(len(v), -np.inf) for g, v in pivots.items()}
-    for row in asking.groupBy("g", "cell").agg(F.max("reach").alias("w")).collect():
-        widest[row.g][row.cell] = row.w + radius[row.g][row.cell]
-    slack = {g: 1e-6 * (1.0 + np.abs(v).max() * v.shape[1] + radius[g].max()) for g, v in pivots.items()}
-
-    def sought_from(g: str, cell: int) -> np.ndarray:
-        """Cells that may hold neighbours for some query of this cell."""
-        between = _distances(pivots[g][cell : cell + 1], pivots[g])[0]
-        return np.flatnonzero((blocks[g] > 0) & (between - radius[g] <= widest[g][cell] + slack[g]))
-
-    def seekers_of(g: str, cell: int) -> np.ndarray:
-        """Cells with a query that may have neighbours in this cell."""
-        between = _distances(pivots[g][cell : cell + 1], pivots[g])[0]
-        return np.flatnonzero((blocks[g] > 0) & (between - radius[g][cell] <= widest[g] + slack[g]))
-
-    def as_queries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for (g, i), part in pdf.groupby(["g", "cell"]):
-                near = sought_from(g, i)
-                d = _distances(np.stack(part["vec"]).astype(float), pivots[g][near])
-                for n, j in enumerate(near):
-                    hit = part[d[:, n] - radius[g][j] <= part["reach"].to_numpy() + slack[g]]
-                    for b in range(blocks[g][j]):
-                        other = hit if j != i else hit[hit["block"] != b]
-                        if len(other):
-                            yield _keyed(other, qc=i, qb=other["block"], cc=j, cb=b)
-
-    def as_candidates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for (g, j), part in pdf.groupby(["g", "cell"]):
-                for i in seekers_of(g, j):
-                    for b in range(blocks[g][i]):
-                        yield _keyed(part, qc=i, qb=b, cc=j, cb=part["block"])
-
-    def compare(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        return _nearest(queries, candidates, k)
-
-    schema = "g string, id bigint, vec array<double>, qc int, qb int, cc int, cb int"
+    asking = materialise(cells.where("ask").join(reach, ["g", "id"], "left").fillna(float("inf"), ["reach"]), "asking")
+    schema = "g string, id bigint, low array<double>, reach double, qc int, qb int, cc int, cb int"
     keys = ["g", "qc", "qb", "cc", "cb"]
-    asked = asking.select("g", "id", "vec", "cell", "block", "reach").mapInPandas(as_queries, schema).groupBy(*keys)
-    given = cells.select("g", "id", "vec", "cell", "block").mapInPandas(as_candidates, schema).groupBy(*keys)
-    return _top(first.unionByName(asked.cogroup(given).applyInPandas(compare, RESULT)), k)
+
+    def meeting(asking: DataFrame):
+        """Short queries and candidates by the pairs of blocks that they have to meet in."""
+        # The farthest that any query of a cell has to look; below 0 without queries.
+        widest = {g: np.full(len(ids), -np.inf) for g, (ids, *_) in known.items()}
+        for row in asking.groupBy("g", "cell").agg(F.max("reach").alias("w")).collect():
+            widest[row.g][np.searchsorted(known[row.g][0], row.cell)] = row.w
+
+        def as_queries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in frames:
+                for (g, cell), part in pdf.groupby(["g", "cell"]):
+                    ids, lo, hi, blocks = known[g]
+                    i = int(np.searchsorted(ids, cell))
+                    near = np.flatnonzero(_apart(lo[i], hi[i], lo, hi) <= widest[g][i] + slack[g])
+                    low = np.stack(part["low"]).astype(float)
+                    for j in near.tolist():
+                        hit = part[_apart(low, low, lo[j], hi[j]) <= part["reach"].to_numpy() + slack[g]]
+                        for b in range(blocks[j]):
+                            other = hit if j != i else hit[hit["block"] != b]
+                            if len(other):
+                                yield _keyed(other, qc=i, qb=other["block"], cc=j, cb=b)
+
+        def as_candidates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in frames:
+                for (g, cell), part in pdf.groupby(["g", "cell"]):
+                    ids, lo, hi, blocks = known[g]
+                    j = int(np.searchsorted(ids, cell))
+                    for i in np.flatnonzero(_apart(lo[j], hi[j], lo, hi) <= widest[g] + slack[g]).tolist():
+                        for b in range(blocks[i]):
+                            yield _keyed(part, qc=i, qb=b, cc=j, cb=part["block"])
+
+        asked = asking.select("g", "id", "low", "reach", "cell", "block").mapInPandas(as_queries, schema).groupBy(*keys)
+        given = cells.select("g", "id", "low", F.lit(0.0).alias("reach"), "cell", "block").mapInPandas(as_candidates, schema).groupBy(*keys)
+        return asked.cogroup(given)
+
+    def upper(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
+        return _upper(queries, candidates, k, slack[queries["g"].iloc[0]] if len(queries) else 0.0)
+
+    def sift(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
+        return _sift(queries, candidates, slack[queries["g"].iloc[0]] if len(queries) else 0.0)
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        return _nearest(rows[rows["asks"]], rows[~rows["asks"]], k)
+
+    bounds = meeting(asking).applyInPandas(upper, "g string, id bigint, dist double").unionByName(first.select("g", "id", "dist"))
+    order = Window.partitionBy("g", "id").orderBy("dist")
+    nearer = bounds.withColumn("r", F.row_number().over(order)).where(F.col("r") == k).select("g", "id", F.col("dist").alias("reach"))
+    asking = materialise(asking.drop("reach").join(nearer, ["g", "id"], "left").fillna(float("inf"), ["reach"]), "asking")
+    left = materialise(meeting(asking).applyInPandas(sift, "g string, id bigint, qc int, qb int, cc int, cb int, asks boolean"), "left")
+    vectors = left.join(full.select("g", "id", "vec"), ["g", "id"])
+    return _top(first.unionByName(vectors.groupBy(*keys).applyInPandas(compare, RESULT)), k)
 
 
 def _many_groups(points: DataFrame, k: int, block: int, seed: int) -> DataFrame:

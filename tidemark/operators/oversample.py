@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import hash_int, hash_unit
+from tidemark.operators.hashed_neighbours import approximate_neighbours
 from tidemark.operators.joins import broadcast_levels, hot_key_join
 from tidemark.operators.neighbours import nearest_neighbours
 from tidemark.operators.scan import at_or_below_cut, hash_cuts
@@ -15,7 +16,7 @@ COPIES_PER_RUN = 1000
 
 
 def smote(
-    df: DataFrame, key: str, label: str, vector: str, k: int = 5, seed: int = 42, block: int = 4096
+    df: DataFrame, key: str, label: str, vector: str, k: int = 5, seed: int = 42, block: int = 4096, search: str = "exact"
 ) -> DataFrame:
     """New rows that bring every class up to the size of the largest one.
 
@@ -23,8 +24,10 @@ def smote(
     the parent to one of its k nearest neighbours of the same class: x + u * (neighbour - x). Every
     parent gets the same number of copies, and the remainder goes to the rows with the smallest md5.
     The neighbour and u come from md5 of (key, copy, seed). Rows without a neighbour get no copies.
-    Keys are integers and unique.
+    Keys are integers and unique. ``search`` is exact, or hashed: then neighbours are those of ``approximate_neighbours``.
     """
+    if search not in ("exact", "hashed"):
+        raise ValueError(f"unknown search {search}")
     rows = df.where(F.col(vector).isNotNull() & F.col(label).isNotNull()).select(
         F.col(label).alias("_label"), F.col(key).alias("_id"), F.col(vector).cast("array<double>").alias("_x")
     )
@@ -49,7 +52,10 @@ def smote(
     ).withColumn("_ask", F.col("_copies") > 0)
     # Finding the cuts takes several passes over the rows; what follows reads their result.
     minority = materialise(minority, "minority")
-    near = nearest_neighbours(minority, "g", "id", "_x", k, block, seed, asking="_ask")
+    if search == "exact":
+        near = nearest_neighbours(minority, "g", "id", "_x", k, block, seed, asking="_ask")
+    else:
+        near = approximate_neighbours(minority, "g", "id", "_x", k, block=block, seed=seed, asking="_ask")
     lists = near.groupBy("g", "id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "nb_id"))), lambda s: s["nb_id"]).alias("_near")
     )

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.design import latin_hypercube
+from tidemark.operators.hashed_neighbours import approximate_neighbours
+from tidemark.operators.neighbours import nearest_neighbours
 from tidemark.operators.oversample import smote
 from tidemark.operators.prep import correlations, dummies, levels, stratified_split, uncorrelated, zscore
 from tidemark.plans.evaluation import LABELLED_SQL
@@ -144,3 +146,33 @@ def smote_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.col("embedding")[0], 6).alias("first"),
         F.round(total, 5).alias("total"),
     )
+
+
+@query("""
+SELECT label, count(*) AS asking, min(least(5, n - 1)) AS wanted FROM (
+  SELECT label, count(*) OVER (PARTITION BY label) AS n FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL)
+WHERE n > 1 GROUP BY label""")
+def hashed_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows of each label ask for neighbours, and how many the hashed search gives each row at least, up to 5.
+
+    Buckets as long as the whole spread of the data make it exact, which is what the SQL states.
+    """
+    rows = table(spark, sf_dir, "embeddings").where("label is not null and embedding is not null")
+    found = approximate_neighbours(rows, "label", "vec_id", "embedding", 5, tables=2, width=1, length=1e9)
+    given = found.groupBy("g", "id").agg(F.count(F.lit(1)).alias("n"))
+    return given.groupBy(F.col("g").cast("int").alias("label")).agg(F.count(F.lit(1)).alias("asking"), F.min("n").alias("wanted"))
+
+
+@query("""
+WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL),
+near AS (
+  SELECT a.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.x, b.x), b.vec_id) AS rk
+  FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id)
+SELECT true AS recalled, count(*) AS neighbours FROM near WHERE rk <= 5""")
+def hashed_neighbour_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the hashed search with its defaults finds at least nine tenths of the exact neighbours, and how many those are."""
+    rows = table(spark, sf_dir, "embeddings").where("label is not null and embedding is not null")
+    exact = nearest_neighbours(rows, "label", "vec_id", "embedding", 5).select("g", "id", "nb_id")
+    found = approximate_neighbours(rows, "label", "vec_id", "embedding", 5).select("g", "id", "nb_id", F.lit(1).alias("hit"))
+    both = exact.join(found, ["g", "id", "nb_id"], "left")
+    return both.agg((F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("recalled"), F.count(F.lit(1)).alias("neighbours"))
