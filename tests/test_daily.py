@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import daily
 from tidemark.operators.daily import (
     daily_max,
     daily_outcome,
@@ -14,6 +15,7 @@ from tidemark.operators.daily import (
     lead_forecast,
     modelling_table,
     study_period,
+    unfolded_panel,
     with_calendar,
 )
 
@@ -114,3 +116,31 @@ def test_lead_forecast_and_modelling_table(spark):
     hazards = spark.createDataFrame([("a", D + dt.timedelta(4), 0.5)], "site string, day date, cos4 double")
     rows = modelling_table(lead_forecast(days, forecasts, "t_air", 3), hazards).orderBy("day").collect()
     assert [(r.y, r.t_air, r.cos4, r.mday, r.month, r.wday) for r in rows] == [(1, 22.0, None, 1, 3, 7), (0, None, 0.5, 2, 3, 1)]
+
+
+def test_one_scan_equals_separate_sources(spark, tmp_path, monkeypatch):
+    rnd = random.Random(5)
+    rows = [(rnd.choice(["a", "b", "c", None]), rnd.choice([None, *(stamp(D + dt.timedelta(rnd.randrange(9)), rnd.randrange(24)) for _ in range(5))]), rnd.choice(["hit", "seen", None]), rnd.choice([None, rnd.random()])) for _ in range(60)]
+    rows += [("undated", None, "hit", 1.0), ("late", stamp(D + dt.timedelta(9)), "seen", 7.0)]
+    path = str(tmp_path / "events")
+    spark.createDataFrame(rows, "s string, ts timestamp_ntz, kind string, v double").write.parquet(path)
+    df = spark.read.parquet(path)
+    hit, seen = F.col("kind") == "hit", F.when(F.col("kind") == "seen", F.col("v"))
+
+    written = []
+    plain = daily.materialise
+    monkeypatch.setattr(daily, "materialise", lambda d, name: written.append(d) or plain(d, name))
+    got = unfolded_panel(df, "s", "ts", hit, {"h": seen}, {"t": F.col("v")}, 3)
+    found = got.collect()
+    assert len(written) == 1 and not set(got.inputFiles()) & set(df.inputFiles())  # the table is read by one job
+
+    marks = df.where(hit).select(F.col("s").alias("site"), "ts")
+    day = F.to_date("ts")
+    waves = df.select(F.col("s").alias("site"), day.alias("day"), seen.alias("h"))
+    due = df.select(F.col("s").alias("site"), F.date_add(day, 3).alias("day"), F.col("v").alias("t"))
+    want = daily_panel(df.select(F.col("s").alias("site")), marks, "ts", *day_limits(df, "ts"), [waves, due])
+    assert got.columns == want.columns
+    assert sorted(map(str, found)) == sorted(map(str, want.collect())) and len(found) == 50
+    assert unfolded_panel(df.limit(0), "s", "ts", hit, {"h": seen}).count() == 0
+    outcome = unfolded_panel(df, "s", "ts", hit)
+    assert sorted(map(str, outcome.collect())) == sorted(map(str, want.select("site", "day", "y").collect()))

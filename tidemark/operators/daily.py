@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.risk import calendar
-from tidemark.session import shuffle_partitions
+from tidemark.session import materialise, shuffle_partitions
 
 KEYS = ("site", "day")
 
@@ -114,6 +114,45 @@ def daily_outcome(sites: DataFrame, events: DataFrame, ts: str, start, end) -> D
     return daily_panel(sites, events, ts, start, end)
 
 
+def unfolded_panel(
+    df: DataFrame,
+    site: str,
+    ts: str,
+    event: Column,
+    values: Mapping[str, Column] = {},
+    ahead: Mapping[str, Column] = {},
+    lead: int = 3,
+) -> DataFrame:
+    """``daily_panel`` where one table holds sites, events, observations and forecasts, which is then read once.
+
+    Each row unfolds into what it contributes: to its own day whether it is an ``event`` and the observed ``values``, and to the day
+    ``lead`` days later what it predicts, ``ahead``. One aggregate of these by site and day is written; it also
+    holds the first and last day, so no other pass over the table is needed. Every site of the table is listed, also one without any
+    day; rows without a site are left out. A condition that is null is no event, and daily maxima ignore nulls.
+    """
+    day = F.to_date(ts)
+    names = [*values, *ahead]
+    none = {n: F.lit(None).cast(df.select(c.alias(n)).schema[n].dataType) for n, c in {**values, **ahead}.items()}
+
+    def contribution(at: Column, y: Column, own: int, given: Mapping[str, Column]) -> Column:
+        return F.struct(at.alias("day"), y.alias("y"), F.lit(own).alias("_own"), *[given.get(n, none[n]).alias(n) for n in names])
+
+    known = day.isNotNull()
+    parts = [contribution(day, F.when(known & event, 1).otherwise(0), 1, {n: F.when(known, c) for n, c in values.items()})]
+    if ahead:
+        parts.append(contribution(F.date_add(day, lead), F.lit(0), 0, ahead))
+    rows = df.where(F.col(site).isNotNull()).select(F.col(site).alias("site"), F.inline(F.array(*parts)))
+    daily = materialise(rows.groupBy("site", "day").agg(*[F.max(c).alias(c) for c in ("y", "_own", *names)]), "daily")
+    limits = daily.where("_own = 1").agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
+    lo, hi = limits.select("lo").scalar(), limits.select("hi").scalar()
+    dated = daily.where((F.col("day") >= lo) & (F.col("day") <= hi))
+    undated = daily.where("day is null")
+    if not undated.isEmpty():  # sites that have no day of their own start on the first one
+        bare = undated.select("site").join(dated.select("site").distinct(), "site", "left_anti")
+        dated = dated.unionByName(bare.select("site", lo.alias("day"), F.lit(0).alias("y")), allowMissingColumns=True)
+    return _filled(dated.drop("_own"), lo, hi, ["y"])
+
+
 def modelling_table(outcome: DataFrame, *features: DataFrame) -> DataFrame:
     """Outcome rows with the daily features of the same site and day; days without them keep nulls.
 

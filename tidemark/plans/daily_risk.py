@@ -16,6 +16,7 @@ from tidemark.operators.daily import (
     lead_forecast,
     modelling_table,
     study_period,
+    unfolded_panel,
     with_calendar,
 )
 from tidemark.operators.evaluate import confusion_cells, confusion_counts, count_metrics
@@ -110,9 +111,16 @@ def _event_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily_outcome(*_event_sources(spark, sf_dir))
 
 
+def _event_panel(spark: SparkSession, sf_dir: str, values: bool = False, ahead: bool = False) -> DataFrame:
+    """Outcome, hazards of non-incident events and the forecast of three days before, from one scan of the events."""
+    purchase = F.col("event_type") == "purchase"
+    hazards = {n: F.when(F.col("event_type") != "purchase", v) for n, v in _hazard_values().items()} if values else {}
+    return unfolded_panel(table(spark, sf_dir, "events"), "user_id", "ts", purchase, hazards, {"t_air": F.col("value")} if ahead else {}, 3)
+
+
 @query("WITH" + EVENT_SPINE_SQL + ' SELECT site, "day", y FROM outcome')
 def daily_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _event_outcome(spark, sf_dir)
+    return _event_panel(spark, sf_dir)
 
 
 def _forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,8 +136,7 @@ FROM outcome o LEFT JOIN (
   SELECT user_id, CAST(CAST(ts AS DATE) + INTERVAL 3 DAY AS DATE) AS due, max("value") AS t_air FROM events GROUP BY 1, 2
 ) f ON f.user_id = o.site AND f.due = o."day" """)
 def lead_time_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = _event_outcome(spark, sf_dir).select("site", "day")
-    return lead_forecast(days, _forecasts(spark, sf_dir), "t_air", 3)
+    return _event_panel(spark, sf_dir, ahead=True).drop("y")
 
 
 def _hazard_values() -> dict[str, Column]:
@@ -138,12 +145,7 @@ def _hazard_values() -> dict[str, Column]:
 
 def event_model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcome, hazards of non-incident events, the forecast and the calendar, per user and day."""
-    events = table(spark, sf_dir, "events").where("event_type <> 'purchase'")
-    hazards = events.select(
-        F.col("user_id").alias("site"), F.to_date("ts").alias("day"), *[v.alias(n) for n, v in _hazard_values().items()]
-    )
-    due = _forecasts(spark, sf_dir).select("site", F.date_add("issue_day", 3).alias("day"), "t_air")
-    return with_calendar(daily_panel(*_event_sources(spark, sf_dir), [hazards, due]))
+    return with_calendar(_event_panel(spark, sf_dir, values=True, ahead=True))
 
 
 EVENT_TABLE_SQL = 'WITH' + EVENT_SPINE_SQL + """,
@@ -176,10 +178,21 @@ def modelling_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(EVENT_TABLE_SQL)
 def modelling_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same table from one aggregate of all sources."""
+    """The same table from one scan, each event unfolded into its contributions."""
     return _rounded(event_model_table(spark, sf_dir))
 
 
+@query(EVENT_TABLE_SQL)
+def modelling_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table from one aggregate of several sources, as where sites, incidents and observations come apart."""
+    events = table(spark, sf_dir, "events").where("event_type <> 'purchase'")
+    hazards = events.select(
+        F.col("user_id").alias("site"), F.to_date("ts").alias("day"), *[v.alias(n) for n, v in _hazard_values().items()]
+    )
+    due = _forecasts(spark, sf_dir).select("site", F.date_add("issue_day", 3).alias("day"), "t_air")
+    return _rounded(with_calendar(daily_panel(*_event_sources(spark, sf_dir), [hazards, due])))
+
+
 def _scored_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     limits = day_limits(table(spark, sf_dir, "lineitem"), "l_shipdate")
     days = with_calendar(fill_days(_site_days(spark, sf_dir), *limits, zero=["y"]))
