@@ -109,3 +109,34 @@ def test_over_sampling_any_number_of_classes(spark, monkeypatch):
     near = find()
     monkeypatch.setattr(neighbours, "MAX_GROUPS", 5000)
     assert near == find()
+
+
+def test_correlations_of_many_columns_with_holes(spark):
+    """Two hundred columns in blocks, each with its own missing rows, a constant one and an empty one."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(90, 200)) @ (np.eye(200) + 0.2 * rng.normal(size=(200, 200))) + 1e6
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 3], x[:, 4] = 0.1, np.nan
+    names = [f"c{k}" for k in range(200)]
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in x]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).repartition(3)
+    got = {(r.a, r.b): r.r for r in correlations(df, names, block=64).collect()}
+    assert len(got) == 200 * 199 // 2
+    for i in range(0, 200, 7):
+        for j in range(i + 1, 200, 11):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            if 3 in (i, j) or 4 in (i, j):
+                assert got[names[i], names[j]] is None
+            else:
+                assert got[names[i], names[j]] == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1], abs=1e-7)
+    plan = correlations(df, names)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan  # no row is unfolded into pairs
+
+
+def test_correlations_equal_in_any_blocks(spark):
+    rnd = random.Random(2)
+    df = spark.createDataFrame([tuple(rnd.random() for _ in range(5)) for _ in range(50)], "a double, b double, c double, d double, e double")
+    one, many = ({(r.a, r.b): round(r.r, 9) for r in correlations(df, list("abcde"), block=k).collect()} for k in (256, 2))
+    assert one == many and len(one) == 10

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import hash_int
@@ -63,22 +66,55 @@ def dummies(df: DataFrame, column: str, of: Sequence[str]) -> DataFrame:
     return df.withColumns(added).drop(column)
 
 
-def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair of columns, in one pass: rows (a, b, r).
+def _moments(df: DataFrame, left: Sequence[str], right: Sequence[str], shift: Mapping[str, float], first: int, second: int) -> DataFrame:
+    """For every pair of a left and a right column, over the rows that have both: rows (i, j, n, x, y, xx, yy, xy).
 
-    Over the rows that have both values; null or 0 for a constant column, where ``corr`` would fail in
-    ANSI mode. Each row is unfolded into its pairs, which meet again in partial aggregates: one small
-    aggregate per pair stays compiled for any number of columns, one wide aggregate does not.
+    A task adds up matrix products of its batches and gives each pair once. Values are taken from their column's ``shift``.
     """
-    names = list(combinations(columns, 2))
-    pairs = [
-        F.struct(F.lit(i).alias("i"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-        for i, (a, b) in enumerate(names, start=1)
-    ]
-    r = F.signum(F.covar_pop("x", "y")) * F.sqrt(F.regr_r2("x", "y"))
-    found = df.select(F.inline(F.array(*pairs))).groupBy("i").agg(r.alias("r"))
-    first, second = (F.array(*[F.lit(n[side]) for n in names]) for side in (0, 1))
-    return found.select(F.element_at(first, F.col("i")).alias("a"), F.element_at(second, F.col("i")).alias("b"), "r")
+    names = list(dict.fromkeys([*left, *right]))
+    where = [[names.index(c) for c in side] for side in (left, right)]
+    center = np.array([shift[c] for c in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, len(left), len(right)))
+        for batch in batches:
+            values = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]) - center
+            known = ~np.isnan(values)
+            values = np.where(known, values, 0.0)
+            (a, b), (m, n) = ([x[:, side] for side in where] for x in (values, known.astype(float)))
+            total += np.stack([m.T @ n, a.T @ n, m.T @ b, (a * a).T @ n, m.T @ (b * b), a.T @ b])
+        i, j = np.indices(total.shape[1:])
+        yield pa.RecordBatch.from_arrays([pa.array(i.ravel() + first), pa.array(j.ravel() + second), *(pa.array(t.ravel()) for t in total)], ["i", "j", "n", "x", "y", "xx", "yy", "xy"])
+
+    kinds = "i long, j long, n double, x double, y double, xx double, yy double, xy double"
+    return df.select(*[F.col(c).cast("double").alias(c) for c in names]).mapInArrow(run, kinds)
+
+
+def correlations(df: DataFrame, columns: Sequence[str], block: int = 256) -> DataFrame:
+    """Pearson correlation of every pair of columns: rows (a, b, r).
+
+    Over the rows that have both values, NaN counting as none; null for a constant column or without rows. Columns are taken in blocks: a task
+    holds the moments of two blocks, whatever the number of rows, and only reads those columns. Nothing is unfolded by row.
+    """
+    columns = list(columns)
+    # Any numbers near the data keep the sums of products exact enough; the means are.
+    known = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    means = df.agg(*[F.coalesce(F.avg(known(c)), F.lit(0.0)).alias(f"c{k}") for k, c in enumerate(columns)]).first()
+    shift = dict(zip(columns, means, strict=True))
+    starts = range(0, len(columns), block)
+    parts = [_moments(df, columns[i : i + block], columns[j : j + block], shift, i, j) for i in starts for j in starts if i <= j]
+    moments = reduce(DataFrame.unionByName, parts).where("i < j")
+    summed = moments.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+
+    def spread(square: str, x: str) -> Column:
+        left = F.col(square) - F.try_divide(F.col(x) * F.col(x), F.col("n"))
+        return F.when(left > 1e-12 * F.col(square), left)  # below that a column is constant but for rounding
+
+    shared = F.col("xy") - F.try_divide(F.col("x") * F.col("y"), F.col("n"))
+    r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), shared / F.sqrt(spread("xx", "x") * spread("yy", "y"))))
+    r = F.when(spread("xx", "x").isNotNull() & spread("yy", "y").isNotNull(), r)
+    named = F.array(*[F.lit(c) for c in columns])
+    return summed.select(F.get(named, F.col("i").cast("int")).alias("a"), F.get(named, F.col("j").cast("int")).alias("b"), r.alias("r"))
 
 
 def uncorrelated(df: DataFrame, columns: Sequence[str], cutoff: float = 0.9) -> list[str]:
