@@ -1,6 +1,7 @@
 """Readers, extraction and slide structure on small documents written here."""
 
 import os
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -9,11 +10,15 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.markup import icon_size, link_address
 from tidemark.operators import corpus
+from tidemark.operators.brackets import with_partner
 from tidemark.sources.bibliography import parse_bibliography, read_bibliography
 from tidemark.sources.cells import read_cells, write_cells
 from tidemark.sources.documents import read_documents, selected
 from tidemark.sources.icons import read_icons
 
+#: The folder of the process, which the session takes relative paths from.
+STARTED = os.getcwd()
+
 TALK = """---
 title: "A day: at sea :anchor:"
 date-format: long
@@ -353,3 +358,50 @@ def test_long_texts_do_not_overflow_the_patterns(spark):
     df = spark.createDataFrame([("p", text)], "path string, text string")
     assert [r.target for r in corpus.link_uses(df).orderBy("pos").collect()] == ["b", "a", "c"]
     assert corpus.icon_uses(df).count() == 1 and corpus.citation_uses(df).count() == 1
+
+
+def test_relative_root_whose_name_occurs_earlier(spark, tmp_path):
+    root = tmp_path / "talks" / "work" / "talks"
+    (root / "talks").mkdir(parents=True)
+    (root / "talks" / "a b+c%.qmd").write_text("x")
+    for given in (os.path.relpath(root, STARTED), f"{root}/", f"file:{root}", f"file://{root}"):
+        assert [r.path for r in read_documents(spark, given).collect()] == ["talks/a b+c%.qmd"]
+
+
+def test_growth_of_link_and_field_walks_is_not_quadratic(spark):
+    """The plan has no array that grows by concatenation, which is what made the walks quadratic; results of long inputs are right."""
+    text = "".join(f"[l{k} [n]](t{k}) ![i{k}](u(k){k}) " for k in range(3000))
+    got = corpus.link_uses(spark.createDataFrame([("p", text)], "path string, text string"))
+    assert "concat(" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = got.orderBy("pos").collect()
+    assert [(r.kind, r.label, r.target) for r in rows] == [("image", f"i{k}", f"u(k){k}") for k in range(3000)] + [("link", f"l{k} [n]", f"t{k}") for k in range(3000)]
+    entry = "@a{k, x = {" + "{w} " * 4000 + "}, y = 1}"
+    fields = parse_bibliography(spark.createDataFrame([("f", entry)], "path string, text string")).first().fields
+    assert fields == {"x": "{w} " * 4000, "y": "1"}
+
+
+def brute_pairs(text):
+    stack, out = [], {}
+    for i, c in enumerate(text):
+        if c == "(":
+            stack.append(i)
+        elif c == ")" and stack:
+            out[i] = stack.pop()
+            out[out[i]] = i
+    return out
+
+
+def test_partners_equal_a_stack(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("(()) x") for _ in range(rng.randrange(60))) for _ in range(60)] + [")(", "))((", "", "(" * 40 + ")" * 50]
+    tokens = spark.createDataFrame([(n, i, c) for n, t in enumerate(texts) for i, c in enumerate(t)], "t long, at int, c string")
+    step = F.when(F.col("c") == "(", 1).when(F.col("c") == ")", -1).otherwise(0)
+    found = with_partner(tokens, ["t"], "at", step).where("partner is not null").collect()
+    assert {(r.t, r.at, r.partner) for r in found} == {(n, i, j) for n, t in enumerate(texts) for i, j in brute_pairs(t).items()}
+
+
+def test_documents_of_the_same_path_and_control_characters(spark):
+    docs = spark.createDataFrame([("p", "[a](b"), ("p", ") [c](d)")], "path string, text string")
+    assert [(r.label, r.target) for r in corpus.link_uses(docs).collect()] == [("c", "d")]
+    entry = parse_bibliography(spark.createDataFrame([("f", "@a{k, x = {one\x01two}, y = {1}}")], "path string, text string")).first()
+    assert entry.fields == {"x": "one\x01two", "y": "1"}

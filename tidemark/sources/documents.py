@@ -35,6 +35,12 @@ def selected(path: Column, patterns: Sequence[str]) -> Column:
     return keep & ~path.rlike("|".join(excludes)) if excludes else keep
 
 
+def _full_path(spark: SparkSession, root: str) -> str:
+    """The absolute path of a folder, without scheme and host, as the file system of the session resolves it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri().getPath().rstrip("/")
+
+
 def read_documents(spark: SparkSession, root: str, patterns: Sequence[str] = DOCUMENT_PATTERNS) -> DataFrame:
     """One row (path, text) per selected file below ``root``, the path being relative to it.
 
@@ -46,10 +52,8 @@ def read_documents(spark: SparkSession, root: str, patterns: Sequence[str] = DOC
         spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", listing).text(root, wholetext=True)
     )
     file = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
-    file = F.regexp_replace(file, r"^[a-zA-Z][a-zA-Z0-9+.-]*:/*(?=/|$)", "")
-    # The first place of the root counts: folders below it may repeat its name.
-    prefix = re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:/*(?=/|$)", "", root).strip("/") + "/"
-    path = F.substr(file, F.locate(prefix, file) + len(prefix))
+    file = F.regexp_replace(file, r"^[a-zA-Z][a-zA-Z0-9+.-]*:(?://[^/]*)?", "")
+    path = F.substr(file, F.lit(len(_full_path(spark, root)) + 2))
     return files.select(path.alias("path"), F.col("value").alias("text")).where(selected(F.col("path"), patterns))
 
 
