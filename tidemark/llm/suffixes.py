@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import buffers
 from tidemark.llm.buffers import Hashes, Texts, slices
-from tidemark.session import materialise
+from tidemark.session import materialise, shuffle_partitions
 
 SPAN, ANCHOR = 100, 32
 SIDE = (SPAN - ANCHOR) // 2
@@ -408,27 +408,28 @@ def _remove(batches: Batches) -> Batches:
             yield pa.RecordBatch.from_arrays(columns, ["doc", "n_bytes", "removed", "kept"])
 
 
-def _versioned(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``doc, version, text`` of all rows, and with each document once.
+def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``doc, version, text`` of all rows without nulls, and which ``own`` id a ``doc`` stands for, if doc_ids repeat.
 
-    There are no nulls, and the version tells different texts under one doc_id apart.
+    Where they do, the different texts of all documents are numbered in the order of doc_id and a digest of the text, by ranges, so that each is
+    a document of its own, however many share an id. Equal rows share a number.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    repeated = rows.groupBy("doc").count().where("count > 1").select("doc")
+    repeated = rows.groupBy("doc").count().where("count > 1")
+    zero = F.lit(0).cast("long").alias("version")
     if repeated.isEmpty():
-        rows = rows.select("doc", F.lit(0).cast("long").alias("version"), "text")
-        return rows, rows
-    hashed = rows.withColumn("hash", F.xxhash64("text"))
-    texts = hashed.join(repeated, "doc", "left_semi").groupBy("doc").agg(F.sort_array(F.collect_set("hash")).alias("hashes"))
-    found = hashed.join(texts, "doc", "left")
-    version = F.coalesce(F.array_position("hashes", F.col("hash")) - 1, F.lit(0)).cast("long")
-    rows = found.select("doc", version.alias("version"), "text")
-    return rows, rows.dropDuplicates(["doc", "version"])
+        return rows.select("doc", zero, "text"), None
+    hashed = rows.select(F.col("doc").alias("own"), F.md5("text").alias("hash"), "text")
+    order = ["own", "hash"]
+    pairs = hashed.select(*order).distinct().repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    numbers = materialise(pairs.withColumn("doc", F.monotonically_increasing_id()), "numbers")
+    return hashed.join(numbers, order).select("doc", zero, "text"), numbers.select("doc", "own")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, removed, kept``: for each row the byte ranges removed (start, end) and the bytes left."""
-    rows, once = _versioned(docs)
+    rows, owners = _numbered(docs)
+    once = rows if owners is None else rows.dropDuplicates(["doc"])
     longs = lambda names: ", ".join(f"{n} long" for n in names)
     dealt = once.where(F.octet_length("text") >= SPAN)
     dealt = dealt.mapInArrow(_deal, longs(DEALT)).repartition("anchor").sortWithinPartitions("anchor", "segment", "doc", "place")
@@ -451,4 +452,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     nothing = F.array().cast("array<struct<place:long,n:long>>")
     whole = rows.join(runs, ["doc", "version"], "left").select("doc", "text", F.coalesce("runs", nothing).alias("runs"))
     out = whole.mapInArrow(_remove, "doc long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
-    return out.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "n_bytes", "removed", "kept")
+    out = out.withColumn("own", F.col("doc")) if owners is None else out.join(owners, "doc")
+    return out.select(F.when(F.col("own") != NO_ID, F.col("own")).alias("doc_id"), "n_bytes", "removed", "kept")
