@@ -192,3 +192,17 @@ def test_fully_sensitive_names_take_plain_literals():
     text = 'passphrase = "correct horse battery staple"\ndb_pwd = "hunterhunterhunter"\npin = "839201938475"\npassword = pin\npass = "plain words only"\npassword_hint = "name of the first pet"\ntoken = "aaaaaaaaaaaa"\n'
     found = [text[s:e] for k, s, e in secret_scan.spans(text) if k == "lexed"]
     assert found == ["correct horse battery staple", "hunterhunterhunter", "839201938475"]
+
+
+def test_constants_reach_their_names_over_any_chain():
+    secret = "Xk29fQpl77"
+    rng = random.Random(3)
+    for n in (1, 2, 3, 10, 300):
+        lines = ["password = n0", *(f"n{k} = n{k + 1}" for k in range(n)), f'n{n} = "{secret}"']
+        for order in (lines, lines[::-1], rng.sample(lines, len(lines))):
+            text = "\n".join(order)
+            assert ("lexed", text.index(secret), text.index(secret) + len(secret)) in secret_scan.spans(text)
+    text = 'password = a\na = b\nb = a\nb = c\nc = "' + secret + '"\nother = "Yk29fQpl78"'  # a circle
+    assert [text[a:b] for k, a, b in secret_scan.spans(text) if k == "lexed"] == [secret]
+    text = "password = a\na = b\nb = a"
+    assert secret_scan.spans(text) == []
