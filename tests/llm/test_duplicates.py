@@ -7,6 +7,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import frames  # noqa: E402
@@ -42,7 +43,7 @@ def linked(docs, size, percent):
 
 @pytest.mark.parametrize("size, percent", [(3, 85), (5, 80)])
 def test_components_equal_brute_force(spark, size, percent, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "BLOCK", 4)
+    monkeypatch.setattr(near_duplicates, "PART", 4)
     rng = random.Random(size)
     docs = {}
     for group in range(12):
@@ -67,7 +68,8 @@ def test_near_duplicate_edges(spark):
 
 
 def test_sketches_never_rule_out_a_similar_pair():
-    assert near_duplicates.most_bits(80) >= 2 * 128 * 0.2 and near_duplicates.most_bits(85) < near_duplicates.most_bits(80) < 512
+    samples, bits = near_duplicates.SAMPLES, near_duplicates.BITS
+    assert near_duplicates.most_bits(80) >= 2 * samples * 0.2 and near_duplicates.most_bits(85) < near_duplicates.most_bits(80) < bits
 
 
 def test_components_of_long_chains(spark):
@@ -177,3 +179,43 @@ def test_short_items_are_all_found_when_a_block_holds_many(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), bench)
     assert {r.doc_id for r in got.where("doc_id = item_id").collect()} == {k for k, _ in items}
+
+
+def test_texts_of_one_doc_id_and_regular_words(spark):
+    rng = random.Random(8)
+    a, b, word = frames.prose(rng, 60), frames.prose(rng, 80), "a"
+    for _ in range(9):  # two words whose polynomials modulo 2^64 agree
+        word += word.translate(str.maketrans("ab", "ba"))
+    near = lambda text: " ".join([*text.split()[:-1], "other"])
+    docs = [(9, a), (9, b), (9, ""), (2, near(b)), (3, near(a)), (4, frames.prose(rng, 30)), (5, word), (6, word.translate(str.maketrans("ab", "ba")))]
+    got = near_duplicates.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), 3, 85).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(9, 2), (2, 2), (3, 2), (4, 4), (5, 5), (6, 6)}
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_bands_find_pairs_at_the_threshold():
+    """Chance that a pair shares no band, by formula, and recall on pairs of sets just above the threshold."""
+    bands = near_duplicates.SAMPLES // near_duplicates.BAND
+    assert (1 - 0.8**near_duplicates.BAND) ** bands < 1e-5
+    rng = random.Random(80)
+    texts = []
+    for _ in range(300):
+        words = frames.prose(rng, 400).split()
+        texts += [" ".join(words), " ".join(words[:180] + [f"x{rng.random()}" for _ in range(40)] + words[220:])]
+    column = near_duplicates.pa.array(texts, near_duplicates.pa.large_string())
+    _, offsets, data = column.buffers()
+    rows = near_duplicates.Texts(np.frombuffer(data, np.uint8), np.frombuffer(offsets, np.int64)[: len(texts) + 1])
+    signed = near_duplicates._signatures(5)(near_duplicates.pa.array(range(len(texts))), rows).to_pydict()
+    sketch = np.array(signed["sketch"], np.int64).view(np.uint64)
+    for k in range(0, len(texts), 2):
+        x, y = shingles(texts[k], 5), shingles(texts[k + 1], 5)
+        assert 0.8 <= len(x & y) / len(x | y) < 0.83
+        assert set(signed["bands"][k]) & set(signed["bands"][k + 1])
+        assert np.bitwise_count(sketch[k] ^ sketch[k + 1]).sum() <= near_duplicates.most_bits(80)
+
+
+def test_very_many_texts_without_a_doc_id_keep_one_copy_of_a_passage(spark):
+    n, passage = 40_000, "p" * 60 + "assage " * 9
+    docs = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit(passage), F.lit(" "), F.col("id").cast("string")).alias("text"))
+    got = suffixes.remove_repeats(docs).select("doc_id", F.expr("try_element_at(removed, 1).start").alias("start")).groupBy("doc_id", "start").count().collect()
+    assert {(r.doc_id, r.start): r["count"] for r in got} == {(None, None): 1, (None, 0): n - 1}

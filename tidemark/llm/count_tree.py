@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -204,8 +204,8 @@ def numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
 
 
-def bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose points allow the similarity."""
+def bounded(pairs: DataFrame, sets: DataFrame, percent: int, carry: tuple[str, ...] = (), also: Column | None = None) -> DataFrame:
+    """Pairs (a, b) whose points allow the similarity. ``also`` is a cheaper test over the columns of ``carry``, named ``{column}_a`` and ``{column}_b``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,9 +218,11 @@ def bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 shared[k] = np.minimum(fold(x, groups), fold(y, groups)).sum()
             yield batch.select(["a", "b"]).filter(pa.array(possible(shared, n, m, percent)))
 
-    side = sets.select("id", "n_shingles", "point")
+    side = sets.select("id", "n_shingles", "point", *carry)
+    first, second = ([f"{c}_{k}" for c in carry] for k in "ab")
     sized = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    both = pairs.join(side.toDF("a", "n", "x"), "a").join(side.toDF("b", "m", "y"), "b").where(sized)
+    both = pairs.join(side.toDF("a", "n", "x", *first), "a").join(side.toDF("b", "m", "y", *second), "b").where(sized)
+    both = both if also is None else both.where(also)
     return both.select("a", "b", "n", "x", "m", "y").mapInArrow(run, "a long, b long")
 
 

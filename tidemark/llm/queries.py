@@ -144,7 +144,28 @@ def op5_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+def near_sql(size: int, percent: int, columns: str) -> str:
+    """DuckDB SQL for components of documents whose shingle sets are similar."""
+    shingle = " || chr(31) || ".join(f"w[i + {k}]" for k in range(size))
+    return f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {size} THEN [array_to_string(w, chr(31))]
+    ELSE list_distinct(list_transform(range(1, len(w) - {size - 2}), lambda i: {shingle})) END AS s FROM words),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n - count(*) AS whole, count(*) AS shared
+  FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n),
+links AS (SELECT a, b FROM common WHERE 100 * shared >= {percent} * whole UNION SELECT b, a FROM common WHERE 100 * shared >= {percent} * whole),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+lowest AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT {columns} FROM sets JOIN lowest ON doc_id = a
+"""
+
+
+@query(near_sql(3, 85, "doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept"))
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: three-word shingles, similarity of 0.85 or more."""
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
@@ -253,27 +274,6 @@ def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame
     return prefix_trie.prefix_trie(prefix_trie.rebuild(table(spark, sf_dir, "conversations")))
 
 
-def near_sql(size: int, percent: int, columns: str) -> str:
-    """DuckDB SQL for components of documents whose shingle sets are similar."""
-    shingle = " || chr(31) || ".join(f"w[i + {k}]" for k in range(size))
-    return f"""
-WITH RECURSIVE words AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
-  FROM documents),
-sets AS (
-  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {size} THEN [array_to_string(w, chr(31))]
-    ELSE list_distinct(list_transform(range(1, len(w) - {size - 2}), lambda i: {shingle})) END AS s FROM words),
-items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
-common AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n - count(*) AS whole, count(*) AS shared
-  FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n),
-links AS (SELECT a, b FROM common WHERE 100 * shared >= {percent} * whole UNION SELECT b, a FROM common WHERE 100 * shared >= {percent} * whole),
-reach AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
-lowest AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
-SELECT {columns} FROM sets JOIN lowest ON doc_id = a
-"""
-
-
 @query(near_sql(3, 90, "doc_id, len(s) AS n_shingles, component_id"))
 def op12_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents whose three-word shingle sets have a similarity of 0.9 or more."""
