@@ -147,3 +147,50 @@ def test_forests_see_every_rule_statistic(spark):
         judged = quality.quality(spark.createDataFrame(good + bad, "doc_id long, text string"), known).collect()
         assert not any(r.base_failed for r in judged)
         assert sum(r.kept for r in judged if r.doc_id < 1000) >= 297 and sum(r.kept for r in judged if r.doc_id >= 1000) <= 1, kind
+
+
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+ISC_TEXT = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+
+
+def test_whole_licences_and_declarations_within_a_line(spark):
+    texts = {
+        1: MIT_TEXT,
+        2: ISC_TEXT,
+        3: "The code is free. Released under the MIT License. Please cite the paper.",
+        4: "The code is free; licensed under CC BY-SA 4.0! See below. Licensed under CC BY-SA 4.0. Done",
+        5: "The code is free. It was released last year. Please cite the paper.",
+        6: "Released under the MIT License.",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: [m.licence for m in r.matches] for r in licences.find_licences(docs).collect()}
+    assert got == {1: ["MIT"], 2: ["ISC"], 3: ["MIT"], 4: ["CC-BY-SA-4.0"], 5: [], 6: ["MIT"]}
+
+
+def test_every_match_holds_an_anchor():
+    rng = random.Random(12)
+    known = [licences.template_bigrams(t) for _, t in licences.TEMPLATES]
+    for threshold in (0.5, 0.7, 0.9):
+        words = licences.anchors(known, threshold)
+        for bigrams in known:
+            need = -(-threshold * len(bigrams) // (2 - threshold))
+            for _ in range(200):
+                kept = rng.sample(bigrams, rng.randint(1, len(bigrams)))
+                dice = 2 * len(kept) / (len(kept) + len(bigrams))  # the best that a unit with these bigrams can reach
+                if dice >= threshold:
+                    assert len(kept) >= need - 1e-9 and any(w in b for w in words for b in kept)

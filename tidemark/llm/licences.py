@@ -1,11 +1,15 @@
 """Licence scans: lines and paragraphs compared with licence templates by the Dice coefficient of word bigrams.
 
 Texts are normalised: A-Z in lower case, every run of other characters than letters a-z, digits and line feeds
-becomes one blank. The units are lines, and paragraphs (between blank lines) of more than one line. With ``a`` and ``b``
+becomes one blank. The units are lines, paragraphs (between blank lines) of more than one line, and the distinct sentences that are
+no whole line. With ``a`` and ``b``
 distinct bigrams, a coefficient of at least ``t`` needs ``t / (2 - t) <= a / b <= (2 - t) / t``: the words of a
 unit are counted first, units that fit no template are not cut into bigrams, and units that share no bigram with any
 template are compared with none.
 
+A match also shares at least ``t / (2 - t)`` of a template's bigrams. So if a few words stand in more than the rest of every template's
+bigrams, a text or unit without any of those words matches nothing (``anchors``), and is not even normalised.
+
 All of it happens inside the row with DataFrame functions, so there is no shuffle, no key that could be hot, and
 repeated rows give equal rows. Null and empty texts match nothing; a null doc_id is kept. Of equal coefficients the
 template that comes first counts. Other columns are ignored.
@@ -13,6 +17,9 @@ template that comes first counts. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +35,18 @@ TEMPLATES = [
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
         "documentation files (the Software), to deal in the Software without restriction",
     ),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files (the Software), to deal in the Software without restriction, including without limitation the "
+        "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+        "persons to whom the Software is furnished to do so, subject to the following conditions:",
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     (
         "Apache-2.0",
@@ -62,10 +81,38 @@ def template_bigrams(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))
 
 
+def anchors(known: list[list[str]], threshold: float) -> list[str]:
+    """Words of which every match holds at least one.
+
+    A template with ``b`` bigrams shares ``t b / (2 - t)`` of them with whatever matches it, so one of any ``b`` less that plus one
+    occurs. Words are added, those first that stand in most bigrams still needed, until they stand in so many of each template.
+    """
+    need = [len(b) - math.ceil(threshold * len(b) / (2 - threshold) - 1e-9) + 1 for b in known]
+    open_ = [[set(b.split()) for b in bigrams] for bigrams in known]
+    chosen: list[str] = []
+    while any(n > 0 for n in need):
+        gain: dict[str, int] = {}
+        for n, bigrams in zip(need, open_, strict=True):
+            for word in sorted({w for b in bigrams for w in b}) if n > 0 else ():
+                gain[word] = gain.get(word, 0) + min(n, sum(word in b for b in bigrams))
+        word = max(gain, key=lambda w: (len(w) >= 5, gain[w], w))  # short words are common in any text
+        chosen.append(word)
+        for k, bigrams in enumerate(open_):
+            left = [b for b in bigrams if word not in b]
+            need[k] -= len(bigrams) - len(left)
+            open_[k] = left
+    return chosen
+
+
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, UPPER, LOWER), r"[^a-z0-9\n]+", " ")
 
 
+def sentences(text: Column) -> Column:
+    """The text with a line feed behind each sentence."""
+    return F.regexp_replace(text, r"[.!?;]+[ \t]+", "\n")
+
+
 def _bigrams(unit: Column) -> Column:
     words = F.split(unit, " ")
     return F.array_distinct(F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b)))
@@ -81,13 +128,17 @@ def find_licences(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     sizes = [len(b) for _, b in known]
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     every = F.array(*(F.lit(b) for b in dict.fromkeys(b for _, bigrams in known for b in bigrams)))
-    text = normalised(F.coalesce("text", F.lit("")))
+    words = anchors([b for _, b in known], threshold)
+    # Lower case of other letters may add a word, but never takes one away.
+    holds = lambda text: reduce(Column.__or__, [F.contains(text, F.lit(w)) for w in words])
+    text = normalised(F.col("text"))
     paragraphs = F.filter(F.split(text, r"\n ?(?:\n ?)+"), lambda p: F.contains(F.trim(F.translate(p, "\n", " ")), F.lit(" ")) & F.contains(p, F.lit("\n")))
-    units = F.concat(F.split(text, "\n"), F.transform(paragraphs, lambda p: F.regexp_replace(p, r"[ \n]+", " ")))
-    units = F.transform(units, lambda u, i: F.struct(i.alias("unit"), F.trim(u).alias("words")))
+    lines, parts = (F.transform(F.split(x, "\n"), lambda u: F.trim(u)) for x in (text, normalised(sentences(F.col("text")))))
+    units = F.concat(lines, F.transform(paragraphs, lambda p: F.trim(F.regexp_replace(p, r"[ \n]+", " "))), F.array_except(parts, lines))
+    units = F.transform(units, lambda u, i: F.struct(i.alias("unit"), u.alias("words")))
     # Words are parted by single blanks; a unit has at least as many distinct bigrams as a template needs, or none fits.
     count = lambda u: F.length(u["words"]) - F.length(F.translate(u["words"], " ", ""))
-    units = F.filter(units, lambda u: count(u) >= low * min(sizes))
+    units = F.filter(units, lambda u: (count(u) >= low * min(sizes)) & holds(u["words"]))
     cut = F.transform(units, lambda u: F.struct(u["unit"].alias("unit"), _bigrams(u["words"]).alias("bigrams")))
     shared = F.filter(cut, lambda u: (F.size(u["bigrams"]) <= high * max(sizes)) & F.arrays_overlap(u["bigrams"], every))
 
@@ -108,7 +159,8 @@ def find_licences(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
             u["unit"].alias("unit"), u["best"]["licence"].alias("licence"), (-u["best"]["place"]).alias("template"), u["best"]["dice"].alias("dice")
         ),
     )
-    return docs.select("doc_id", flat.alias("matches"))
+    none = F.array().cast("array<struct<unit:int,licence:string,template:int,dice:double>>")
+    return docs.select("doc_id", F.when(holds(F.lower("text")), flat).otherwise(none).alias("matches"))
 
 
 def oracle(templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> str:
@@ -117,23 +169,29 @@ def oracle(templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRE
     return f"""
 WITH t(place, licence, bigrams) AS (VALUES {rows}),
 d AS (SELECT doc_id, regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^a-z0-9\\n]+', ' ', 'g') AS body FROM documents),
+lines AS (SELECT DISTINCT doc_id, trim(unnest(string_split(body, chr(10)))) AS u FROM d),
 units AS (
   SELECT doc_id, 'l' AS level, unnest(string_split(body, chr(10))) AS u, generate_subscripts(string_split(body, chr(10)), 1) AS i FROM d
   UNION ALL
   SELECT doc_id, 'p', regexp_replace(p, '[ \\n]+', ' ', 'g'), i FROM (
     SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i
     FROM (SELECT doc_id, regexp_split_to_array(body, '\\n ?(?:\\n ?)+') AS ps FROM d WHERE body LIKE '%' || chr(10) || '%'))
-  WHERE contains(p, chr(10)) AND contains(trim(translate(p, chr(10), ' ')), ' ')),
-words AS (SELECT doc_id, level, i, string_split(trim(u), ' ') AS w FROM units WHERE contains(trim(u), ' ')),
+  WHERE contains(p, chr(10)) AND contains(trim(translate(p, chr(10), ' ')), ' ')
+  UNION ALL
+  SELECT doc_id, 's', u, 0 FROM (
+    SELECT DISTINCT doc_id, trim(unnest(string_split(regexp_replace(translate(regexp_replace(coalesce(text, ''), '[.!?;]+[ \t]+', chr(10), 'g'), '{UPPER}', '{LOWER}'), '[^a-z0-9\n]+', ' ', 'g'), chr(10)))) AS u
+    FROM documents) s
+  WHERE NOT EXISTS (SELECT 1 FROM lines l WHERE l.doc_id = s.doc_id AND l.u = s.u)),
+words AS (SELECT doc_id, level, i, CASE level WHEN 's' THEN u ELSE '' END AS u, string_split(trim(u), ' ') AS w FROM units WHERE contains(trim(u), ' ')),
 cut AS (
-  SELECT doc_id, level, i, list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS bigrams
+  SELECT doc_id, level, i, u, list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS bigrams
   FROM words),
 scored AS (
-  SELECT doc_id, level, i, t.place, t.licence, 2.0 * len(list_intersect(cut.bigrams, t.bigrams)) / (len(cut.bigrams) + len(t.bigrams)) AS dice
+  SELECT doc_id, level, i, u, t.place, t.licence, 2.0 * len(list_intersect(cut.bigrams, t.bigrams)) / (len(cut.bigrams) + len(t.bigrams)) AS dice
   FROM cut, t),
 best AS (
   SELECT * FROM scored WHERE dice >= {threshold}
-  QUALIFY row_number() OVER (PARTITION BY doc_id, level, i ORDER BY dice DESC, place) = 1),
+  QUALIFY row_number() OVER (PARTITION BY doc_id, level, i, u ORDER BY dice DESC, place) = 1),
 found AS (
   SELECT doc_id, count(*) AS n_matches, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences, max(dice) AS best_dice
   FROM best GROUP BY doc_id)
