@@ -263,7 +263,7 @@ nodes AS (
 children AS (SELECT above, count(*) AS n_children FROM nodes WHERE above IS NOT NULL GROUP BY above),
 grown AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children k ON n.key = k.above),
 below AS (
-  SELECT p.key, count_if(n.n_children = 0) AS n_leaves, CAST(sum((n.n_convs - 1) * n.size) AS BIGINT) AS saved_tokens
+  SELECT p.key, CAST(count_if(n.n_children = 0) AS BIGINT) AS n_leaves, CAST(sum((n.n_convs - 1) * n.size) AS BIGINT) AS saved_tokens
   FROM grown n JOIN prefixes p ON p.c = n.conv_id AND p.d <= n.depth GROUP BY p.key)
 SELECT n.conv_id, n.depth, a.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, n.ends_sha256
 FROM grown n JOIN below USING (key) LEFT JOIN nodes a ON n.above = a.key
