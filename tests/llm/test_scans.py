@@ -206,3 +206,26 @@ def test_constants_reach_their_names_over_any_chain():
     assert [text[a:b] for k, a, b in secret_scan.spans(text) if k == "lexed"] == [secret]
     text = "password = a\na = b\nb = a"
     assert secret_scan.spans(text) == []
+
+
+def test_values_are_scored_whole():
+    found = lambda text: [text[a:b] for k, a, b in secret_scan.spans(text) if k == "lexed"]
+    mixed = "".join(random.Random(7).choices("qwertzuiopQWERTZUIOP123456789!", k=6000))
+    assert found(f'n = "{"z" * 4096}" + "{mixed}"\nsigning_key = n') == ["z" * 4096, mixed]
+    assert found(f'signing_key = "{"z" * 4096}{mixed}"') == ["z" * 4096 + mixed]
+    assert found(f'n = "{mixed}"\nsigning_key = "pre-${{n}}-post"') == [mixed, "pre-${n}-post"]
+    parts = [f"x{k}Q" for k in range(6000)]
+    text = "\n".join(['n0 = "x0Q"', *(f'n{k} = n{k - 1} + "{p}"' for k, p in enumerate(parts) if k), "signing_key = n5999"])
+    assert found(text) == parts
+    doubled = "\n".join(['n0 = "Xk29fQpl77"', *(f"n{k + 1} = n{k} + n{k}" for k in range(3000)), "signing_key = n3000"])
+    assert found(doubled) == ["Xk29fQpl77"]
+
+
+def test_joined_values_score_like_their_text():
+    rng = random.Random(5)
+    pieces = ["", " ", "xx", "x", "todo", "to", "do", "place", "holder", "aB3-", "  ab ", "Xk29fQ", "\u3000", "\u00e9\u5b57", "12345678"]
+    for _ in range(3000):
+        texts = rng.choices(pieces, k=rng.randrange(1, 6))
+        whole, joined = secret_scan.Value("".join(texts)), secret_scan.Value.joined([secret_scan.Value(t) for t in texts])
+        for score in (secret_scan.literal_score, secret_scan.plain_score):
+            assert score(joined) == score(whole), texts

@@ -25,7 +25,6 @@ KINDS = ("assign", "access", "hex", "lexed")
 THRESHOLD = 0.5
 #: From this score on, a name alone tells a secret: its literals may hold blanks or one kind of character.
 FULLY = 0.9
-LONGEST = 4096
 
 _ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII
@@ -63,6 +62,10 @@ SENSITIVE_PAIRS = {
 HARMLESS = {"file", "path", "length", "len", "size", "count", "type", "name", "url", "policy", "hint", "field", "label", "limit", "max", "min", "expiry", "ttl"}
 #: Literals that stand for nothing.
 PLACEHOLDERS = re.compile(r"(?i)x{3,}|\*{3,}|change_?me|example|placeholder|your[_-]|dummy|sample|redacted|none|null|true|false|todo")
+#: One less than the characters of the longest stand-in: so much of both sides tells whether one lies across a seam.
+SEAM = len("placeholder") - 1
+#: Counts beyond this are kept as multiples of a power of two, far below what a double can tell apart.
+LARGE = 1 << 256
 
 
 def name_score(name: str) -> float:
@@ -73,23 +76,71 @@ def name_score(name: str) -> float:
     return max([single, *(SENSITIVE_PAIRS.get(pair, 0.0) for pair in zip(parts, parts[1:]))])
 
 
-def literal_score(text: str) -> float:
+class Value:
+    """What the scores need of a whole text: two are joined without their characters, however often names repeat them.
+
+    ``counts`` are of characters, in units of ``1 << scale``; ``from_first`` and ``to_last`` count up to 8 characters from the
+    first that is not blank, and to the last; ``parts`` are the values that it was joined from, or bounds of a literal.
+    """
+
+    __slots__ = ("counts", "scale", "head", "tail", "stand_in", "from_first", "to_last", "core", "parts")
+
+    def __init__(self, text: str = "", parts: tuple = ()):
+        self.counts, self.scale, self.parts = dict(Counter(text)), 0, parts
+        self.head, self.tail = text[:SEAM], text[-SEAM:]
+        self.stand_in = bool(PLACEHOLDERS.search(text))
+        self.from_first, self.to_last = min(8, len(text.lstrip())), min(8, len(text.rstrip()))
+        self.core = min(8, len(text.strip()))
+
+    @classmethod
+    def joined(cls, parts: list[Value]) -> Value:
+        if len(parts) == 1:
+            return parts[0]
+        out = cls(parts=tuple(parts))
+        out.scale = max((p.scale for p in parts), default=0)
+        for p in parts:
+            size = p.short()
+            out.stand_in = out.stand_in or p.stand_in or bool(PLACEHOLDERS.search(out.tail + p.head))
+            out.core = min(8, out.from_first + p.to_last) if out.from_first and p.to_last else out.core or p.core
+            out.from_first = min(8, out.from_first + size) if out.from_first else p.from_first
+            out.to_last = min(8, out.short() + p.to_last) if p.to_last else out.to_last
+            if len(out.head) < SEAM:
+                out.head = (out.head + p.head)[:SEAM]
+            out.tail = (out.tail + p.tail)[-SEAM:]
+            for c, n in p.counts.items():
+                out.counts[c] = out.counts.get(c, 0) + ((n >> out.scale - p.scale) or 1)
+        if max(out.counts.values(), default=0) > LARGE:
+            out.counts, out.scale = {c: (n >> 128) or 1 for c, n in out.counts.items()}, out.scale + 128
+        return out
+
+    def short(self) -> int:
+        """The number of characters, at most 8."""
+        return min(8, len(self.tail))
+
+    def entropy(self) -> float:
+        size = sum(self.counts.values())
+        return -sum(n / size * math.log2(n / size) for n in self.counts.values() if n / size)
+
+
+def literal_score(value: Value) -> float:
     """0 for blanks, short or stand-in literals, towards 1 with length, entropy and mixed kinds of characters."""
-    if len(text) < 6 or any(c.isspace() for c in text) or PLACEHOLDERS.search(text):
+    if value.short() < 6 or value.stand_in or any(map(str.isspace, value.counts)):
         return 0.0
-    counts = Counter(text)
-    entropy = -sum(n / len(text) * math.log2(n / len(text)) for n in counts.values())
-    kinds = sum(bool(re.search(p, text)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(1.0, entropy / 3.5) * (0.45, 0.45, 0.8, 0.95, 1.0)[kinds] * (1.0 if len(text) >= 8 else 0.8)
+    each = "".join(value.counts)
+    kinds = sum(bool(re.search(p, each)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    return min(1.0, value.entropy() / 3.5) * (0.45, 0.45, 0.8, 0.95, 1.0)[kinds] * (1.0 if value.short() >= 8 else 0.8)
 
 
-def plain_score(text: str) -> float:
+def plain_score(value: Value) -> float:
     """The same for literals of fully sensitive names: passphrases, plain words and numbers count, too."""
-    if len(text.strip()) < 8 or PLACEHOLDERS.search(text):
+    if value.core < 8 or value.stand_in:
         return 0.0
-    counts = Counter(text)
-    entropy = -sum(n / len(text) * math.log2(n / len(text)) for n in counts.values())
-    return min(1.0, entropy / 2.5) * 0.6
+    return min(1.0, value.entropy() / 2.5) * 0.6
+
+
+def _tells(score: float, value: Value) -> bool:
+    """Whether a value of a name of this score is a secret."""
+    return bool(score) and score * max(literal_score(value), plain_score(value) if score >= FULLY else 0.0) >= THRESHOLD
 
 
 def pairs(text: str) -> list[tuple[str, list[tuple[str, str, int, int]]]]:
@@ -123,40 +174,63 @@ def pairs(text: str) -> list[tuple[str, list[tuple[str, str, int, int]]]]:
     return found
 
 
+def _filled(text: str, values: dict[str, Value], bounds: tuple[int, int]) -> Value:
+    """A literal with the names inside it replaced by their values; all of them are among its parts.
+
+    A name without braces also stands for the beginning of longer ones that come after it.
+    """
+    tokens: dict[str, tuple[int, Value]] = {}
+    sizes: set[int] = set()
+    parts, at = [], 0
+    for m in _INSIDE.finditer(text):
+        token = m[0]
+        if token not in tokens:
+            tokens[token] = len(tokens), values.get("".join(g for g in m.groups() if g)) or Value()
+            sizes |= {len(token)} if m[3] else set()
+        if m[3]:
+            token = min((token[:n] for n in sizes if n <= len(token) and token[:n] in tokens), key=lambda t: tokens[t][0])
+        parts += [Value(text[at : m.start()]), tokens[token][1]]
+        at = m.start() + len(token)
+    named = Value(parts=(bounds, *(value for _, value in tokens.values())))
+    return Value.joined([named, *parts, Value(text[at:])])
+
+
 def lexed(text: str) -> list[tuple[int, int]]:
     """Literals that reach a sensitive name, by start.
 
     Two passes carry constants forward, so that a name may be used before the line that assigns it. Where a sensitive name is
-    still without a value, names are followed to their end (``_reached``). Of a value longer than ``LONGEST`` characters the score sees that many, and
-    once a value has ``LONGEST`` literals no more are added.
+    still without a value, names are followed to their end (``_reached``). Values are whole, of any length and number of literals.
     """
     assigned = pairs(text)
     known = {name for name, _ in assigned} | {name.rpartition(".")[2] for name, _ in assigned}
-    values: dict[str, tuple[str, frozenset[tuple[int, int]]]] = {}
+    values: dict[str, Value] = {}
+    literals: dict[tuple[int, int], Value] = {}
     found: set[tuple[int, int]] = set()
-    nothing = ("", frozenset())
+    seen: set[Value] = set()
+    nothing = Value()
     for _ in range(2):
         for name, terms in assigned:
-            parts, origins = [], set()
+            parts = []
             for kind, value, start, end in terms:
                 if kind == "name" and (value in known or not any(c.isdigit() for c in value)):
-                    part, spans = values.get(value) or values.get(value.rpartition(".")[2]) or nothing
+                    parts.append(values.get(value) or values.get(value.rpartition(".")[2]) or nothing)
+                elif "$" in value or "{{" in value:
+                    parts.append(_filled(value, values, (start, end)))
                 else:
-                    part, spans = value, {(start, end)}
-                    if "$" in value or "{{" in value:
-                        for m in _INSIDE.finditer(value):
-                            inner, more = values.get("".join(g for g in m.groups() if g)) or nothing
-                            part = part.replace(m[0], inner)[:LONGEST]
-                            spans = spans | more
-                parts.append(part[:LONGEST])
-                if len(origins) < LONGEST:
-                    origins |= spans
-            value = ("".join(parts)[:LONGEST], frozenset(origins))
+                    if (start, end) not in literals:
+                        literals[start, end] = Value(value, ((start, end),))
+                    parts.append(literals[start, end])
+            value = Value.joined(parts)
             values[name] = values[name.rpartition(".")[2]] = value
-            score = name_score(name)
-            if score and score * max(literal_score(value[0]), plain_score(value[0]) if score >= FULLY else 0.0) >= THRESHOLD:
-                found |= value[1]
-    open_ = {name for name, _ in assigned if not values[name][0] and name_score(name)}
+            if _tells(name_score(name), value):
+                todo = [value]
+                while todo:
+                    if isinstance(part := todo.pop(), tuple):
+                        found.add(part)
+                    elif part not in seen:
+                        seen.add(part)
+                        todo += part.parts
+    open_ = {name for name, _ in assigned if not values[name].counts and name_score(name)}
     return sorted(found | _reached(assigned, open_) if open_ else found)
 
 
@@ -181,7 +255,7 @@ def _reached(assigned: list[tuple[str, list[tuple[str, str, int, int]]]], names:
                 if kind == "name" and (value in by_name or value.rpartition(".")[2] in by_name):
                     todo.append(value if value in by_name else value.rpartition(".")[2])
                 elif kind == "literal":
-                    if score * max(literal_score(value), plain_score(value) if score >= FULLY else 0.0) >= THRESHOLD:
+                    if _tells(score, Value(value)):
                         found.add((start, end))
                     todo += ["".join(g for g in m.groups() if g) for m in _INSIDE.finditer(value)]
     return found
