@@ -7,13 +7,15 @@ import sys
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import frames  # noqa: E402
 
-from tidemark.llm import bpe, chat, licences, quality  # noqa: E402
+from tidemark.llm import bpe, buffers, chat, licences, quality  # noqa: E402
 
 
 def counts(text):
@@ -194,3 +196,16 @@ def test_every_match_holds_an_anchor():
                 dice = 2 * len(kept) / (len(kept) + len(bigrams))  # the best that a unit with these bigrams can reach
                 if dice >= threshold:
                     assert len(kept) >= need - 1e-9 and any(w in b for w in words for b in kept)
+
+
+def test_slices_read_batches_in_place():
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(["one", "", "zwei ü", "three"], kind)
+        bytes_ = np.frombuffer(column.buffers()[2], np.uint8)
+        for part in (column, column.slice(1, 2), column.slice(4)):
+            found = list(buffers.slices(part))
+            assert all(np.shares_memory(t.data, bytes_) for _, _, t in found)
+            texts = [t.data[a:b].tobytes().decode() for _, _, t in found for a, b in zip(t.offsets, t.offsets[1:])]
+            assert texts == part.to_pylist()
+    missing = [t.sizes.tolist() for _, _, t in buffers.slices(pa.array(["a", None, "bc"]))]
+    assert missing == [[1, 0, 2]]

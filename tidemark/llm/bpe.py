@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.buffers import pieces
+from tidemark.llm.buffers import map_batches, pieces
 
 MAX_VOCABULARY = 1 << 20
 CACHE = 1 << 17
@@ -210,7 +210,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(codes, pa.binary())], ["doc_id", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary")
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, ids binary")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -227,4 +227,4 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(rows, pa.binary())], [*piece.schema.names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInArrow(run, f"{schema}, decoded binary")
+    return map_batches(encoded, run, f"{schema}, decoded binary")

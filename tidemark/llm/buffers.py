@@ -7,6 +7,7 @@ No text is cut: a row that is larger than a slice is a slice of its own.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import zlib
 from collections.abc import Callable, Iterator
@@ -177,11 +178,14 @@ class Texts:
 
 def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, Texts]]:
     """Cut a string column into runs of whole rows: first row, end row, their bytes. Null counts as empty."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    if column.null_count or not (pa.types.is_string(column.type) or pa.types.is_large_string(column.type)):
+        column = pc.fill_null(column.cast(pa.large_string()), "")
     if not len(column):
         return
+    # The batch is not copied, only its offsets are.
     _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    width = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(offsets, width)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     first = 0
     while first < len(column):
@@ -203,6 +207,23 @@ def lists(values: np.ndarray, cuts: np.ndarray, kind: pa.DataType | None = None)
     return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, kind))
 
 
+def give_back() -> None:
+    """Return free memory to the system, which allocators keep otherwise."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow(fn, schema)``; workers, which wait for later tasks, do not hold on to what they no longer use."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
 def map_texts(df: DataFrame, fn: Callable[[pa.Array, Texts], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Apply ``fn(ids, texts)`` to slices of (doc_id, text) rows."""
 
@@ -214,7 +235,7 @@ def map_texts(df: DataFrame, fn: Callable[[pa.Array, Texts], pa.RecordBatch | No
                 if out is not None and out.num_rows:
                     yield out
 
-    return df.select("doc_id", "text").mapInArrow(run, schema)
+    return map_batches(df.select("doc_id", "text"), run, schema)
 
 
 def map_strings(df: DataFrame, fn: Callable[[str], tuple], schema: str) -> DataFrame:
@@ -232,7 +253,7 @@ def map_strings(df: DataFrame, fn: Callable[[str], tuple], schema: str) -> DataF
                 columns = [piece.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds[1:], strict=True))]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return df.select("doc_id", "text").mapInArrow(run, schema)
+    return map_batches(df.select("doc_id", "text"), run, schema)
 
 
 def pieces(batch: pa.RecordBatch, size: int = 8 * SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -163,7 +163,7 @@ def _frequencies(tokens: DataFrame, terms: int) -> tuple[int, np.ndarray]:
         some = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, some)), pa.array(np.append(total, count[some]))], ["term", "n"])
 
-    rows = tokens.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = buffers.map_batches(tokens, run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     count = np.zeros(terms, np.int64)
     for r in rows:
         if r.term >= 0:
@@ -203,7 +203,7 @@ def _gram(tokens: DataFrame, idf: np.ndarray, right: np.ndarray) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([total.tobytes()])], ["block", "part"])
 
     kind = "block long, part binary"
-    rows = tokens.mapInArrow(multiply, kind).repartition("block").mapInArrow(add, kind).collect()
+    rows = buffers.map_batches(buffers.map_batches(tokens, multiply, kind).repartition("block"), add, kind).collect()
     out = np.zeros((terms, width))
     for r in rows:
         out[r.block * ROWS : (r.block + 1) * ROWS] = np.frombuffer(r.part).reshape(-1, width)
@@ -385,7 +385,7 @@ def search(tokens: DataFrame, items: Items, projection: np.ndarray, latent: np.n
     from pyspark.sql.types import _parse_datatype_string
 
     ids_type = to_arrow_type(_parse_datatype_string(item_type))
-    return tokens.mapInArrow(run, f"doc_id {kind}, item_id {item_type}, {FOUND}")
+    return buffers.map_batches(tokens, run, f"doc_id {kind}, item_id {item_type}, {FOUND}")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

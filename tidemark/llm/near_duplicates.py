@@ -178,7 +178,7 @@ def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     right = rows.select("band", own("n").alias("j"), every("m").alias("i"), F.lit(1).alias("side"), *columns)
     dealt = left.unionByName(right).repartition(shuffle_partitions(members.sparkSession), "band", "i", "j").sortWithinPartitions("band", "i", "j")
     keys = [F.col(c).cast("long").alias(c) for c in ("band", "i", "j", "side")]
-    meet = dealt.select(*keys, *columns).mapInArrow(_meet(percent), "a long, b long")
+    meet = buffers.map_batches(dealt.select(*keys, *columns), _meet(percent), "a long, b long")
     return count_tree.bounded(meet.distinct(), sets, percent)
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.buffers import map_strings, pieces
+from tidemark.llm.buffers import map_batches, map_strings, pieces
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = BASE + tuple(f"field_{k}" for k in BASE)
@@ -291,5 +291,5 @@ def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = docs.mapInArrow(run, schema)
+    out = map_batches(docs, run, schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -229,7 +229,8 @@ def _score(statistics: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, [batch.schema.names[k] for k in kept] + ["anomalies"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in statistics.schema.fields)
-    return statistics.select("*", *(v.cast("double").alias(k) for k, v in ratios().items())).mapInArrow(run, f"{schema}, anomalies array<double>")
+    rows = statistics.select("*", *(v.cast("double").alias(k) for k, v in ratios().items()))
+    return buffers.map_batches(rows, run, f"{schema}, anomalies array<double>")
 
 
 def _bin(view: int) -> Column:
@@ -297,4 +298,4 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
                 good = ~failed.to_numpy() & (np.floor(model.scores(_evaluate(found)) * BINS) < limits).all(axis=1)
                 yield batch.slice(first, end - first).filter(pa.array(good))
 
-    return docs.mapInArrow(run, ", ".join(f"`{n}` {kinds[n]}" for n in names))
+    return buffers.map_batches(docs, run, ", ".join(f"`{n}` {kinds[n]}" for n in names))
