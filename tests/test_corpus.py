@@ -405,3 +405,12 @@ def test_documents_of_the_same_path_and_control_characters(spark):
     assert [(r.label, r.target) for r in corpus.link_uses(docs).collect()] == [("c", "d")]
     entry = parse_bibliography(spark.createDataFrame([("f", "@a{k, x = {one\x01two}, y = {1}}")], "path string, text string")).first()
     assert entry.fields == {"x": "one\x01two", "y": "1"}
+
+
+def test_links_are_matched_where_the_text_lies(spark):
+    """Matching brackets neither unfolds tokens into rows nor sorts or shuffles them, whatever the number of documents."""
+    docs = spark.createDataFrame([("p", "[a [b](c)](d) ![e](f (g) h) [i](j\n) \\[k](l) [m]](n)")], "path string, text string")
+    uses = corpus.link_uses(docs).select("path", "kind", "target")
+    plan = uses._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "Sort" not in plan
+    assert sorted((r.kind, r.target) for r in uses.collect()) == [("image", "f (g) h"), ("link", "c"), ("link", "d")]

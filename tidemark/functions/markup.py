@@ -6,6 +6,8 @@ without code (see ``prose``) as a column of its own, since it is dear to make.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -165,9 +167,38 @@ def link_paragraphs(prose: Column) -> Column:
     return F.filter(F.split(prose, r"\n[ \t\r]*\n"), lambda p: F.contains(p, F.lit("](")))
 
 
-def link_tokens(paragraph: Column) -> Column:
-    """Brackets, parentheses and line feeds of a paragraph, each alone, and what stands between; an escape is plain text."""
-    return F.regexp_extract_all(paragraph, F.lit(r"(?s)\\.|[\[\]()\n]|[^\[\]()\n\\]++|\\"), F.lit(0))
+def links(paragraph: Column) -> Column:
+    """Array of (at, kind, label, target): links and images of a paragraph, by where they begin.
+
+    Square brackets match within the paragraph, parentheses within a line, at any depth; what is escaped is plain text. One
+    walk keeps the open ones on two stacks, so the work and the memory grow with the paragraph.
+    """
+    special = re.compile(r"(?s)\\.|[\[\]()\n]")
+
+    def walk(text: str | None) -> list[tuple[int, str, str, str]]:
+        square: list[int] = []
+        round_: list[int] = []
+        label: dict[int, int] = {}  # opening parenthesis behind a label: where the label opens
+        found = []
+        for m in special.finditer(text or ""):
+            token, at = m[0], m.start()
+            if token == "[":
+                square.append(at)
+            elif token == "]" and square:
+                label[at + 1] = square.pop()
+            elif token == "(":
+                round_.append(at)
+            elif token == ")" and round_:
+                start = round_.pop()
+                if start in label:
+                    opened = label[start]
+                    kind = "image" if text[opened - 1 : opened] == "!" else "link"
+                    found.append((opened, kind, text[opened + 1 : start - 1], text[start + 1 : at]))
+            elif token == "\n":
+                round_.clear()
+        return sorted(found)
+
+    return F.udf(walk, "array<struct<at:int,kind:string,label:string,target:string>>", useArrow=True)(paragraph)
 
 
 def autolinks(prose: Column) -> Column:

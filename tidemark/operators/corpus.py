@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import markup
-from tidemark.operators.brackets import with_partner
 from tidemark.operators.joins import hot_key_join
 from tidemark.session import materialise
 
@@ -51,40 +50,13 @@ def link_uses(docs: DataFrame, key: str = "path") -> DataFrame:
 
     Brackets and parentheses may be nested to any depth as long as they match; a target ends with its line, a label with its
     paragraph. Images come first, then links, then addresses, each in the order of the text. Only paragraphs that may hold a link
-    are unfolded into tokens and shuffled, each on its own. Documents with the same key are read apart.
+    are read, each on its own and where it lies; only what is found is shuffled. Documents with the same key are read apart.
     """
     # The number tells documents apart.
     prose = _prose(docs, key).withColumn("_doc", F.monotonically_increasing_id())
     paragraphs = prose.select(key, "_doc", F.posexplode(markup.link_paragraphs(F.col("prose"))).alias("_para", "_text"))
-    tokens = paragraphs.select(key, "_doc", "_para", F.posexplode(markup.link_tokens(F.col("_text"))).alias("_at", "token"))
-    by = ["_doc", "_para"]
-    line = F.count_if(F.col("token") == "\n").over(Window.partitionBy(*by).orderBy("_at"))
-    square, round_ = F.col("token").isin("[", "]"), F.col("token").isin("(", ")")
-    # Parentheses match within a line, square brackets within the paragraph.
-    lined = tokens.withColumn("_line", F.when(round_, line).when(square, -1))
-    step = F.when(F.col("token").isin("[", "("), 1).when(square | round_, -1).otherwise(0)
-    paired = with_partner(lined, [*by, "_line"], "_at", step)
-    item = F.struct("_at", "token", (F.col("partner") + 1).alias("partner"))  # from 1 on, as in arrays
-    whole = paired.groupBy(*by).agg(F.first(key).alias(key), F.array_sort(F.collect_list(item)).alias("t"))
-
-    def between(start: Column, end: Column) -> Column:
-        return F.array_join(F.transform(F.slice("t", start + 1, end - start - 1), lambda x: x["token"]), "")
-
-    closers = F.filter(
-        F.transform("t", lambda x, i: F.struct((i + 1).alias("e"), x["token"].alias("token"), x["partner"].alias("s"), F.get("t", i + 1).alias("next"))),
-        lambda x: (x["token"] == "]") & x["s"].isNotNull() & (x["next"]["token"] == "(") & x["next"]["partner"].isNotNull(),
-    )
-    image = lambda x: F.coalesce(F.endswith(F.get("t", x["s"] - 2)["token"], F.lit("!")), F.lit(False))
-    uses = F.transform(
-        closers,
-        lambda x: F.struct(
-            x["s"].alias("at"),
-            F.when(image(x), "image").otherwise("link").alias("kind"),
-            between(x["s"], x["e"]).alias("label"),
-            between(x["e"] + 1, x["next"]["partner"]).alias("target"),
-        ),
-    )
-    inline = whole.select(key, "_doc", "_para", F.inline(uses))
+    held = paragraphs.select(key, "_doc", "_para", markup.links(F.col("_text")).alias("_links"))
+    inline = held.select(key, "_doc", "_para", F.inline("_links"))
     urls = prose.select(key, "_doc", F.posexplode(markup.autolinks(F.col("prose"))).alias("at", "target"))
     urls = urls.select(key, "_doc", F.lit(0).alias("_para"), "at", F.lit("url").alias("kind"), F.lit("").alias("label"), "target")
     order = F.when(F.col("kind") == "image", 0).when(F.col("kind") == "link", 1).otherwise(2)
