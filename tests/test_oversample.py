@@ -169,3 +169,26 @@ def test_smote_with_the_hashed_search(spark):
     assert smote(points, "id", "y", "x", search="hashed").groupBy("y").count().collect()[0]["count"] == 120
     with pytest.raises(ValueError):
         smote(points, "id", "y", "x", search="other")
+
+
+def test_hashed_search_writes_and_sends_each_vector_no_more_than_it_must(spark, monkeypatch):
+    """Nothing is written once for every table, vectors keep their precision, and repeated or missing keys are no obstacle."""
+    from tidemark.operators import hashed_neighbours
+
+    rng = np.random.default_rng(3)
+    rows = [("a", i, [float(v) for v in rng.normal(size=6).astype(np.float32)]) for i in range(120)]
+    points = spark.createDataFrame(rows, "g string, id long, x array<float>")
+    written = []
+
+    def spy(df, name):
+        written.append((df.count(), df.schema["vec"].dataType.simpleString()))
+        return materialise(df, name)
+
+    materialise = hashed_neighbours.materialise
+    monkeypatch.setattr(hashed_neighbours, "materialise", spy)
+    find = lambda df, **more: {tuple(r) for r in approximate_neighbours(df, "g", "id", "x", 3, **more).collect()}
+    found = find(points, block=16)
+    assert written and all(n <= 120 and kind == "array<float>" for n, kind in written)
+    assert found == find(points.withColumn("x", F.col("x").cast("array<double>")), block=16) == find(points, block=1000)
+    odd = points.unionByName(points.where("id = 5")).unionByName(points.where("id = 7").withColumn("id", F.lit(None).cast("long")))
+    assert {i for _, i, *_ in find(odd)} == {i for _, i, *_ in found}

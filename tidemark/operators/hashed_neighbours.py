@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import hash_int
@@ -26,7 +26,6 @@ SAMPLE = 2000
 LENGTHS = 4.0
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BUCKET = "g string, id bigint, vec array<double>, ask boolean, bucket bigint"
 
 
 def usual_length(points: DataFrame, k: int, seed: int) -> float:
@@ -42,8 +41,8 @@ def usual_length(points: DataFrame, k: int, seed: int) -> float:
     return LENGTHS * middle / np.sqrt(size) or 1.0
 
 
-def _buckets(points: DataFrame, size: int, tables: int, width: int, length: float, seed: int) -> DataFrame:
-    """Each row once for every table, with its bucket."""
+def _buckets(points: DataFrame, columns: list[str], size: int, tables: int, width: int, length: float, seed: int) -> DataFrame:
+    """The columns of each row once for every table, with its bucket."""
     rng = np.random.default_rng(seed)
     directions = rng.normal(size=(size, tables * width))
     directions /= np.sqrt((directions**2).sum(0))
@@ -60,9 +59,10 @@ def _buckets(points: DataFrame, size: int, tables: int, width: int, length: floa
                 keys = (step * odd).sum(2)  # wraps around
                 keys = (keys ^ (keys >> 29)) * 2 + 1
                 for t in range(tables):
-                    yield pdf.assign(bucket=keys[:, t] * (2 * t + 1) + t)
+                    yield pdf[columns].assign(bucket=keys[:, t] * (2 * t + 1) + t)
 
-    return points.select("g", "id", "vec", "ask").mapInPandas(run, BUCKET)
+    kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
+    return points.select(*dict.fromkeys(["vec", *columns])).mapInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in columns), "bucket bigint"]))
 
 
 def approximate_neighbours(
@@ -84,10 +84,12 @@ def approximate_neighbours(
     greater ``length`` find more of the true neighbours, a greater ``width`` compares fewer rows. ``length`` is taken from a
     sample of ``SAMPLE`` rows by default. A row without a companion in any bucket has no neighbours.
     """
+    single = df.schema[vector].dataType.simpleString() == "array<float>"
     points = df.where(F.col(vector).isNotNull() & F.col(group).isNotNull()).select(
         F.col(group).cast("string").alias("g"),
-        F.col(key).alias("id"),
-        F.col(vector).cast("array<double>").alias("vec"),
+        F.col(key).cast("bigint").alias("id"),
+        # Single precision takes half the room on the way; distances are in double precision.
+        (F.col(vector) if single else F.col(vector).cast("array<double>")).alias("vec"),
         (F.col(asking) if asking else F.lit(True)).alias("ask"),
     )
     points = materialise(points, "points")
@@ -97,22 +99,30 @@ def approximate_neighbours(
     # Of very many copies, those with the smallest ids can stand for all as neighbours; the others only ask.
     kept = _distinct_enough(points, k).select("id", F.lit(True).alias("give"))
     rows = materialise(points.join(kept, "id", "left").withColumn("give", F.coalesce("give", F.lit(False))), "rows")
-    bucketed = _buckets(rows, size, tables, width, usual_length(points, k, seed) if length is None else length, seed)
-    bucketed = materialise(bucketed.join(rows.select("id", "give"), "id"), "buckets")
-    counts = bucketed.groupBy("g", "bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"), F.count(F.lit(1)).alias("n"))
-    dealt = bucketed.join(counts.where("n > 1"), ["g", "bucket"])
-    part = F.pmod(hash_int(F.col("id"), seed, "part"), F.col("parts")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    asked = dealt.where("ask").select("g", "id", "vec", "bucket", part.alias("i"), every.alias("j"), F.lit(True).alias("asks"))
-    given = dealt.where("give").select("g", "id", "vec", "bucket", part.alias("j"), every.alias("i"), F.lit(False).alias("asks"))
-    meet = asked.unionByName(given)
+    rows = rows.select("g", "id", "vec", F.coalesce("ask", F.lit(False)).alias("ask")).join(rows.select("id", "give"), "id")
+    used = (size, tables, width, usual_length(points, k, seed) if length is None else length, seed)
+    # Buckets are computed again where they are needed: writing them would write each vector once for every table.
+    counts = _buckets(rows, ["g"], *used).groupBy("g", "bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"), F.count(F.lit(1)).alias("n"))
+    dealt = _buckets(rows, ["g", "id", "vec", "ask", "give"], *used).join(counts.where("n > 1"), ["g", "bucket"])
+    dealt = dealt.withColumn("part", F.pmod(hash_int(F.col("id"), seed, "part"), F.col("parts")).cast("int"))
+
+    def cells(other: Column) -> Column:
+        """The row asks the part ``other``, which asks it in turn; in the cell of its own part it travels once for both."""
+        own = F.col("part") == other
+        asks = F.struct(F.col("part").alias("i"), other.alias("j"), F.col("ask").alias("asks"), (F.col("give") & own).alias("gives"))
+        gives = F.struct(other.alias("i"), F.col("part").alias("j"), F.lit(False).alias("asks"), (F.col("give") & ~own).alias("gives"))
+        return F.array(asks, gives)
+
+    every = F.flatten(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), cells))
+    needed = F.filter(every, lambda c: c["asks"] | c["gives"])
+    meet = dealt.select("g", "id", "vec", "bucket", F.inline(needed))
     # Many small cells share a task; a cell is never cut.
     parts = shuffle_partitions(df.sparkSession)
     meet = meet.repartition(parts, "g", "bucket", "i", "j").sortWithinPartitions("g", "bucket", "i", "j")
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for cell in _whole_cells(frames, ["g", "bucket", "i", "j"]):
-            found = _nearest(cell[cell["asks"]], cell[~cell["asks"]], k)
+            found = _nearest(cell[cell["asks"]], cell[cell["gives"]], k)
             if len(found):
                 yield found
 
