@@ -47,3 +47,12 @@ def test_the_calendar_is_not_shuffled(spark):
     assert "Join" not in text
     # Nothing above the generator is exchanged: the plan is printed from the top down.
     assert "Exchange" not in text[: text.index("explode(sequence")]
+
+
+def test_vote_rows_are_dealt_before_they_unfold(spark):
+    """The aggregate of the votes does not share a task with the one of the daily maxima."""
+    from tidemark.plans.daily_risk import majority_of_vote_rows
+
+    text = plan(majority_of_vote_rows(spark, SF))
+    votes, daily = text.index("Generate explode"), text.rindex("HashAggregate(keys=[l_suppkey")
+    assert "REPARTITION_BY_NUM" in text[votes:daily]

@@ -22,6 +22,7 @@ from tidemark.operators.daily import (
 from tidemark.operators.evaluate import confusion_cells, confusion_counts, count_metrics
 from tidemark.plans.registry import query
 from tidemark.plans.tables import line_values, table
+from tidemark.session import shuffle_partitions
 
 SITE_DAYS_SQL = """
 site_days AS (
@@ -273,8 +274,11 @@ def majority_of_rule_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(MAJORITY_SQL)
 def majority_of_vote_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same from one row per vote, as separately scored models would give."""
-    observed = with_calendar(_site_days(spark, sf_dir))
+    """The same from one row per vote, as separately scored models would give.
+
+    Site-days are dealt anew before the votes unfold: else the tables of three aggregates, over large partitions, stand in one task.
+    """
+    observed = with_calendar(_site_days(spark, sf_dir)).repartition(shuffle_partitions(spark), "day", "site")
     votes = F.explode(F.array(*[v.cast("int") for v in _tree_votes()])).alias("vote")
     return majority_vote(observed.select("site", "day", votes), ["site", "day"])
 
