@@ -92,3 +92,24 @@ def test_tuning_scores_every_configuration_on_every_fold(rows):
     assert len(best) == 6 and all("/" in c for c in best.values())
     auc = scores.where("metric = 'roc_auc' AND model = 'logistic_regression'").agg(F.min("value")).first()[0]
     assert auc > 0.7
+
+
+def test_the_members_of_a_vote_are_fitted_side_by_side(spark, monkeypatch, tmp_path):
+    from threading import Barrier
+
+    from tidemark.plans import modelling
+
+    rnd = random.Random(2)
+    docs = [(i, "x" * rnd.randrange(1, 40) + " word" * rnd.randrange(9), rnd.choice(["en", "fr"])) for i in range(120)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    frame.withColumn("n_chars", F.length("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 3 % 2) for i in range(120)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    real, all_three = modelling.fit, Barrier(3, timeout=20)
+
+    def meeting(*args):
+        all_three.wait()
+        return real(*args)
+
+    monkeypatch.setattr(modelling, "fit", meeting)
+    votes = modelling.model_vote(spark, str(tmp_path)).collect()
+    assert len(votes) == 24 and {r.decision for r in votes} <= {0, 1}
