@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,6 +111,70 @@ def test_few_parents_give_many_copies(spark):
     assert all(c == (c[0], 1, c[0], c[0]) for c in counts.values())
 
 
+def calendar_points(n, dims, seed):
+    """Points with two calendar columns, a long tail and other coordinates near a plane, many of them at equal distances."""
+    rng = np.random.default_rng(seed)
+    day = rng.integers(0, 30, n)
+    return np.column_stack([day / 8.0, day % 7, np.round(np.exp(rng.normal(size=n)), 1), np.round(rng.random((n, 2)) @ rng.normal(size=(2, dims - 3)), 1)])
+
+
+@pytest.mark.parametrize("dims", [4, 12])
+@pytest.mark.parametrize("block", [4096, 120, 30])
+def test_neighbours_of_few_and_of_many_coordinates(spark, dims, block):
+    x = calendar_points(400, dims, dims)
+    rows = [("a" if i % 4 else "b", (7 * i) % 400, [float(v) for v in x[i]]) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, id long, x array<double>").repartition(4)
+    got = {(r.g, r.id, r["rank"], r.nb_id) for r in nearest_neighbours(df, "g", "id", "x", 4, block=block).collect()}
+    assert got == brute(rows, 4)
+
+
+def test_a_block_of_few_coordinates_is_not_compared_pair_by_pair(monkeypatch):
+    """What is ranked within a block stays far below the number of its pairs."""
+
+    class Counting:
+        seen = 0
+
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        def partition(self, a, *args, **more):
+            self.seen += a.size
+            return np.partition(a, *args, **more)
+
+    n = 3000
+    x = calendar_points(n, 5, 8)
+    pdf = pd.DataFrame({"g": "a", "id": np.arange(n)[::-1], "vec": list(x)})
+    monkeypatch.setattr(neighbours, "np", counting := Counting())
+    found = neighbours._nearest(pdf.iloc[:500], pdf, 5)
+    assert 0 < counting.seen < 500 * n / 8
+    for i in range(0, 500, 25):
+        dist = np.sqrt(((x - x[i]) ** 2).sum(1))
+        dist[i] = np.inf
+        nearest = n - 1 - np.lexsort((np.arange(n)[::-1], dist))[:5]
+        assert found[found["id"] == n - 1 - i]["nb_id"].tolist() == nearest.tolist()
+
+
+def test_few_rows_travel_to_other_blocks(spark, monkeypatch):
+    """Points of few coordinates visit the blocks in reach; a block is copied by the number of its visitors, not of cells near it."""
+    rng = np.random.default_rng(5)
+    n, block = 3000, 100
+    points = spark.createDataFrame([("a", i, [float(v) for v in x]) for i, x in enumerate(rng.random((n, 3)))], "g string, id long, x array<double>")
+    written = {}
+    plain = neighbours.materialise
+
+    def kept(df, name="stage"):
+        written[name] = plain(df, name)
+        return written[name]
+
+    monkeypatch.setattr(neighbours, "materialise", kept)
+    rows = neighbours.nearest_neighbours(points.repartition(4), "g", "id", "x", 5, block).count()
+    assert rows == 5 * n
+    cells = written["boxes"].count()
+    copies = written["parts"].agg(F.sum("parts")).first()[0]
+    assert cells >= n / block and copies <= 6 * cells
+    assert not {"left", "full", "short"} & set(written)  # nothing goes by way of short points
+
+
 def shuffled(spark, points, block, monkeypatch):
     """Rows whose full vectors travel to another block, and the number of cells."""
     seen = {}
